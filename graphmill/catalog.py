@@ -1,0 +1,14 @@
+"""Every query of the engine by name, with the SQL that an independent engine must agree with."""
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
+
+
+def flagship(spark, sf_dir):
+    raise NotImplementedError
