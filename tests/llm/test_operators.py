@@ -1,0 +1,180 @@
+"""The corpus operators against brute force on a small table with nulls, empty, short, long and repeated texts."""
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from graphmill.llm import exact_dedup, html_extract, line_dedup, mixing, near_dedup, packing, quality, rules, suffix_dedup, warc
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, id long"
+
+
+def texts():
+    r = random.Random(5)
+    vocabulary = ["".join(r.choices("abcdefgh", k=r.randint(2, 7))) for _ in range(300)]
+    line = lambda n: " ".join(r.choices(vocabulary, k=n))
+    passage, long = line(60), "\n".join(line(30) for _ in range(200))
+    out = [None, "", "   ", "one", "Two words", "two WORDS", passage, passage + " end", "start " + passage, long, long, long.replace("a", "b", 3), "la " * 400]
+    base = line(300)
+    out += [base] + [" ".join(w if k % 97 != j else "zz" for k, w in enumerate(base.split())) for j in range(6)]
+    return out + [line(r.randint(5, 200)) + ".\n" + line(20) for _ in range(30)] + ["### $$$ %%% | x |" * 30]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, "en", [None, "b", "a"][i % 3], 0, "x", 1) for i, t in enumerate(texts())], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def test_exact(docs, none):
+    got = {r.doc_id: r for r in exact_dedup.exact_dedup(docs, memory=2000).collect()}  # spills
+    low = [(t or "").encode().lower() for t in texts()]
+    for i, t in enumerate(low):
+        same = [j for j, x in enumerate(low) if x == t]
+        assert (got[i].keep_id, got[i].group_size, got[i].kept, got[i].text_sha256) == (max(same), len(same), i == max(same), hashlib.sha256(t).hexdigest())
+    assert exact_dedup.exact_dedup(none).count() == 0
+
+
+def test_suffix(docs, none):
+    data = [(t or "").encode() for t in texts()]
+    seen = Counter(b[p:p + 200] for b in data for p in range(len(b) - 199))
+    for r in suffix_dedup.cut_repeats(docs).collect():
+        b = data[r.doc_id]
+        gone = bytearray(len(b))
+        for p in range(len(b) - 199):
+            if seen[b[p:p + 200]] > 1:
+                gone[p:p + 200] = b"\1" * 200
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest())
+    assert suffix_dedup.cut_repeats(none).count() == 0
+
+
+def test_near(docs, none):
+    sets = [near_dedup.shingles(near_dedup.words((t or "").encode()), 3) for t in texts()]
+    name = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if a and b and 100 * len(a & b) >= 85 * len(a | b):
+                    name[i] = name[j] = min(name[i], name[j])
+    got = {r.doc_id: r for r in near_dedup.near_components(docs).collect()}
+    assert [got[i].component_id for i in range(len(sets))] == name
+    assert all(got[i].n_shingles == len(s) for i, s in enumerate(sets))
+    assert near_dedup.near_components(none).count() == 0
+
+
+def test_rules(docs, none):
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    for r in rules.judge(docs, labels).collect():
+        t = texts()[r.doc_id] or ""
+        w = words(t)
+        n = Counter(zip(w, w[1:], w[2:]))
+        covered = {k + j for k in range(len(w) - 2) if n[tuple(w[k:k + 3])] > 1 for j in range(3)}
+        lines = [x for x in t.split("\n") if words(x)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
+        assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and r.kept == (not r.base_failed)
+    assert rules.judge(none, labels).count() == 0
+
+
+def test_rules_are_learned():
+    rows = [((0.5 if i % 4 == 0 else 0.01, *[0.1] * (len(rules.FEATURES) - 1)), int(i % 4 == 0)) for i in range(200)]
+    found = rules.learn(rows)
+    assert len(found) == 1 and found[0][0][:2] == (0, True) and rules.learn([]) == []
+
+
+def test_quality(docs, none, spark):
+    out = quality.classify(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("quality")))
+    got = out.collect()
+    assert len(got) == len(texts()) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    assert quality.classify(none, docs.select("doc_id", F.lit(1).alias("quality"))).count() == 0
+    assert quality.keep_good(docs, docs.select("doc_id", F.lit(None).cast("int").alias("quality"))).count() == len(texts())
+
+
+def test_mixing(docs, none):
+    plan = mixing.plan_mix(docs).collect()
+    sizes = [len(words(t)) for t in texts()]
+    assert all(r.size == sizes[r.doc_id] and 0 <= r.taken <= 2 * r.size for r in plan)
+    by = {}
+    for r in plan:
+        by.setdefault(r.source, [r.target, 0])[1] += r.taken
+    assert all(abs(t - n) <= 1 for t, n in by.values()) and abs(sum(t for t, _ in by.values()) - 1.5 * sum(sizes)) < 1e-6
+    assert sum(len(words(r.text)) for r in mixing.mix(docs).collect()) == sum(n for _, n in by.values())
+    assert mixing.plan_mix(none).count() == 0 and mixing.mix(none).count() == 0
+
+
+def test_packing(docs, none):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = [t.encode(x or "", add_special_tokens=False).ids + [2] for x in texts()]
+    got = packing.pack(docs).collect()
+    at, bins = {}, {}
+    for r in sorted(got, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == at.get(r.doc_id, 0) and r.doc_tokens == len(ids[r.doc_id])
+        at[r.doc_id] = r.start + r.length
+        assert r.ids_crc32 == zlib.crc32(b"".join(v.to_bytes(4, "little") for v in ids[r.doc_id][r.start:r.start + r.length]))
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert [at[i] for i in range(len(ids))] == [len(x) for x in ids]
+    for pieces in bins.values():
+        end = 0
+        for offset, n in sorted(pieces):
+            assert offset == end
+            end += n
+        assert end <= 4096
+    assert packing.pack(none).count() == 0
+
+
+def test_lines(docs, none):
+    lines = {}
+    for i, t in enumerate(texts()):
+        for k, x in enumerate((t or "").split("\n")):
+            if len(n := line_dedup.normal(x)) >= line_dedup.SHORTEST:
+                lines.setdefault(n, []).append((i, k))
+    names = list(lines)
+    grams = [line_dedup.grams(n) for n in names]
+    group = list(range(len(names)))
+    for _ in range(8):
+        for i in range(len(names)):
+            for j in range(i):
+                if group[i] != group[j] and line_dedup.alike(grams[i], grams[j]):
+                    group[i] = group[j] = min(group[i], group[j])
+    places = {}
+    for i, n in enumerate(names):
+        places.setdefault(group[i], []).extend(lines[n])
+    gone = Counter(p[0] for ps in places.values() for p in sorted(ps)[1:])
+    assert {r.doc_id: r._gone for r in line_dedup.dedup_lines(docs).collect()} == {i: gone[i] for i in range(len(texts()))}
+    assert line_dedup.drop_lines(none).count() == 0
+
+
+def test_warc(spark, tmp_path):
+    body = "<p>" + "x y z é " * 200
+    pages = spark.createDataFrame([(1, "http://a/1\n", body), (2, "http://a/2", body), (3, None, None), (4, "u", "short"), (5, "u", "short"), (6, "u", body)], "page_id long, url string, html string")
+    warc.write_archives(pages, f"file://{tmp_path}/w")
+    got = {r.page_id: r for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()}
+    assert [got[i].record_type for i in range(1, 7)] == ["revisit", "revisit", "response", "response", "response", "response"]
+    assert got[1].refers_to == 6 and got[6].payload.decode() == body and got[2].payload is None and got[2].payload_length == len(body.encode())
+    assert got[3].payload_digest == hashlib.sha1(b"").hexdigest()
+    some = warc.read_archives(spark, f"file://{tmp_path}/w", "verify").where("record_type = 'revisit' and page_id = 2").collect()
+    assert [r.page_id for r in some] == [2]
+
+
+def test_html(spark):
+    nav = "<html><head><title>t</title></head><body><nav><a>Home</a></nav><div class='ad'>Buy</div>"
+    rows = [(1, "http://h/a/1", nav + "<article><h1>A &amp; B</h1><p>one\n two<p>three</article><footer>f</footer>"), (2, "http://h/a/2", nav + "<article><p>four</p><div class='comments'>no</div></article><script>'</p>'</script>"), (3, None, None), (4, "x", "plain"), (5, "http://k/1", "<p>Site</p><p>own one</p>"), (6, "http://k/2", "<p>Site</p><p>own two</p>")]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    assert got[1] == "A & B\n\none two\n\nthree" and got[2] == "four" and got[3] == "" and got[4] == "plain"
+    a = html_extract.lines("<p>Site</p><p>own one</p>")
+    assert html_extract.article(a, html_extract.lines("<p>Site</p><p>own two</p>")) == ["own one"]
+    assert html_extract.common(list("abcbdab"), list("bdcaba")).__len__() == 4
