@@ -89,8 +89,7 @@ def similarity_components(keyed: DataFrame, verifier: Callable[[DataFrame], Call
         more = materialize(verify(pairs), f"{label}-links")
         links.append(more)
         if not more.isEmpty():
-            both = first.union(more)
-            comps = materialize(connected_components(both, f"{label}-cc"), f"{label}-comp")
+            comps = _joined(comps, more, label)
     drop(nodes)
     out = links[0]
     for x in links[1:]:
@@ -115,3 +114,15 @@ def _blocks(members: DataFrame, limit: int) -> DataFrame:
     x = x.select("key", "id", "comp", "blk", F.explode(F.expr("sequence(0, k - 1)")).alias("other"))
     x = x.select(F.xxhash64("key", F.least("blk", "other"), F.greatest("blk", "other")).alias("key"), "id", "comp")
     return _across(x)
+
+
+def _joined(comps: DataFrame, more: DataFrame, label: str) -> DataFrame:
+    """Components after further links: these are first contracted to distinct links between components, so a large group's many links count once."""
+    at = comps.select(F.col("id").alias("i"), F.col("component").alias("c"))
+    x = more.join(at, F.col("a") == F.col("i"), "left").select(F.coalesce("c", "a").alias("a"), "b")
+    x = x.join(at, F.col("b") == F.col("i"), "left").select("a", F.coalesce("c", "b").alias("b")).where("a <> b")
+    x = x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    top = materialize(connected_components(x, f"{label}-cc"), f"{label}-comp")
+    new = top.select(F.col("id").alias("i"), F.col("component").alias("c"))
+    moved = comps.join(new, F.col("component") == F.col("i"), "left").select("id", F.coalesce("c", "component").alias("component"))
+    return materialize(moved.union(top.select("id", "component")).distinct(), f"{label}-comp")
