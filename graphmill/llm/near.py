@@ -4,8 +4,10 @@ Used by the chosen-path join of documents and by the banded join of lines.
 """
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import drop, materialize, release
 from .components import connected_components
 
-#: nodes of up to so many members are compared exhaustively
-NODE_LIMIT = 32
+#: nodes of up to so many members and bytes of text are compared exhaustively in one task; up to FEW of them set by set
+NODE_LIMIT, VOLUME, FEW = 2048, 8 << 20, 12
 
 
 def _members(batches):
@@ -44,76 +46,130 @@ def _members(batches):
         yield flush(out)
 
 
-def similarity_components(keyed: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], label: str, depth: int, limit: int = NODE_LIMIT) -> tuple[DataFrame, DataFrame]:
+def similarity_components(keyed: DataFrame, verifier: Callable[[DataFrame], tuple], label: str, depth: int, limit: int = NODE_LIMIT) -> tuple[DataFrame, DataFrame]:
     """``keyed`` (key long, id long, deep binary: 4 bytes for each further level) -> (components, links).
 
     1. Members of a node are compared with the node's least id; an id takes the pivot that most of its nodes name.
     2. Verified links give components.  Nodes whose members all lie in one component are done.
-    3. Of the other nodes, small ones compare every two members of different components; larger ones
-       branch by their next token, again and again.  Members of nodes that no token splits any
-       more are dealt into blocks that are compared exhaustively, block by block pair, so no member is dropped.
+    3. Of the other nodes, those that fit a task compare every two members of different components there, by posting
+       lists, and emit links only; larger ones branch by their next token, again and again.  Members of nodes that no
+       token splits any more are dealt into blocks that meet block by block, so no member is dropped.
 
-    ``verifier`` is given the ids that share a node with another and returns a function that takes (a, b) with a < b and
-    returns those that hold.  links: the verified (a, b).
+    ``verifier`` is given the ids that share a node with another and returns three things: their contents (id, text); a
+    function that takes (a, b) with a < b and returns those that hold; and that of ``comparer``.  links: the verified (a, b).
     """
     spark = keyed.sparkSession
     nodes = materialize(keyed.repartition(F.col("key")).sortWithinPartitions("key", "id").mapInArrow(_members, "key long, id long, deep binary, pivot long"), f"{label}-nodes")
     release(spark)
-    verify = verifier(nodes.select("id").distinct())
+    contents, verify, compare = verifier(nodes.select("id").distinct())
     votes = nodes.where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("n"))
     chosen = votes.groupBy("id").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
     first = materialize(verify(chosen.select(F.col("pivot").alias("a"), F.col("id").alias("b"))), f"{label}-links")
     comps = materialize(connected_components(first, f"{label}-cc"), f"{label}-comp")
     release(spark)
 
-    links = [first]
     at = nodes.join(comps, "id", "left").select("key", "id", "deep", F.coalesce("component", "id").alias("comp"))
-    pairs = None
+    at = _open(at)
+    at = materialize(at.join(contents.select("id", F.octet_length("text").alias("bytes")), "id"), f"{label}-open")
+    drop(nodes)
+    leaves = None
     level = 0
     while True:
-        stats = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
-        at = materialize(at.join(stats, "key"), f"{label}-open")
-        small = at.where(F.col("n") <= limit)
-        pairs = _across(small) if pairs is None else pairs.union(_across(small))
-        large = at.where(F.col("n") > limit)
+        sized = at.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("volume"))
+        large = sized.where((F.col("n") > limit) | (F.col("volume") > VOLUME))
         if large.isEmpty():
+            fit, branch = at, None
+        else:
+            fit, branch = at.join(large, "key", "left_anti"), at.join(large, "key")
+        fit = fit.select("key", "id", "comp")
+        leaves = fit if leaves is None else leaves.union(fit)
+        if branch is None:
             break
         if level == depth:
-            pairs = pairs.union(_blocks(large, limit))
+            leaves = leaves.union(_blocks(branch, limit))
             break
         token = F.substring("deep", 4 * level + 1, 4)
-        at = large.select(F.xxhash64("key", token).alias("key"), "id", "deep", "comp")
+        at = materialize(_open(branch.select(F.xxhash64("key", token).alias("key"), "id", "deep", "comp", "bytes")), f"{label}-open")
         level += 1
-    pairs = materialize(pairs.distinct(), f"{label}-pairs")
-    if not pairs.isEmpty():
-        more = materialize(verify(pairs), f"{label}-links")
-        links.append(more)
-        if not more.isEmpty():
-            comps = _joined(comps, more, label)
-    drop(nodes)
-    out = links[0]
-    for x in links[1:]:
-        out = out.union(x)
-    return comps, out
+    met = leaves.join(contents, "id").select("key", "id", "comp", "text").repartition("key").sortWithinPartitions("key", "id")
+    more = materialize(met.mapInArrow(compare, "a long, b long").distinct(), f"{label}-links")
+    release(spark)
+    if more.isEmpty():
+        return comps, first
+    return _joined(comps, more, label), first.union(more)
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Every two members of a node that lie in different components."""
-    x = members.select("key", "id", "comp")
-    y = x.select("key", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
-    return x.join(y, "key").where("comp < comp2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+def _open(at: DataFrame) -> DataFrame:
+    """Members of nodes that hold two components or more."""
+    keys = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return at.join(keys, "key")
 
 
 def _blocks(members: DataFrame, limit: int) -> DataFrame:
-    """Nodes that stay large: members in blocks by hash; each block meets each block as one small node, so nothing is left out.
-
-    A task sees two blocks.  Only members of different components are paired, and what is alike is in one component by now.
-    """
-    k = F.ceil(F.col("n") / F.lit(limit)).cast("int")
+    """Nodes that stay large: members in blocks by hash; each block meets each block as one node that fits a task, so nothing is left out."""
+    k = F.greatest(F.ceil(2 * F.col("n") / F.lit(limit)), F.ceil(2 * F.col("volume") / F.lit(VOLUME))).cast("int")
     x = members.select("key", "id", "comp", k.alias("k"), F.pmod(F.xxhash64("id"), k).cast("int").alias("blk"))
     x = x.select("key", "id", "comp", "blk", F.explode(F.expr("sequence(0, k - 1)")).alias("other"))
-    x = x.select(F.xxhash64("key", F.least("blk", "other"), F.greatest("blk", "other")).alias("key"), "id", "comp")
-    return _across(x)
+    return x.select(F.xxhash64("key", F.least("blk", "other"), F.greatest("blk", "other")).alias("key"), "id", "comp")
+
+
+def comparer(sets: Callable, percent: int):
+    """A function over rows (key, id, comp, text) sorted by key -> (a, b), a < b: members of one key, of different components, whose ``sets`` are alike.
+
+    One key is held at a time, as numbers of its elements.  Members of the commonest component are not compared among
+    themselves; every other member meets all through the posting lists of its elements, so the memory needed
+    is linear in the texts.
+    """
+    def run(batches):
+        held: list = []
+        for b in batches:
+            out = []
+            for row in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if held and held[0][0] != row[0]:
+                    out += _links(held, sets, percent)
+                    held = []
+                held.append(row)
+            if out:
+                yield _pairs(out)
+        if held and (out := _links(held, sets, percent)):
+            yield _pairs(out)
+    return run
+
+
+def _pairs(rows: list) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
+
+
+def _links(rows: list, sets: Callable, percent: int) -> list:
+    common = Counter(r[2] for r in rows).most_common(1)[0]
+    if common[1] == len(rows):
+        return []
+    if len(rows) <= FEW:
+        have = [sets(r[3]) for r in rows]
+        return [(min(x[1], y[1]), max(x[1], y[1])) for i, x in enumerate(rows) for j, y in enumerate(rows[:i]) if x[2] != y[2] and x[1] != y[1] and _alike(have[i], have[j], percent)]
+    number: dict = {}
+    have = [np.array([number.setdefault(e, len(number)) for e in sets(r[3])], np.int64) for r in rows]
+    size = np.array([len(x) for x in have])
+    flat = np.concatenate(have)
+    order = np.argsort(flat, kind="stable")
+    owner = np.repeat(np.arange(len(rows)), size)[order]
+    ends = np.cumsum(np.bincount(flat, minlength=len(number)))
+    starts = np.concatenate([[0], ends[:-1]])
+    comp = np.array([r[2] for r in rows])
+    ids = np.array([r[1] for r in rows])
+    out = []
+    for i in np.flatnonzero(comp != common[0]):
+        both = np.bincount(np.concatenate([owner[starts[e]:ends[e]] for e in have[i]]), minlength=len(rows)) if size[i] else np.zeros(len(rows), np.int64)
+        for j in np.flatnonzero((100 * both >= percent * (size[i] + size - both)) & (both > 0) & (comp != comp[i]) & (ids != ids[i])):
+            out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+    return out
+
+
+def _alike(a: set, b: set, percent: int) -> bool:
+    if not a or not b or min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
+        return False
+    both = len(a & b)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def _joined(comps: DataFrame, more: DataFrame, label: str) -> DataFrame:

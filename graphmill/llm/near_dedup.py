@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, release, small_batches, table
-from .near import similarity_components
+from .near import comparer, similarity_components
 
 WIDTH, PERCENT = 3, 85
 #: levels of a tree before nodes are looked at, and further ones for nodes that are still large
@@ -43,6 +44,10 @@ def shingles(w: list[bytes], width: int) -> set:
     return set(zip(*(w[i:] for i in range(width))))
 
 
+def _set_of(width: int, text: str) -> set:
+    return shingles(words(text.encode("utf-8", "surrogatepass")), width)
+
+
 def similar(a: set, b: set, percent: int) -> bool:
     if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
         return False
@@ -169,7 +174,7 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         wanted = rows.join(ids, F.col("doc_id") == F.col("id")).select("id", "text").dropDuplicates(["id"])
         contents = materialize(wanted, "near-texts")
         release(spark)
-        return pair_check(contents, _confirm(width, percent))
+        return contents, pair_check(contents, _confirm(width, percent)), comparer(partial(_set_of, width), percent)
 
     comps, links = similarity_components(keyed, verifier, "near", FURTHER)
     n = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))

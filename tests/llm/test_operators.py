@@ -178,3 +178,26 @@ def test_html(spark):
     a = html_extract.lines("<p>Site</p><p>own one</p>")
     assert html_extract.article(a, html_extract.lines("<p>Site</p><p>own two</p>")) == ["own one"]
     assert html_extract.common(list("abcbdab"), list("bdcaba")).__len__() == 4
+
+
+def test_comparer_finds_all_links_of_a_key_whatever_its_size():
+    import random
+
+    import pyarrow as pa
+
+    from graphmill.llm import near
+    from graphmill.llm.line_dedup import alike, grams
+    rnd = random.Random(5)
+    base = "the quick brown fox jumps over the lazy dog by the river bank"
+    rows = []
+    for i in range(60):
+        t = list(base)
+        for _ in range(rnd.randrange(4)):
+            t[rnd.randrange(len(t))] = rnd.choice("xyz")
+        rows.append((1 if i < 50 else 2, i, 0 if i % 3 == 0 else i, "".join(t)))
+    rows += [(3, 70, 70, ""), (3, 71, 71, ""), (4, 80, 80, "lonely")]
+    cols = list(zip(*rows))
+    batch = pa.record_batch([pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array(cols[3])], names=["key", "id", "comp", "text"])
+    want = {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and x[2] != y[2] and grams(x[3]) and grams(y[3]) and alike(grams(x[3]), grams(y[3]))}
+    got = [(a, b) for out in near.comparer(grams, 80)(iter([batch.slice(0, 33), batch.slice(33)])) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+    assert want and set(got) == want
