@@ -20,43 +20,57 @@ NODE_LIMIT, VOLUME, FEW = 2048, 8 << 20, 12
 
 
 def _members(batches):
-    """Rows sorted by (key, id): for every key with two ids or more, its rows with the least id. One node's first row is held at a time."""
-    out, last, first, told = [], None, None, False
-    prev = None
-
-    def flush(rows):
-        return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.int64())], names=["key", "id", "deep", "pivot"])
-
-    for batch in batches:
-        for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if row[0] != last:
-                last, first, told, prev = row[0], row, False, row[1]
-                continue
-            if row[1] == prev:
-                continue
-            prev = row[1]
-            if not told:
-                out.append((*first, first[1]))
-                told = True
-            out.append((*row, first[1]))
-        if len(out) >= 20_000:
-            yield flush(out)
-            out = []
-    if out:
-        yield flush(out)
-
-
-def similarity_components(keyed: DataFrame, verifier: Callable[[DataFrame], tuple], label: str, depth: int, limit: int = NODE_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """``keyed`` (key long, id long, deep binary: 4 bytes for each further level) -> (components, links).
+    """Rows sorted by (key, id): for every key with two ids or more, its rows with the least id. Of the key at a batch's end the first row is held."""
+    first, prev, told = None, None, False  # the open key's first row as a batch, its last id, whether the first row was given out
+    for batch in _gathered(batches):
+        if first is not None:
+            batch = pa.concat_batches([first, batch])
+        key, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        before = ids[:-1].copy()
+        if first is not None and len(before):
+            before[0] = prev
+        same = key[1:] == key[:-1]
+        kept = np.flatnonzero(np.concatenate([[True], ~(same & (ids[1:] == before))]))
+        k = key[kept]
+        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        sizes = np.diff(np.append(starts, len(k)))
+        out = np.repeat(sizes > 1, sizes)
+        if first is not None and told:
+            out[0] = False
+        if out.any():
+            got = batch.take(pa.array(kept[out]))
+            yield got.append_column("pivot", pa.array(np.repeat(ids[kept[starts]], sizes)[out], pa.int64()))
+        held = len(starts) == 1 and first is not None
+        told = bool(sizes[-1] > 1) or (held and told)
+        first, prev = batch.slice(int(kept[starts[-1]]), 1), ids[-1]
+
+
+def _gathered(batches, rows: int = 16_384):
+    """Batches of ``rows`` or more, so that what is done for a batch is paid seldom."""
+    held, n = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def similarity_components(keyed: DataFrame, verifier: Callable[[DataFrame], tuple], label: str, depth: int, limit: int = NODE_LIMIT) -> DataFrame:
+    """``keyed`` (key long, id long, deep binary: 4 bytes for each further level) -> components (id, component).
 
     1. Members of a node are compared with the node's least id; an id takes the pivot that most of its nodes name.
     2. Verified links give components.  Nodes whose members all lie in one component are done.
     3. Of the other nodes, those that fit a task compare every two members of different components there, by posting
-       lists, and emit links only; larger ones branch by their next token, again and again.  Members of nodes that no
+       lists, and emit the links that join components only; larger ones branch by their next token, again and again.  Members of nodes that no
        token splits any more are dealt into blocks that meet block by block, so no member is dropped.
 
     ``verifier`` is given the ids that share a node with another and returns three things: their contents (id, text); a
-    function that takes (a, b) with a < b and returns those that hold; and that of ``comparer``.  links: the verified (a, b).
+    function that takes (a, b) with a < b and returns those that hold; and that of ``comparer``.
     """
     spark = keyed.sparkSession
     nodes = materialize(keyed.repartition(F.col("key")).sortWithinPartitions("key", "id").mapInArrow(_members, "key long, id long, deep binary, pivot long"), f"{label}-nodes")
@@ -95,8 +109,8 @@ def similarity_components(keyed: DataFrame, verifier: Callable[[DataFrame], tupl
     more = materialize(met.mapInArrow(compare, "a long, b long").distinct(), f"{label}-links")
     release(spark)
     if more.isEmpty():
-        return comps, first
-    return _joined(comps, more, label), first.union(more)
+        return comps
+    return _joined(comps, more, label)
 
 
 def _open(at: DataFrame) -> DataFrame:
@@ -113,12 +127,13 @@ def _blocks(members: DataFrame, limit: int) -> DataFrame:
     return x.select(F.xxhash64("key", F.least("blk", "other"), F.greatest("blk", "other")).alias("key"), "id", "comp")
 
 
-def comparer(sets: Callable, percent: int):
+def comparer(sets: Callable, percent: int, joining: bool = False):
     """A function over rows (key, id, comp, text) sorted by key -> (a, b), a < b: members of one key, of different components, whose ``sets`` are alike.
 
     One key is held at a time, as numbers of its elements.  Members of the commonest component are not compared among
-    themselves; every other member meets all through the posting lists of its elements, so the memory needed
-    is linear in the texts.
+    themselves; every other member meets those outside its component through the posting lists of its elements, so the
+    memory needed is linear in the texts.  With ``joining``, a link within a component that the key's earlier links make is
+    left out: the components are the same, and a key gives fewer rows than it has members.
     """
     def run(batches):
         held: list = []
@@ -126,12 +141,12 @@ def comparer(sets: Callable, percent: int):
             out = []
             for row in zip(*(b.column(k).to_pylist() for k in range(4))):
                 if held and held[0][0] != row[0]:
-                    out += _links(held, sets, percent)
+                    out += _links(held, sets, percent, joining)
                     held = []
                 held.append(row)
             if out:
                 yield _pairs(out)
-        if held and (out := _links(held, sets, percent)):
+        if held and (out := _links(held, sets, percent, joining)):
             yield _pairs(out)
     return run
 
@@ -140,29 +155,42 @@ def _pairs(rows: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
 
 
-def _links(rows: list, sets: Callable, percent: int) -> list:
-    common = Counter(r[2] for r in rows).most_common(1)[0]
+def _links(rows: list, sets: Callable, percent: int, joining: bool) -> list:
+    comp = np.array([r[2] for r in rows])
+    ids = np.array([r[1] for r in rows])
+    common = Counter(comp.tolist()).most_common(1)[0]
     if common[1] == len(rows):
         return []
     if len(rows) <= FEW:
         have = [sets(r[3]) for r in rows]
-        return [(min(x[1], y[1]), max(x[1], y[1])) for i, x in enumerate(rows) for j, y in enumerate(rows[:i]) if x[2] != y[2] and x[1] != y[1] and _alike(have[i], have[j], percent)]
+        alike = lambda i, others: [j for j in others if _alike(have[i], have[j], percent)]
+    else:
+        alike = _postings([sets(r[3]) for r in rows], percent)
+    out = []
+    for i in np.flatnonzero(comp != common[0]):
+        for j in alike(i, np.flatnonzero(comp != comp[i])):
+            if comp[i] != comp[j]:
+                out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+                if joining:
+                    comp[comp == comp[j]] = comp[i]
+    return out
+
+
+def _postings(have: list, percent: int) -> Callable:
     number: dict = {}
-    have = [np.array([number.setdefault(e, len(number)) for e in sets(r[3])], np.int64) for r in rows]
+    have = [np.array([number.setdefault(e, len(number)) for e in x], np.int64) for x in have]
     size = np.array([len(x) for x in have])
     flat = np.concatenate(have)
-    order = np.argsort(flat, kind="stable")
-    owner = np.repeat(np.arange(len(rows)), size)[order]
+    owner = np.repeat(np.arange(len(have)), size)[np.argsort(flat, kind="stable")]
     ends = np.cumsum(np.bincount(flat, minlength=len(number)))
     starts = np.concatenate([[0], ends[:-1]])
-    comp = np.array([r[2] for r in rows])
-    ids = np.array([r[1] for r in rows])
-    out = []
-    for i in np.flatnonzero(comp != common[0]):
-        both = np.bincount(np.concatenate([owner[starts[e]:ends[e]] for e in have[i]]), minlength=len(rows)) if size[i] else np.zeros(len(rows), np.int64)
-        for j in np.flatnonzero((100 * both >= percent * (size[i] + size - both)) & (both > 0) & (comp != comp[i]) & (ids != ids[i])):
-            out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
-    return out
+
+    def alike(i, others):
+        if not size[i] or not len(others):
+            return []
+        both = np.bincount(np.concatenate([owner[starts[e]:ends[e]] for e in have[i]]), minlength=len(have))
+        return others[((100 * both >= percent * (size[i] + size - both)) & (both > 0))[others]]
+    return alike
 
 
 def _alike(a: set, b: set, percent: int) -> bool:

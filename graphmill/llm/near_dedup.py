@@ -155,7 +155,7 @@ def pair_check(contents: DataFrame, confirm) -> "callable":
 
 
 def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, recall: float = RECALL) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, n_links (confirmed links of the document's text, copies as one).
+    """doc_id, n_shingles, component_id, kept.
 
     A document of fewer than ``width`` words has its whole sequence as its one shingle; without words it has none, and is
     linked with nothing.  Null text is the empty text.  Documents of equal sets are one vertex, named by their least doc_id.  Rows
@@ -174,15 +174,14 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         wanted = rows.join(ids, F.col("doc_id") == F.col("id")).select("id", "text").dropDuplicates(["id"])
         contents = materialize(wanted, "near-texts")
         release(spark)
-        return contents, pair_check(contents, _confirm(width, percent)), comparer(partial(_set_of, width), percent)
+        return contents, pair_check(contents, _confirm(width, percent)), comparer(partial(_set_of, width), percent, joining=True)
 
-    comps, links = similarity_components(keyed, verifier, "near", FURTHER)
-    n = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    named = reps.select("digest", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").join(n, "rep", "left")
-    named = named.select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    comps = similarity_components(keyed, verifier, "near", FURTHER)
+    named = reps.select("digest", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
+    named = named.select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, F.expr("digest = d and doc_id is not null"), "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return out.select("doc_id", "n_shingles", "component_id", F.expr("doc_id is null or doc_id = component_id").alias("kept"), "n_links")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", "component_id", F.expr("doc_id is null or doc_id = component_id").alias("kept"))
 
 
 def drop_near(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

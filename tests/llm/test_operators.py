@@ -201,3 +201,37 @@ def test_comparer_finds_all_links_of_a_key_whatever_its_size():
     want = {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and x[2] != y[2] and grams(x[3]) and grams(y[3]) and alike(grams(x[3]), grams(y[3]))}
     got = [(a, b) for out in near.comparer(grams, 80)(iter([batch.slice(0, 33), batch.slice(33)])) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
     assert want and set(got) == want
+    tree = [(a, b) for out in near.comparer(grams, 80, joining=True)(iter([batch])) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+    assert set(tree) <= want and len(tree) < len(rows)
+
+    def parts(links):
+        name = {r[1]: r[2] for r in rows}
+        for a, b in links:
+            old, new = name[b], name[a]
+            name = {k: new if v == old else v for k, v in name.items()}
+        groups = {}
+        for k, v in name.items():
+            groups.setdefault(v, set()).add(k)
+        return sorted(map(sorted, groups.values()))
+
+    assert parts(tree) == parts(want)
+
+
+@pytest.mark.parametrize("cut", [1, 2, 3, 7, 50])
+def test_members_of_nodes_over_batch_bounds(cut, monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from graphmill.llm import near
+    rnd = random.Random(cut)
+    rows = sorted((k, rnd.randrange(12), bytes([k])) for k in range(30) for _ in range(rnd.choice([1, 1, 2, 5, 20])))
+    have = {}
+    for k, i, _ in rows:
+        have.setdefault(k, set()).add(i)
+    want = sorted((k, i, bytes([k]), min(v)) for k, v in have.items() if len(v) > 1 for i in v)
+    batch = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["key", "id", "deep"])
+    monkeypatch.setattr(near._gathered, "__defaults__", (cut,))
+    got = [r for out in near._members(batch.slice(at, cut) for at in range(0, len(rows), cut)) for r in zip(*(c.to_pylist() for c in out.columns))]
+    assert sorted(got) == want
+    assert list(near._members(iter([]))) == []
