@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import score
 from .functions.facts import FACTS_SQL, HAS, fact_rows
-from .operators import baseline, detect, fluent, retrieve
+from .operators import baseline, detect, evidence, fluent, retrieve
 from .plans import language
 from .schema import CRITICAL
 from .sources.corpus import PREFIX, derived
@@ -108,6 +108,20 @@ add("A10_gap_report", _SPANS + "SELECT category, n, round(100 * n / sum(n) OVER
 add("G04_phrases", "SELECT doc_id, round((contains(lower(coalesce(text, '')), 'the')::INT + contains(lower(coalesce(text, '')), 'tion')::INT + contains(lower(coalesce(text, '')), 'que')::INT) / 3, 6) AS score, round((contains(lower(coalesce(text, '')), 'the')::INT + contains(lower(coalesce(text, '')), 'tion')::INT + contains(lower(coalesce(text, '')), 'que')::INT) / 3, 6) >= 0.7 AS passed FROM documents")(lambda s, d: score.phrases(_table(s, d, "documents"), ["The", "tion", "que"]))
 
 
+_ASK = "coalesce(text, '')"
+_FOCUS = "CASE " + " ".join(f"WHEN regexp_matches(trim({_ASK}), '{p}') THEN '{f}'" for f, p in evidence.FOCUS) + " ELSE 'all' END"
+add("R20_focus", f"SELECT conv_id, turn, {_FOCUS} AS focus FROM conversations")(lambda s, d: _table(s, d, "conversations").select("conv_id", "turn", evidence.focus(F.col("text")).alias("focus")))
+_SHARES = " UNION ALL ".join(f"SELECT id, '{i}' AS intent, {k} AS pos, ({' + '.join(f'contains(lower({_ASK}), {w!r})::INT' for w in ws)}) / {len(ws)}.0::DOUBLE AS score FROM asked" for k, (i, ws) in enumerate(evidence.INTENT_WORDS.items()))
+add("R21_intents", f"""WITH asked AS (SELECT concat_ws('-', conv_id::VARCHAR, turn::VARCHAR) AS id, text FROM conversations), s AS ({_SHARES}),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, pos) AS rank, max(score) OVER (PARTITION BY id) AS top FROM s)
+SELECT id, CASE WHEN top = 0 THEN 'all' ELSE intent END AS intent, round(score, 6) AS score, rank FROM r WHERE rank = 1 OR (top > 0 AND score >= 0.12)""")(lambda s, d: evidence.intents(_table(s, d, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text"), "id", "text"))
+_TIERS = evidence.merged_relevance(["auth", "transaction"])
+_FACT = " UNION ALL ".join(f"SELECT '{f}' AS fact, '{_TIERS.get(f, 'low')}' AS relevance, g.graph_id, count(node_ord) AS n, nullif(string_agg(nullif(symbol, ''), ', ' ORDER BY node_ord), '') AS value FROM graphs g LEFT JOIN (SELECT * FROM nodes WHERE {rule}) n ON n.graph_id = g.graph_id GROUP BY g.graph_id" for f, rule in evidence.FACT_TYPES.items())
+add("R23_facts", PREFIX + f"SELECT graph_id, fact, n > 0 AS present, n, value, relevance FROM ({_FACT}) WHERE n > 0 OR relevance = 'high'")(lambda s, d: evidence.facts(derived(s, d), ["auth", "transaction"]))
+_RULES = [("writes need authentication", "HIGH", "mutation AND public"), ("reads are scoped", "MEDIUM", "readonly AND unscoped")]
+add("R25_constraints", FACTS + "SELECT 'writes need authentication' AS \"constraint\", 'HIGH' AS severity, graph_id, entrypoint, NULL::VARCHAR AS error FROM facts WHERE is_mutation AND NOT has_auth UNION ALL SELECT 'reads are scoped', 'MEDIUM', graph_id, entrypoint, NULL FROM facts WHERE NOT is_mutation AND has_unscoped")(lambda s, d: evidence.check_constraints(derived(s, d), _RULES))
+
+
 def queries() -> dict:
     return dict(_Q)
 
