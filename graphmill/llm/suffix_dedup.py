@@ -20,8 +20,8 @@ from .common import drop, materialize, partitions, release, small_batches, table
 LENGTH, ANCHOR = 200, 64
 #: entries that are collapsed together before they leave an input partition, and of a family's smallest level
 GATHER, BATCH = 400_000, 65_536
-#: segments that are compared together, and of one anchor before its windows are dealt out instead
-CHUNK, HOT = 8_000, 20_000
+#: windows that are compared together, and of one anchor before they are dealt out instead; a task holds no more than the sum
+CHUNK, HOT = 300_000, 600_000
 _PLACE = np.uint64((1 << 28) - 1)
 _ODD = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -265,13 +265,15 @@ def _resolve(batches):
         return pa.record_batch([pa.array([r[2] for r in own], pa.int64()), pa.array([r[3] for r in own], pa.int64()), pa.array([r[4] for r in own], pa.bool_()), pa.array(where.astype(np.int32)), pa.array(n.astype(np.int32))], names=list(names))
 
     held: list = []
+    n = 0
     for b in batches:
         for r in zip(*(b.column(k).to_pylist() for k in range(8))):
-            if len(held) >= CHUNK and held[-1][0] != r[0]:
+            if n >= CHUNK and held[-1][0] != r[0]:
                 if (out := judge(held)) is not None:
                     yield out
-                held = []
+                held, n = [], 0
             held.append(r)
+            n += r[6]
     if held and (out := judge(held)) is not None:
         yield out
 
@@ -279,14 +281,16 @@ def _resolve(batches):
 def _windows(batches):
     """Windows of the segments of hot anchors, a row each, to be dealt out by their own hashes."""
     powers = Powers(0x5851F42D4C957F2D), Powers(0x14057B7EF767814F)
-    for b in batches:
-        rows = list(zip(*(b.column(k).to_pylist() for k in range(8))))
-        if not rows:
-            continue
-        h, c, part, place = _dense([r[7] for r in rows], np.array([r[6] for r in rows]), powers)
-        get = lambda k, t: pa.array([rows[i][k] for i in part], t)
-        first = np.array([r[5] for r in rows])[part] + place
-        yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), get(2, pa.int64()), get(3, pa.int64()), get(4, pa.bool_()), pa.array(first.astype(np.int32)), pa.array(np.ones(len(part), np.int32))], names=["h", "c", "doc", "rid", "none", "first", "count"])
+    for batch in batches:
+        # parts of about CHUNK windows
+        part_of = (np.cumsum(np.asarray(batch.column(6)), dtype=np.int64) - 1) // CHUNK
+        edges = np.flatnonzero(np.diff(part_of, prepend=-1, append=-1)) if batch.num_rows else []
+        for lo, hi in zip(edges, edges[1:]):
+            b = batch.slice(int(lo), int(hi - lo))
+            h, c, part, place = _dense(b.column(7).to_pylist(), np.asarray(b.column(6)), powers)
+            first = np.asarray(b.column(5))[part] + place
+            doc, rid, none = (b.column(k).take(pa.array(part)) for k in (2, 3, 4))
+            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), doc, rid, none, pa.array(first.astype(np.int32)), pa.array(np.ones(len(part), np.int32))], names=["h", "c", "doc", "rid", "none", "first", "count"])
 
 
 def _cut(batches):
@@ -326,7 +330,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = found.join(whole, F.expr("h = h2 and c = c2"))
     sure = materialize(found.groupBy("doc", "rid", "none").agg(F.collect_set(F.struct("first", "count")).alias("marks")), "suffix-sure")
     release(spark)
-    size = met.where("other").groupBy("h").agg(F.count("*").alias("k")).select(F.col("h").alias("h2"), (F.col("k") > HOT).alias("hot"))
+    size = met.where("other").groupBy("h").agg(F.sum("count").alias("k")).select(F.col("h").alias("h2"), (F.col("k") > HOT).alias("hot"))
     parts = met.where("other").join(size, F.expr("h = h2")).groupBy("doc", "rid", "none").agg(F.collect_set(F.struct("first", "count", "h", "hot")).alias("parts"))
     parts = parts.select(F.when(~F.col("none"), F.col("doc")).alias("d"), F.col("rid").alias("r"), "parts")
     found = rows.join(parts, F.expr("doc <=> d and rid = r")).dropDuplicates(["doc", "rid"]).select("doc", "rid", "text", "parts")
