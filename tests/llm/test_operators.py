@@ -235,3 +235,22 @@ def test_members_of_nodes_over_batch_bounds(cut, monkeypatch):
     got = [r for out in near._members(batch.slice(at, cut) for at in range(0, len(rows), cut)) for r in zip(*(c.to_pylist() for c in out.columns))]
     assert sorted(got) == want
     assert list(near._members(iter([]))) == []
+
+
+def test_windows_dealt_out_give_the_same_cuts(docs, monkeypatch):
+    got = lambda: sorted(map(tuple, suffix_dedup.cut_repeats(docs).collect()), key=str)
+    want = got()
+    monkeypatch.setattr(suffix_dedup, "HOT", 0)
+    assert got() == want and any(r[2] for r in want)
+
+
+def test_windows_go_in_parts(monkeypatch):
+    import pyarrow as pa
+    rows = [(i, True, i, i, False, 0, n, bytes((7 * i + k) % 251 for k in range(n + 199))) for i, n in enumerate((3, 50, 1, 400, 2))]
+    types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
+    batch = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["h", "hot", "doc", "rid", "none", "first", "count", "data"])
+    flat = lambda: [x for b in suffix_dedup._windows(iter([batch, batch.slice(0, 0)])) for x in zip(*(c.to_pylist() for c in b.columns))]
+    whole = flat()
+    assert len(whole) == 456
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 40)
+    assert flat() == whole
