@@ -158,6 +158,19 @@ def test_lines(docs, none):
     assert line_dedup.drop_lines(none).count() == 0
 
 
+def test_one_changed_character_in_a_line_of_60_is_a_copy(spark):
+    r = random.Random(60)
+    rows = []
+    for i in range(200):
+        x = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=60))
+        at = r.randrange(10, 50)
+        rows += [(2 * i, x), (2 * i + 1, x[:at] + "0" + x[at + 1:])]
+        assert 0.8 <= len(line_dedup.grams(x) & line_dedup.grams(rows[-1][1])) / len(line_dedup.grams(x) | line_dedup.grams(rows[-1][1])) < 0.85
+    gone = {r.doc_id: r._gone for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(gone[2 * i] for i in range(200)) and sum(gone.values()) >= 199
+    assert 1 - (1 - (line_dedup.PERCENT / 100) ** line_dedup.ROWS) ** line_dedup.BANDS >= 0.997
+
+
 def test_warc(spark, tmp_path):
     body = "<p>" + "x y z é " * 200
     pages = spark.createDataFrame([(1, "http://a/1\n", body), (2, "http://a/2", body), (3, None, None), (4, "u", "short"), (5, "u", "short"), (6, "u", body)], "page_id long, url string, html string")
