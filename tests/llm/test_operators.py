@@ -171,6 +171,13 @@ def test_one_changed_character_in_a_line_of_60_is_a_copy(spark):
     assert 1 - (1 - (line_dedup.PERCENT / 100) ** line_dedup.ROWS) ** line_dedup.BANDS >= 0.997
 
 
+def test_equal_short_lines_repeat(spark):
+    short = ["x" * n for n in range(1, 20)]
+    rows = [(1, "\n".join(short) + "\n\n \n"), (2, "\n".join(x.upper() + "  " for x in short)), (3, "y\n\nchapter 1\nchapter 10\nlonger than that: 20"), (4, "y\n  CHAPTER \t 1\n"), (5, None)]
+    got = {r.doc_id: (r.text, r._gone) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("", 19), 3: (rows[2][1], 0), 4: ("", 2), 5: (None, 0)}
+
+
 def test_warc(spark, tmp_path):
     body = "<p>" + "x y z é " * 200
     pages = spark.createDataFrame([(1, "http://a/1\n", body), (2, "http://a/2", body), (3, None, None), (4, "u", "short"), (5, "u", "short"), (6, "u", body)], "page_id long, url string, html string")
