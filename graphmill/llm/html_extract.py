@@ -2,8 +2,8 @@
 
 Pages are range-sorted by host and URL path.  Each is cut into text lines (blocks).  What it shares with its nearest
 neighbour, aligned by longest common subsequence, is the site's and goes; so does what its own markup names as a menu, header,
-footer, sidebar, notice, advert, form, script, style or comment.  Lines inside an article element are the page's own and
-stay even where the neighbour has them too: pages may carry the same article.
+footer, sidebar, notice, advert, form, script, style or comment.  Lines inside an article element are judged alike, but where the
+neighbour carries the same article they stay: pages may be copies of one another.
 """
 from __future__ import annotations
 
@@ -124,13 +124,21 @@ def common(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
+def carries(page: list[tuple[str, bool, bool]], neighbour: list[tuple[str, bool, bool]]) -> bool:
+    """Whether the neighbour has the page's article too: lines of more than half of its characters."""
+    own = [i for i, (_, own, around) in enumerate(page) if own and not around]
+    shared = common([x[0] for x in page], [x[0] for x in neighbour]) if own else set()
+    return 2 * sum(len(page[i][0]) for i in own if i in shared) > sum(len(page[i][0]) for i in own)
+
+
 def article(page: list[tuple[str, bool, bool]], neighbour: list[tuple[str, bool, bool]] | None) -> list[str]:
-    """Blocks that are the page's own."""
-    has = any(own and not around for _, own, around in page)
+    """Blocks that are the page's own: those the neighbour doesn't share, and the lines of an article that both pages carry."""
     shared: set[int] = set()
     if neighbour is not None and page != neighbour:
         shared = common([x[0] for x in page], [x[0] for x in neighbour])
-    return [t for i, (t, own, around) in enumerate(page) if not around and (own or not has and i not in shared)]
+        if carries(page, neighbour):
+            shared = {i for i in shared if not page[i][1]}
+    return [t for i, (t, _, around) in enumerate(page) if not around and i not in shared]
 
 
 def host_and_path(url: str | None) -> tuple[str, str]:
@@ -151,7 +159,7 @@ def _shared_run(a: str, b: str) -> int:
 
 
 def _extract(batches):
-    """Rows sorted by host and path: a page's neighbours are the rows before and after it on the same host; the nearer by path counts, of those that differ in text."""
+    """Rows sorted by host and path: a page's neighbours are the rows before and after it on the same host; the nearer by path counts, of those that differ in text and, if there are such, carry another article."""
     def pages():
         for b in batches:
             for i, u, h in zip(*(b.column(k).to_pylist() for k in range(3))):
@@ -162,7 +170,8 @@ def _extract(batches):
         for x in (prev, after):
             if x is not None and x[2][0] == now[2][0] and x[3] != now[3]:
                 near.append((_shared_run(x[2][1], now[2][1]), x[3]))
-        best = max(near, key=lambda x: x[0])[1] if near else None
+        near.sort(key=lambda x: -x[0])
+        best = next((x for _, x in near if not carries(now[3], x)), near[0][1] if near else None)
         text = "\n\n".join(article(now[3], best))
         return now[0], now[1], text, len(text)
 

@@ -200,6 +200,20 @@ def test_html(spark):
     assert html_extract.common(list("abcbdab"), list("bdcaba")).__len__() == 4
 
 
+def test_html_shared_lines_go_inside_an_article_and_others_stay_outside():
+    import pyarrow as pa
+    page = lambda body, teaser: f"<body><div>Site line</div><div>{body}</div><article><p>{teaser}</p><p>Get our weekly letter</p></article>"
+    long = "an article that is a good deal longer than the lines around it, number "
+    rows = [(i, f"http://h/{i}", page(f"body {i}", long + str(i))) for i in range(3)]
+    rows += [(i, f"http://k/{i}", page(f"body {i}", long + "nil")) for i in range(3, 6)]  # the same article
+    rows += [(6, "http://k/9", page("body 6", long + "6")), (7, "http://alone/", "<p>text</p><article>teaser</article>")]
+    batch = pa.record_batch([list(c) for c in zip(*sorted(rows, key=lambda r: r[1]))], names=["page_id", "url", "html"])
+    got = {r["page_id"]: r["text"].split("\n\n") for out in html_extract._extract(iter([batch])) for r in out.to_pylist()}
+    assert all(got[i] == [f"body {i}", long + str(i)] for i in (0, 1, 2, 6))
+    assert all(got[i] == [f"body {i}", long + "nil", "Get our weekly letter"] for i in (3, 4)) and got[5] == ["body 5", long + "nil"]
+    assert got[7] == ["text", "teaser"]
+
+
 def test_comparer_finds_all_links_of_a_key_whatever_its_size():
     import random
 
