@@ -60,20 +60,20 @@ def _gathered(batches, rows: int = 16_384):
         yield pa.concat_batches(held)
 
 
-def similarity_components(keyed: DataFrame, verifier: Callable[[DataFrame], tuple], label: str, depth: int, limit: int = NODE_LIMIT) -> DataFrame:
-    """``keyed`` (key long, id long, deep binary: 4 bytes for each further level) -> components (id, component).
+def similarity_components(keyed: DataFrame, verifier: Callable[[DataFrame], tuple], label: str, limit: int = NODE_LIMIT) -> DataFrame:
+    """``keyed`` (key long, id long) -> components (id, component).
 
     1. Members of a node are compared with the node's least id; an id takes the pivot that most of its nodes name.
     2. Verified links give components.  Nodes whose members all lie in one component are done.
     3. Of the other nodes, those that fit a task compare every two members of different components there, by posting
-       lists, and emit the links that join components only; larger ones branch by their next token, again and again.  Members of nodes that no
-       token splits any more are dealt into blocks that meet block by block, so no member is dropped.
+       lists, and emit the links that join components only.  Members of larger ones are dealt into blocks that meet block by
+       block, so no pair of a node is left out, whatever the node's size.
 
     ``verifier`` is given the ids that share a node with another and returns three things: their contents (id, text); a
     function that takes (a, b) with a < b and returns those that hold; and that of ``comparer``.
     """
     spark = keyed.sparkSession
-    nodes = materialize(keyed.repartition(F.col("key")).sortWithinPartitions("key", "id").mapInArrow(_members, "key long, id long, deep binary, pivot long"), f"{label}-nodes")
+    nodes = materialize(keyed.repartition(F.col("key")).sortWithinPartitions("key", "id").mapInArrow(_members, "key long, id long, pivot long"), f"{label}-nodes")
     release(spark)
     contents, verify, compare = verifier(nodes.select("id").distinct())
     votes = nodes.where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("n"))
@@ -82,29 +82,16 @@ def similarity_components(keyed: DataFrame, verifier: Callable[[DataFrame], tupl
     comps = materialize(connected_components(first, f"{label}-cc"), f"{label}-comp")
     release(spark)
 
-    at = nodes.join(comps, "id", "left").select("key", "id", "deep", F.coalesce("component", "id").alias("comp"))
+    at = nodes.join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     at = _open(at)
     at = materialize(at.join(contents.select("id", F.octet_length("text").alias("bytes")), "id"), f"{label}-open")
     drop(nodes)
-    leaves = None
-    level = 0
-    while True:
-        sized = at.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("volume"))
-        large = sized.where((F.col("n") > limit) | (F.col("volume") > VOLUME))
-        if large.isEmpty():
-            fit, branch = at, None
-        else:
-            fit, branch = at.join(large, "key", "left_anti"), at.join(large, "key")
-        fit = fit.select("key", "id", "comp")
-        leaves = fit if leaves is None else leaves.union(fit)
-        if branch is None:
-            break
-        if level == depth:
-            leaves = leaves.union(_blocks(branch, limit))
-            break
-        token = F.substring("deep", 4 * level + 1, 4)
-        at = materialize(_open(branch.select(F.xxhash64("key", token).alias("key"), "id", "deep", "comp", "bytes")), f"{label}-open")
-        level += 1
+    sized = at.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("volume"))
+    large = sized.where((F.col("n") > limit) | (F.col("volume") > VOLUME))
+    if large.isEmpty():
+        leaves = at.select("key", "id", "comp")
+    else:
+        leaves = at.join(large, "key", "left_anti").select("key", "id", "comp").union(_blocks(at.join(large, "key"), limit))
     met = leaves.join(contents, "id").select("key", "id", "comp", "text").repartition("key").sortWithinPartitions("key", "id")
     more = materialize(met.mapInArrow(compare, "a long, b long").distinct(), f"{label}-links")
     release(spark)
@@ -120,7 +107,7 @@ def _open(at: DataFrame) -> DataFrame:
 
 
 def _blocks(members: DataFrame, limit: int) -> DataFrame:
-    """Nodes that stay large: members in blocks by hash; each block meets each block as one node that fits a task, so nothing is left out."""
+    """Large nodes: members in blocks by hash; each block meets each block as one node that fits a task, so nothing is left out."""
     k = F.greatest(F.ceil(2 * F.col("n") / F.lit(limit)), F.ceil(2 * F.col("volume") / F.lit(VOLUME))).cast("int")
     x = members.select("key", "id", "comp", k.alias("k"), F.pmod(F.xxhash64("id"), k).cast("int").alias("blk"))
     x = x.select("key", "id", "comp", "blk", F.explode(F.expr("sequence(0, k - 1)")).alias("other"))

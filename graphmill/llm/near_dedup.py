@@ -1,8 +1,8 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 Every tree draws hash functions, one a level.  A document goes to the node named by the shingles that are least under
-them, so two documents of similarity s part with probability 1 - s a level.  Nodes start four levels down; small ones are
-compared exhaustively, larger ones branch on.  Independent trees repeat this until the recall aimed at is reached.  Every
+them, so two documents of similarity s part with probability 1 - s a level.  Nodes lie four levels down and are
+compared exhaustively, large ones block by block.  Independent trees repeat this until the recall aimed at is reached.  Every
 link is confirmed on the full shingle sets.
 """
 from __future__ import annotations
@@ -21,8 +21,8 @@ from .common import materialize, release, small_batches, table
 from .near import comparer, similarity_components
 
 WIDTH, PERCENT = 3, 85
-#: levels of a tree before nodes are looked at, and further ones for nodes that are still large
-LEVELS, FURTHER = 4, 3
+#: levels of a tree
+LEVELS = 4
 #: share of links of exactly the least similarity that is aimed at
 RECALL = 0.9999
 SEED = 20240607
@@ -93,7 +93,7 @@ def _least(s: np.ndarray, odd: np.ndarray) -> np.ndarray:
 
 def _sign(width: int, trees: int):
     def run(batches):
-        odd = np.random.default_rng(SEED).integers(0, 1 << 63, trees * (LEVELS + FURTHER), np.uint64) * np.uint64(2) + np.uint64(1)
+        odd = np.random.default_rng(SEED).integers(0, 1 << 63, trees * LEVELS, np.uint64) * np.uint64(2) + np.uint64(1)
         salt = np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
         seen: dict = {}
         for b in batches:
@@ -106,12 +106,11 @@ def _sign(width: int, trees: int):
                     keys.append(None)
                     continue
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                m = _mix(_least(s, odd)).reshape(trees, LEVELS + FURTHER)
+                m = _mix(_least(s, odd)).reshape(trees, LEVELS)
                 key = salt.copy()
                 for k in range(LEVELS):
                     key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + m[:, k])
-                deep = (m[:, LEVELS:] >> np.uint64(32)).astype("<u4")
-                keys.append(key.astype("<u8").tobytes() + deep.tobytes())
+                keys.append(key.astype("<u8").tobytes())
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.binary())], names=["doc_id", "n_shingles", "digest", "keys"])
     return run
 
@@ -122,10 +121,8 @@ def _nodes(trees: int):
             if not b.num_rows:
                 continue
             ids = np.repeat(np.asarray(b.column(0)), trees)
-            raw = b.column(1).to_pylist()
-            key = np.concatenate([np.frombuffer(x, "<i8", trees) for x in raw])
-            deep = [x[8 * trees + 4 * FURTHER * t:8 * trees + 4 * FURTHER * (t + 1)] for x in raw for t in range(trees)]
-            yield pa.record_batch([pa.array(key), pa.array(ids), pa.array(deep, pa.binary())], names=["key", "id", "deep"])
+            key = np.concatenate([np.frombuffer(x, "<i8", trees) for x in b.column(1).to_pylist()])
+            yield pa.record_batch([pa.array(key), pa.array(ids)], names=["key", "id"])
     return run
 
 
@@ -168,7 +165,7 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     signed = materialize(rows.mapInArrow(_sign(width, trees), "doc_id long, n_shingles long, digest binary, keys binary"), "near-signed")
     reps = materialize(signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "near-reps")
     release(spark)
-    keyed = reps.select("rep", "keys").mapInArrow(_nodes(trees), "key long, id long, deep binary")
+    keyed = reps.select("rep", "keys").mapInArrow(_nodes(trees), "key long, id long")
 
     def verifier(ids):
         wanted = rows.join(ids, F.col("doc_id") == F.col("id")).select("id", "text").dropDuplicates(["id"])
@@ -176,7 +173,7 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         release(spark)
         return contents, pair_check(contents, _confirm(width, percent)), comparer(partial(_set_of, width), percent, joining=True)
 
-    comps = similarity_components(keyed, verifier, "near", FURTHER)
+    comps = similarity_components(keyed, verifier, "near")
     named = reps.select("digest", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     named = named.select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, F.expr("digest = d and doc_id is not null"), "left")

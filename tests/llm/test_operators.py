@@ -75,6 +75,16 @@ def test_near(docs, none):
     assert near_dedup.near_components(none).count() == 0
 
 
+def test_a_node_over_the_limit_is_compared_as_a_whole(spark):
+    from graphmill.llm import near
+    texts = {0: "a b c d", **{i: f"e f g h i j k l m n {'xyz'[i % 3]}{i // 9}" for i in range(1, 40)}}  # the pivot, 0, is like none
+    contents = spark.createDataFrame(list(texts.items()), "id long, text string")
+    keyed = spark.createDataFrame([(1, i) for i in texts], "key long, id long")
+    sets = lambda t: set(t.split())
+    got = near.similarity_components(keyed, lambda ids: (contents, lambda pairs: pairs.where("a <> 0"), near.comparer(sets, 80, joining=True)), "test", limit=4).collect()
+    assert {r.id: r.component for r in got} == {i: 1 for i in range(1, 40)}
+
+
 def test_rules(docs, none):
     labels = docs.select("doc_id", F.lit(1).alias("quality"))
     for r in rules.judge(docs, labels).collect():
