@@ -23,14 +23,14 @@ def relevance(kind="ir_type"):
 
 
 def deduplicate(corpus: Corpus) -> DataFrame:
-    """Nodes of one type, symbol and first argument in a graph become the first of them, with their number."""
-    key = ["graph_id", "type", "symbol", "arg0"]
-    return corpus.nodes.groupBy(*key).agg(F.min("node_ord").alias("node_ord"), F.count("*").alias("occurrences"))
+    """Nodes of one type, symbol and arguments in a graph become the first of them, with their number."""
+    key = ["graph_id", "type", "symbol", "arg0", "args"]
+    return corpus.nodes.groupBy(*key).agg(F.min("node_ord").alias("node_ord"), F.count("*").alias("occurrences")).drop("args")
 
 
 def rank_nodes(corpus: Corpus, text: str) -> DataFrame:
     words = keywords(text)
-    hay = F.lower(F.concat_ws(" ", "symbol", "arg0"))
+    hay = F.lower(F.concat_ws(" ", "symbol", "args"))
     score = sum((hay.contains(w).cast("int") for w in words), F.lit(0))
     order = Window.partitionBy("graph_id").orderBy(F.desc("score"), F.desc("relevance"), "node_ord")
     n = corpus.nodes.withColumn("score", score).withColumn("relevance", relevance())

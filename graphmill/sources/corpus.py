@@ -14,7 +14,7 @@ KINDS = ("ir:auth_gate", "ir:authz_check", "ir:business_handler", "ir:validation
 @dataclass(frozen=True)
 class Corpus:
     graphs: DataFrame  # graph_id, method, path, entrypoint, captured_at
-    nodes: DataFrame  # graph_id, node_ord, type, ir_type, symbol, role, mutates, arg0
+    nodes: DataFrame  # graph_id, node_ord, type, ir_type, symbol, role, mutates, arg0, args (all of them, null as empty)
     edges: DataFrame  # graph_id, src, dst, relation
 
 
@@ -22,7 +22,7 @@ def from_nested(rows: DataFrame) -> Corpus:
     """Nested graph rows (graph_id and ``schema.GRAPH``): array order becomes node_ord and edge ends become node_ord."""
     graphs = rows.select("graph_id", "method", "path", "entrypoint", F.lit(None).cast("timestamp").alias("captured_at"))
     n = rows.select("graph_id", F.posexplode("nodes").alias("p", "n"))
-    nodes = n.select("graph_id", (F.col("p") + 1).cast("bigint").alias("node_ord"), F.col("n.id").alias("id"), F.col("n.type").alias("type"), schema.ir_type(F.col("n.type")).alias("ir_type"), F.col("n.symbol").alias("symbol"), F.col("n.role").alias("role"), F.coalesce("n.mutates", F.lit(False)).alias("mutates"), F.get("n.args", F.lit(0)).alias("arg0"))
+    nodes = n.select("graph_id", (F.col("p") + 1).cast("bigint").alias("node_ord"), F.col("n.id").alias("id"), F.col("n.type").alias("type"), schema.ir_type(F.col("n.type")).alias("ir_type"), F.col("n.symbol").alias("symbol"), F.col("n.role").alias("role"), F.coalesce("n.mutates", F.lit(False)).alias("mutates"), F.get("n.args", F.lit(0)).alias("arg0"), F.coalesce("n.args", F.array().cast("array<string>")).alias("args"))
     e = rows.select("graph_id", F.explode("edges").alias("e"))
     ends = nodes.select("graph_id", "id", "node_ord")
     e = e.select("graph_id", F.col("e.from").alias("e_from"), F.col("e.to").alias("e_to"), F.col("e.relation").alias("relation"))
@@ -41,7 +41,7 @@ def derived(spark: SparkSession, sf_dir: str) -> Corpus:
     lines = t("lineitem").join(t("part"), F.expr("p_partkey = l_partkey"))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     kind = F.get(kinds, (F.col("l_partkey") % 16).cast("int"))
-    nodes = lines.select(F.col("l_orderkey").alias("graph_id"), F.row_number().over(order).cast("bigint").alias("node_ord"), kind.alias("type"), schema.ir_type(kind).alias("ir_type"), F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.lit("::"), F.lower("p_type")).alias("symbol"), F.col("l_returnflag").alias("role"), (F.col("l_linestatus") == "F").alias("mutates"), F.col("p_brand").alias("arg0"), "l_discount")
+    nodes = lines.select(F.col("l_orderkey").alias("graph_id"), F.row_number().over(order).cast("bigint").alias("node_ord"), kind.alias("type"), schema.ir_type(kind).alias("ir_type"), F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.lit("::"), F.lower("p_type")).alias("symbol"), F.col("l_returnflag").alias("role"), (F.col("l_linestatus") == "F").alias("mutates"), F.col("p_brand").alias("arg0"), F.array("p_brand").alias("args"), "l_discount")
     # edges follow from a node and the number of nodes of its graph, so they need no join
     n = nodes.withColumn("n", F.max("node_ord").over(Window.partitionBy("graph_id")))
     step = F.filter(F.array(F.struct((F.col("node_ord") + 1).alias("dst"), F.lit("next_middleware").alias("relation"), (F.col("node_ord") < F.col("n")).alias("ok")), F.struct((F.col("node_ord") + 2).alias("dst"), F.lit("ir:calls").alias("relation"), ((F.col("node_ord") + 2 <= F.col("n")) & (F.col("l_discount") > 0.05)).alias("ok")), F.struct(F.lit(1).cast("bigint").alias("dst"), F.lit("ir:wraps").alias("relation"), ((F.col("role") == "R") & (F.col("node_ord") > 1)).alias("ok"))), lambda x: x["ok"])

@@ -47,3 +47,15 @@ def test_bad_queries(text):
 def test_unknown_predicate():
     with pytest.raises(SyntaxError):
         language.compile_tree(language.parse("nonsense"))
+
+
+def test_all_arguments_count(spark):
+    from graphmill import schema
+    from graphmill.operators import retrieve
+    from graphmill.sources.corpus import from_nested
+    nodes = [{"id": str(i), "type": "ir:service_call", "symbol": "A::b", "args": a} for i, a in enumerate((["x", "one"], ["x", "two"], ["x", "one"], [], None))]
+    data = [("g", "GET /", "GET", "/", "f", [tuple(n.get(f.name) for f in schema.NODE) for n in nodes], [])]
+    from pyspark.sql import types as T
+    corpus = from_nested(spark.createDataFrame(data, T.StructType([T.StructField("graph_id", T.StringType()), *schema.GRAPH.fields])))
+    assert sorted((r.node_ord, r.occurrences) for r in retrieve.deduplicate(corpus).collect()) == [(1, 2), (2, 1), (4, 2)]
+    assert [r.node_ord for r in retrieve.rank_nodes(corpus, "the two").orderBy("rank").collect()][0] == 2
