@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
@@ -20,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, or one of our own where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session; in local mode, where it is unset, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="graphmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -82,6 +85,11 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """One column ``row`` that holds all of ``docs``, so that whatever its columns are called, an operator's own names don't clash with them."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -4,60 +4,93 @@ Used by the chosen-path join of documents and by the banded join of lines.
 """
 from __future__ import annotations
 
-from collections import Counter
+import itertools
+import tempfile
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop, materialize, release
 from .components import connected_components
 
-#: nodes of up to so many members and bytes of text are compared exhaustively in one task; up to FEW of them set by set
-NODE_LIMIT, VOLUME, FEW = 2048, 8 << 20, 12
-
-
-def _members(batches):
-    """Rows sorted by (key, id): for every key with two ids or more, its rows with the least id. Of the key at a batch's end the first row is held."""
-    first, prev, told = None, None, False  # the open key's first row as a batch, its last id, whether the first row was given out
-    for batch in _gathered(batches):
-        if first is not None:
-            batch = pa.concat_batches([first, batch])
-        key, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        before = ids[:-1].copy()
-        if first is not None and len(before):
-            before[0] = prev
-        same = key[1:] == key[:-1]
-        kept = np.flatnonzero(np.concatenate([[True], ~(same & (ids[1:] == before))]))
-        k = key[kept]
-        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        sizes = np.diff(np.append(starts, len(k)))
-        out = np.repeat(sizes > 1, sizes)
-        if first is not None and told:
-            out[0] = False
-        if out.any():
-            got = batch.take(pa.array(kept[out]))
-            yield got.append_column("pivot", pa.array(np.repeat(ids[kept[starts]], sizes)[out], pa.int64()))
-        held = len(starts) == 1 and first is not None
-        told = bool(sizes[-1] > 1) or (held and told)
-        first, prev = batch.slice(int(kept[starts[-1]]), 1), ids[-1]
-
-
-def _gathered(batches, rows: int = 16_384):
-    """Batches of ``rows`` or more, so that what is done for a batch is paid seldom."""
-    held, n = [], 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(b)
-        n += b.num_rows
-        if n >= rows:
-            yield pa.concat_batches(held)
-            held, n = [], 0
-    if held:
-        yield pa.concat_batches(held)
+#: nodes of up to so many members and bytes of text are compared exhaustively in one task
+NODE_LIMIT, VOLUME = 2048, 8 << 20
+#: rows (key, id) that a task sorts together
+GATHER = 4_000_000
+#: bits of a set's bitmap
+BITS = 2048
+
+
+def _ordered(rows: np.ndarray) -> np.ndarray:
+    """By key, then id, each pair once."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    return rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])] if len(rows) else rows
+
+
+def _nodes(rows: np.ndarray):
+    """(keys, ids, pivots) of the keys with two ids or more."""
+    rows = _ordered(rows)
+    if not len(rows):
+        return
+    key, ids = rows[:, 0], rows[:, 1]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sizes = np.diff(np.append(starts, len(key)))
+    out = np.repeat(sizes > 1, sizes)
+    yield key[out], ids[out], np.repeat(ids[starts], sizes)[out]
+
+
+def _read(f, rows: int = -1) -> np.ndarray:
+    return np.fromfile(f, np.int64, rows if rows < 0 else 2 * rows).reshape(-1, 2)
+
+
+def _dealt(parts, most: int, level: int = 0):
+    """The nodes of many rows: these are dealt into files by the next bits of their keys until a file fits; a key of its own streams from its file."""
+    files = [tempfile.TemporaryFile() for _ in range(16)]
+    for rows in parts:
+        part = (rows[:, 0].view(np.uint64) >> np.uint64(60 - 4 * level)) & np.uint64(15)
+        for k, f in enumerate(files):
+            rows[part == k].tofile(f)
+    for f in files:
+        n = f.tell() // 16
+        f.seek(0)
+        again = iter(lambda f=f: _read(f, most), None)
+        if n <= most:
+            yield from _nodes(_read(f))
+        elif level < 15:
+            yield from _dealt(itertools.takewhile(len, again), most, level + 1)
+        else:
+            low, high = map(list, zip(*((x[:, 1].min(), x[:, 1].max()) for x in itertools.takewhile(len, again))))
+            f.seek(0)
+            for x in itertools.takewhile(len, again if min(low) < max(high) else ()):
+                yield x[:, 0], x[:, 1], np.full(len(x), min(low))
+        f.close()
+
+
+def _members(batches, most: int = GATHER):
+    """(key, id) rows of whole keys: for every key with two ids or more, its rows with the least id.
+
+    Rows beyond ``most`` go through files in the task's own folder, so memory is bounded, whatever the size of a key.
+    """
+    def parts():
+        held, n = [], 0
+        for b in batches:
+            held.append(np.stack([np.asarray(b.column(0)), np.asarray(b.column(1))], 1))
+            n += b.num_rows
+            if n >= most:
+                yield np.concatenate(held)
+                held, n = [], 0
+        if held:
+            yield np.concatenate(held)
+
+    got = parts()
+    some = list(itertools.islice(got, 2))
+    found = _dealt(itertools.chain(some, got), most) if len(some) > 1 else itertools.chain.from_iterable(map(_nodes, some))
+    for columns in found:
+        for i in range(0, len(columns[0]), 100_000):
+            yield pa.record_batch([pa.array(c[i:i + 100_000]) for c in columns], names=["key", "id", "pivot"])
 
 
 def similarity_components(keyed: DataFrame, verifier: Callable[[DataFrame], tuple], label: str, limit: int = NODE_LIMIT) -> DataFrame:
@@ -65,15 +98,15 @@ def similarity_components(keyed: DataFrame, verifier: Callable[[DataFrame], tupl
 
     1. Members of a node are compared with the node's least id; an id takes the pivot that most of its nodes name.
     2. Verified links give components.  Nodes whose members all lie in one component are done.
-    3. Of the other nodes, those that fit a task compare every two members of different components there, by posting
-       lists, and emit the links that join components only.  Members of larger ones are dealt into blocks that meet block by
-       block, so no pair of a node is left out, whatever the node's size.
+    3. Of the other nodes, those that fit a task compare every two members of different components there and emit the links
+       that join components only.  Larger ones branch further: by the rarest elements of each member, as many as any set that is
+       alike must share one of (``_branches``), so no pair is left out and no pair of a node is written out.
 
     ``verifier`` is given the ids that share a node with another and returns three things: their contents (id, text); a
-    function that takes (a, b) with a < b and returns those that hold; and that of ``comparer``.
+    function that takes (a, b) with a < b and returns those that hold; and a ``Comparer``.
     """
     spark = keyed.sparkSession
-    nodes = materialize(keyed.repartition(F.col("key")).sortWithinPartitions("key", "id").mapInArrow(_members, "key long, id long, pivot long"), f"{label}-nodes")
+    nodes = materialize(keyed.repartition(F.col("key")).mapInArrow(_members, "key long, id long, pivot long"), f"{label}-nodes")
     release(spark)
     contents, verify, compare = verifier(nodes.select("id").distinct())
     votes = nodes.where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("n"))
@@ -91,9 +124,10 @@ def similarity_components(keyed: DataFrame, verifier: Callable[[DataFrame], tupl
     if large.isEmpty():
         leaves = at.select("key", "id", "comp")
     else:
-        leaves = at.join(large, "key", "left_anti").select("key", "id", "comp").union(_blocks(at.join(large, "key"), limit))
+        inside = at.join(large.select("key"), "key", "left_semi").join(contents, "id").select("key", "id", "comp", "text")
+        leaves = at.join(large, "key", "left_anti").select("key", "id", "comp").union(_branches(inside, compare, label))
     met = leaves.join(contents, "id").select("key", "id", "comp", "text").repartition("key").sortWithinPartitions("key", "id")
-    more = materialize(met.mapInArrow(compare, "a long, b long").distinct(), f"{label}-links")
+    more = materialize(met.mapInArrow(compare.run, "a long, b long").distinct(), f"{label}-links")
     release(spark)
     if more.isEmpty():
         return comps
@@ -106,81 +140,110 @@ def _open(at: DataFrame) -> DataFrame:
     return at.join(keys, "key")
 
 
-def _blocks(members: DataFrame, limit: int) -> DataFrame:
-    """Large nodes: members in blocks by hash; each block meets each block as one node that fits a task, so nothing is left out."""
-    k = F.greatest(F.ceil(2 * F.col("n") / F.lit(limit)), F.ceil(2 * F.col("volume") / F.lit(VOLUME))).cast("int")
-    x = members.select("key", "id", "comp", k.alias("k"), F.pmod(F.xxhash64("id"), k).cast("int").alias("blk"))
-    x = x.select("key", "id", "comp", "blk", F.explode(F.expr("sequence(0, k - 1)")).alias("other"))
-    return x.select(F.xxhash64("key", F.least("blk", "other"), F.greatest("blk", "other")).alias("key"), "id", "comp")
+def _branches(members: DataFrame, compare: Comparer, label: str) -> DataFrame:
+    """Children (key, id, comp) of large nodes.
 
+    A node's elements are ordered by how many members hold them, rarest first.  Of two sets with 100 * common >= percent *
+    united, each shares more than all but its ``n - ceil(percent * n / 100)`` elements with the other, so among the first
+    ``n - ceil(percent * n / 100) + 1`` of both, by one order, there is a common one.  A child holds the members that have such an
+    element in common; the rows are those of the texts' elements, whatever the members share.
+    """
+    x = materialize(members.mapInArrow(compare.elements, "key long, id long, comp long, e long, n int"), f"{label}-elements")
+    often = x.groupBy("key", "e").agg(F.count("*").alias("often")).select(F.col("key").alias("k2"), F.col("e").alias("e2"), "often")
+    order = Window.partitionBy("key", "id").orderBy("often", "e")
+    y = x.join(often, F.expr("key = k2 and e = e2")).withColumn("at", F.row_number().over(order))
+    y = y.where((F.col("often") > 1) & (F.col("at") <= F.expr(f"n - cast(ceil({compare.percent} * n / 100) as int) + 1")))
+    return _open(y.select(F.xxhash64("key", "e").alias("key"), "id", "comp"))
+
+
+class Comparer:
+    """Compares the members of nodes, rows (key, id, comp, text) sorted by key.
+
+    ``run`` gives (a, b), a < b: members of one key, of different components, whose ``sets`` are alike.  Every set has a bitmap of its
+    elements' hashes: as many bits as two bitmaps differ in, so many elements at least are not common, and only pairs that this
+    doesn't rule out have their sets built and compared in full.  Members of the commonest component are not compared
+    among themselves.  With ``joining``, a link within a component that the key's earlier links make is left out: the
+    components are the same, and a key gives fewer rows than it has members.
+    """
 
-def comparer(sets: Callable, percent: int, joining: bool = False):
-    """A function over rows (key, id, comp, text) sorted by key -> (a, b), a < b: members of one key, of different components, whose ``sets`` are alike.
+    def __init__(self, sets: Callable, percent: int, joining: bool = False, places: Callable | None = None):
+        """``places``: the hashes of a text's elements as an array, repeats included, if there is a faster way to them than the set."""
+        self.sets, self.percent, self.joining, self.places = sets, percent, joining, places
 
-    One key is held at a time, as numbers of its elements.  Members of the commonest component are not compared among
-    themselves; every other member meets those outside its component through the posting lists of its elements, so the
-    memory needed is linear in the texts.  With ``joining``, a link within a component that the key's earlier links make is
-    left out: the components are the same, and a key gives fewer rows than it has members.
-    """
-    def run(batches):
+    def run(self, batches):
         held: list = []
+        size = 0
         for b in batches:
-            out = []
             for row in zip(*(b.column(k).to_pylist() for k in range(4))):
-                if held and held[0][0] != row[0]:
-                    out += _links(held, sets, percent, joining)
-                    held = []
+                if (len(held) >= 1024 or size > VOLUME) and held[-1][0] != row[0]:
+                    yield from self._links(held)
+                    held, size = [], 0
                 held.append(row)
-            if out:
-                yield _pairs(out)
-        if held and (out := _links(held, sets, percent, joining)):
-            yield _pairs(out)
-    return run
-
-
-def _pairs(rows: list) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
-
-
-def _links(rows: list, sets: Callable, percent: int, joining: bool) -> list:
-    comp = np.array([r[2] for r in rows])
-    ids = np.array([r[1] for r in rows])
-    common = Counter(comp.tolist()).most_common(1)[0]
-    if common[1] == len(rows):
-        return []
-    if len(rows) <= FEW:
-        have = [sets(r[3]) for r in rows]
-        alike = lambda i, others: [j for j in others if _alike(have[i], have[j], percent)]
-    else:
-        alike = _postings([sets(r[3]) for r in rows], percent)
-    out = []
-    for i in np.flatnonzero(comp != common[0]):
-        for j in alike(i, np.flatnonzero(comp != comp[i])):
-            if comp[i] != comp[j]:
-                out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
-                if joining:
-                    comp[comp == comp[j]] = comp[i]
-    return out
-
-
-def _postings(have: list, percent: int) -> Callable:
-    number: dict = {}
-    have = [np.array([number.setdefault(e, len(number)) for e in x], np.int64) for x in have]
-    size = np.array([len(x) for x in have])
-    flat = np.concatenate(have)
-    owner = np.repeat(np.arange(len(have)), size)[np.argsort(flat, kind="stable")]
-    ends = np.cumsum(np.bincount(flat, minlength=len(number)))
-    starts = np.concatenate([[0], ends[:-1]])
-
-    def alike(i, others):
-        if not size[i] or not len(others):
-            return []
-        both = np.bincount(np.concatenate([owner[starts[e]:ends[e]] for e in have[i]]), minlength=len(have))
-        return others[((100 * both >= percent * (size[i] + size - both)) & (both > 0))[others]]
-    return alike
-
-
-def _alike(a: set, b: set, percent: int) -> bool:
+                size += len(row[3])
+        if held:
+            yield from self._links(held)
+
+    def elements(self, batches):
+        """(key, id, comp, element, size of the set) of each member's set."""
+        for b in batches:
+            for key, i, comp, text in zip(*(b.column(k).to_pylist() for k in range(4))):
+                e = np.array([_digest(x) for x in self.sets(text)], np.int64)
+                n = len(e)
+                if n:
+                    yield pa.record_batch([pa.array(np.full(n, v), pa.int64()) for v in (key, i, comp)] + [pa.array(e), pa.array(np.full(n, n), pa.int32())], names=["key", "id", "comp", "e", "n"])
+
+    def _links(self, rows: list):
+        keys = np.array([r[0] for r in rows])
+        sets: dict[int, set] = {}
+        maps = np.zeros((len(rows), BITS), bool)
+        size = np.zeros(len(rows), np.int64)  # elements at most
+        for i, r in enumerate(rows):
+            if self.places is None:
+                sets[i] = own = self.sets(r[3])
+                at = np.fromiter(map(hash, own), np.int64, len(own))
+            else:
+                at = self.places(r[3])
+            maps[i, at.view(np.int64) & (BITS - 1)] = True
+            size[i] = len(at)
+        maps = np.packbits(maps, axis=1).view(np.uint64)
+        out: list = []
+        lo = 0
+        for hi in np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(rows)):
+            self._node(rows, lo, hi, maps, size, sets, out)
+            lo = hi
+        if out:
+            yield pa.record_batch([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def _node(self, rows, lo, hi, maps, size, sets, out) -> None:
+        comp = np.array([r[2] for r in rows[lo:hi]])
+        names, counts = np.unique(comp, return_counts=True)
+        maps, size = maps[lo:hi], size[lo:hi]
+
+        def own(i):
+            if lo + i not in sets:
+                sets[lo + i] = self.sets(rows[lo + i][3])
+            return sets[lo + i]
+
+        for i in np.flatnonzero(comp != names[counts.argmax()]):
+            others = np.flatnonzero(comp != comp[i])
+            apart = np.bitwise_count(maps[others] ^ maps[i]).sum(1, dtype=np.int64)
+            for j in others[self.percent * apart <= (100 - self.percent) * np.minimum(size[others], size[i])]:
+                if comp[i] != comp[j] and alike(own(i), own(j), self.percent):
+                    a, b = rows[lo + i][1], rows[lo + j][1]
+                    out.append((min(a, b), max(a, b)))
+                    if self.joining:
+                        comp[comp == comp[j]] = comp[i]
+
+
+def _digest(element) -> int:
+    """Equal in every process, as Python's own hash is not."""
+    import xxhash
+    data = element.encode("utf-8", "surrogatepass") if isinstance(element, str) else b"\n".join(element)
+    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
+
+
+def alike(a: set, b: set, percent: int) -> bool:
+    """100 * common >= percent * united; an empty set is like none."""
     if not a or not b or min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
         return False
     both = len(a & b)

@@ -2,7 +2,7 @@
 
 Every tree draws hash functions, one a level.  A document goes to the node named by the shingles that are least under
 them, so two documents of similarity s part with probability 1 - s a level.  Nodes lie four levels down and are
-compared exhaustively, large ones block by block.  Independent trees repeat this until the recall aimed at is reached.  Every
+compared exhaustively, large ones branch further by the rarest shingles of their members.  Independent trees repeat this until the recall aimed at is reached.  Every
 link is confirmed on the full shingle sets.
 """
 from __future__ import annotations
@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, release, small_batches, table
-from .near import comparer, similarity_components
+from .common import boxed, materialize, release, small_batches, table
+from .near import Comparer, alike, similarity_components
 
 WIDTH, PERCENT = 3, 85
 #: levels of a tree
@@ -48,13 +48,6 @@ def _set_of(width: int, text: str) -> set:
     return shingles(words(text.encode("utf-8", "surrogatepass")), width)
 
 
-def similar(a: set, b: set, percent: int) -> bool:
-    if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
-        return False
-    both = len(a & b)
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x = x * np.uint64(0xD6E8FEB86659FD93)
@@ -134,7 +127,7 @@ def _confirm(width: int, percent: int):
             for i, (a, ta, tb) in enumerate(zip(b.column(0).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).cast(pa.binary()).to_pylist())):
                 if a != held:
                     held, own = a, shingles(words(ta), width)
-                if similar(own, shingles(words(tb), width), percent):
+                if alike(own, shingles(words(tb), width), percent):
                     keep.append(i)
             if keep:
                 yield b.select(["a", "b"]).take(pa.array(keep))
@@ -171,7 +164,7 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         wanted = rows.join(ids, F.col("doc_id") == F.col("id")).select("id", "text").dropDuplicates(["id"])
         contents = materialize(wanted, "near-texts")
         release(spark)
-        return contents, pair_check(contents, _confirm(width, percent)), comparer(partial(_set_of, width), percent, joining=True)
+        return contents, pair_check(contents, _confirm(width, percent)), Comparer(partial(_set_of, width), percent, joining=True)
 
     comps = similarity_components(keyed, verifier, "near")
     named = reps.select("digest", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
@@ -183,8 +176,8 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
 def drop_near(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without those whose component has a smaller doc_id."""
-    gone = near_components(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_components(docs, width, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    return boxed(docs).join(gone, F.col("row.doc_id").cast("long") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from graphmill.llm import exact_dedup, html_extract, line_dedup, mixing, near_dedup, packing, quality, rules, suffix_dedup, warc
+from graphmill.llm import exact_dedup, html_extract, line_dedup, mixing, near, near_dedup, packing, quality, rules, suffix_dedup, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, id long"
 
@@ -81,7 +81,7 @@ def test_a_node_over_the_limit_is_compared_as_a_whole(spark):
     contents = spark.createDataFrame(list(texts.items()), "id long, text string")
     keyed = spark.createDataFrame([(1, i) for i in texts], "key long, id long")
     sets = lambda t: set(t.split())
-    got = near.similarity_components(keyed, lambda ids: (contents, lambda pairs: pairs.where("a <> 0"), near.comparer(sets, 80, joining=True)), "test", limit=4).collect()
+    got = near.similarity_components(keyed, lambda ids: (contents, lambda pairs: pairs.where("a <> 0"), near.Comparer(sets, 80, joining=True)), "test", limit=4).collect()
     assert {r.id: r.component for r in got} == {i: 1 for i in range(1, 40)}
 
 
@@ -150,7 +150,7 @@ def test_lines(docs, none):
     lines = {}
     for i, t in enumerate(texts()):
         for k, x in enumerate((t or "").split("\n")):
-            if len(n := line_dedup.normal(x)) >= line_dedup.SHORTEST:
+            if n := line_dedup.normal(x):
                 lines.setdefault(n, []).append((i, k))
     names = list(lines)
     grams = [line_dedup.grams(n) for n in names]
@@ -158,13 +158,13 @@ def test_lines(docs, none):
     for _ in range(8):
         for i in range(len(names)):
             for j in range(i):
-                if group[i] != group[j] and line_dedup.alike(grams[i], grams[j]):
+                if group[i] != group[j] and near.alike(grams[i], grams[j], 80):
                     group[i] = group[j] = min(group[i], group[j])
     places = {}
     for i, n in enumerate(names):
         places.setdefault(group[i], []).extend(lines[n])
     gone = Counter(p[0] for ps in places.values() for p in sorted(ps)[1:])
-    assert {r.doc_id: r._gone for r in line_dedup.dedup_lines(docs).collect()} == {i: gone[i] for i in range(len(texts()))}
+    assert {r.row.doc_id: r.gone for r in line_dedup.dedup_lines(docs).collect()} == {i: gone[i] for i in range(len(texts()))}
     assert line_dedup.drop_lines(none).count() == 0
 
 
@@ -176,15 +176,38 @@ def test_one_changed_character_in_a_line_of_60_is_a_copy(spark):
         at = r.randrange(10, 50)
         rows += [(2 * i, x), (2 * i + 1, x[:at] + "0" + x[at + 1:])]
         assert 0.8 <= len(line_dedup.grams(x) & line_dedup.grams(rows[-1][1])) / len(line_dedup.grams(x) | line_dedup.grams(rows[-1][1])) < 0.85
-    gone = {r.doc_id: r._gone for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = {r.row.doc_id: r.gone for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert not any(gone[2 * i] for i in range(200)) and sum(gone.values()) >= 199
     assert 1 - (1 - (line_dedup.PERCENT / 100) ** line_dedup.ROWS) ** line_dedup.BANDS >= 0.997
 
 
+def test_rows_of_one_doc_id_keep_their_own_lines(spark):
+    rows = [(0, "A"), (1, "A\nsecond"), (1, "U\nthird"), (1, "U\nthird"), (None, "third"), (None, None)]
+    got = sorted(((r.row.doc_id, r.row.text, r.gone) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(0, "A", 0), (1, "second", 1), (1, "U", 1), (1, "U", 1), (None, "third", 0), (None, None, 0)], key=str)
+
+
+def test_lines_whose_first_hash_is_equal_stay_apart(spark, monkeypatch):
+    whole = line_dedup._digests
+    monkeypatch.setattr(line_dedup, "_digests", lambda texts: (whole(texts)[0] & 3, whole(texts)[1]))
+    r = random.Random(4)
+    rows = [(i, "".join(r.choices("abcdefghijklmnop qrstuvwxyz", k=60)) + "\nthe same") for i in range(20)]
+    rows += [(20, rows[3][1].split("\n")[0] + "!")]
+    got = {r.row.doc_id: r.gone for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, **{i: 1 for i in range(1, 21)}}
+
+
+def test_a_line_that_stands_often_is_joined_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SOME", 3)
+    rows = [(i, f"hot\nonce {i}") for i in range(10)] + [(10, "twice"), (11, "twice")]
+    got = {r.row.doc_id: r.gone for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, **{i: 1 for i in range(1, 10)}, 10: 0, 11: 1}
+
+
 def test_equal_short_lines_repeat(spark):
     short = ["x" * n for n in range(1, 20)]
     rows = [(1, "\n".join(short) + "\n\n \n"), (2, "\n".join(x.upper() + "  " for x in short)), (3, "y\n\nchapter 1\nchapter 10\nlonger than that: 20"), (4, "y\n  CHAPTER \t 1\n"), (5, None)]
-    got = {r.doc_id: (r.text, r._gone) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.row.doc_id: (r.row.text, r.gone) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (rows[0][1], 0), 2: ("", 19), 3: (rows[2][1], 0), 4: ("", 2), 5: (None, 0)}
 
 
@@ -230,7 +253,8 @@ def test_comparer_finds_all_links_of_a_key_whatever_its_size():
     import pyarrow as pa
 
     from graphmill.llm import near
-    from graphmill.llm.line_dedup import alike, grams
+    from graphmill.llm.line_dedup import grams
+    from graphmill.llm.near import alike
     rnd = random.Random(5)
     base = "the quick brown fox jumps over the lazy dog by the river bank"
     rows = []
@@ -242,10 +266,10 @@ def test_comparer_finds_all_links_of_a_key_whatever_its_size():
     rows += [(3, 70, 70, ""), (3, 71, 71, ""), (4, 80, 80, "lonely")]
     cols = list(zip(*rows))
     batch = pa.record_batch([pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array(cols[3])], names=["key", "id", "comp", "text"])
-    want = {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and x[2] != y[2] and grams(x[3]) and grams(y[3]) and alike(grams(x[3]), grams(y[3]))}
-    got = [(a, b) for out in near.comparer(grams, 80)(iter([batch.slice(0, 33), batch.slice(33)])) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+    want = {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and x[2] != y[2] and grams(x[3]) and grams(y[3]) and alike(grams(x[3]), grams(y[3]), 80)}
+    got = [(a, b) for out in near.Comparer(grams, 80).run(iter([batch.slice(0, 33), batch.slice(33)])) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
     assert want and set(got) == want
-    tree = [(a, b) for out in near.comparer(grams, 80, joining=True)(iter([batch])) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+    tree = [(a, b) for out in near.Comparer(grams, 80, joining=True, places=line_dedup._places).run(iter([batch])) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
     assert set(tree) <= want and len(tree) < len(rows)
 
     def parts(links):
@@ -261,23 +285,20 @@ def test_comparer_finds_all_links_of_a_key_whatever_its_size():
     assert parts(tree) == parts(want)
 
 
-@pytest.mark.parametrize("cut", [1, 2, 3, 7, 50])
-def test_members_of_nodes_over_batch_bounds(cut, monkeypatch):
-    import random
-
+@pytest.mark.parametrize("most", [1, 3, 7, 50, 1000])
+def test_members_of_nodes_whatever_fits_at_once(most):
     import pyarrow as pa
-
-    from graphmill.llm import near
-    rnd = random.Random(cut)
-    rows = sorted((k, rnd.randrange(12), bytes([k])) for k in range(30) for _ in range(rnd.choice([1, 1, 2, 5, 20])))
+    rnd = random.Random(most)
+    keys = [rnd.randrange(-1 << 63, 1 << 63) for _ in range(30)]
+    rows = [(k, rnd.randrange(12)) for k in keys for _ in range(rnd.choice([1, 1, 2, 5, 20]))]
+    rnd.shuffle(rows)
     have = {}
-    for k, i, _ in rows:
+    for k, i in rows:
         have.setdefault(k, set()).add(i)
-    want = sorted((k, i, bytes([k]), min(v)) for k, v in have.items() if len(v) > 1 for i in v)
-    batch = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["key", "id", "deep"])
-    monkeypatch.setattr(near._gathered, "__defaults__", (cut,))
-    got = [r for out in near._members(batch.slice(at, cut) for at in range(0, len(rows), cut)) for r in zip(*(c.to_pylist() for c in out.columns))]
-    assert sorted(got) == want
+    want = {(k, i, min(v)) for k, v in have.items() if len(v) > 1 for i in v}
+    batch = pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], names=["key", "id"])
+    got = [r for out in near._members((batch.slice(at, 5) for at in range(0, len(rows), 5)), most) for r in zip(*(c.to_pylist() for c in out.columns))]
+    assert set(got) == want and (most < 50 or len(got) == len(want))
     assert list(near._members(iter([]))) == []
 
 
