@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import boxed, materialize, table
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: weights given to sources in code-point order, repeating
@@ -20,8 +20,8 @@ HALVES = 3
 MOST = 2
 #: tilt of the schedules: a source's weight runs from 1 + tilt to 1 - tilt of its mean; the cycle's sources differ
 TILTS = (0.5, 0.0, -0.5)
-#: hash buckets in which a source's running sums are built; a hot source spreads over all of them
-BUCKETS = 512
+#: hash buckets in which a source's running sums are built, at least, and rows for which there is one; a hot source spreads over all of them
+BUCKETS, BUCKET_ROWS = 512, 50_000
 
 
 def targets(sizes: DataFrame, halves: int = HALVES, most: int = MOST) -> DataFrame:
@@ -53,18 +53,18 @@ def due(tilt: Column, demand: Column, at: Column) -> Column:
     return F.when(tilt == 0, x).otherwise(2 * x / (b + root))
 
 
-def plan_mix(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, position of every document.
+def _buckets(docs: DataFrame) -> int:
+    return max(BUCKETS, docs.count() // BUCKET_ROWS)
 
-    size: words; null text: 0.  A source's documents stand in the order of a hash of doc_id (then doc_id).  Its target is
-    laid along that order, over and over: each whole pass takes each document once, and the last pass ends where the
-    target does, inside a document if need be.  So taken words add up to the target rounded, and no document passes
-    twice its size.  position: the time in 0..1 of its first word; null where nothing is taken.
-    Rows with the same doc_id and size are interchangeable.  An empty table gives no rows; a null source is a source.
-    """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.expr(f"regexp_count(text, r'{WORDS}')"), F.lit(0)).cast("long").alias("size"))
-    d = d.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    d = d.withColumn("bucket", (F.conv(F.substring("h", 1, 4), 16, 10).cast("int") * buckets / 65536).cast("int"))
+
+def _sized(docs: DataFrame) -> DataFrame:
+    d = boxed(docs).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").alias("source"), F.coalesce(F.expr(f"regexp_count(row.text, r'{WORDS}')"), F.lit(0)).cast("long").alias("size"), F.xxhash64("row.text").alias("rid"))
+    return d.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
+def _planned(d: DataFrame, buckets: int) -> DataFrame:
+    """Rows (doc_id, source, size, rid, h and whatever else) with source_size, target, taken, position and again."""
+    d = d.withColumn("bucket", F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * buckets, 32).cast("int"))
     sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     goals = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")))
     by_bucket = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,30 +72,39 @@ def plan_mix(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     starts = starts.alias("a").join(goals.alias("g"), F.expr("a.source <=> g.source")).select("a.source", "bucket", "start", "source_size", "target", "rank")
     starts = starts.select(F.col("source").alias("source2"), F.col("bucket").alias("bucket2"), "start", "source_size", "target", "rank")
     d = d.join(starts, F.expr("source <=> source2 and bucket = bucket2"))
-    inside = Window.partitionBy("source2", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source2", "bucket").orderBy("h", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("at", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     goal = F.round("target").cast("long")
     d = d.withColumn("taken", sum(F.greatest(F.lit(0), F.least("size", goal - k * F.col("source_size") - F.col("at"))) for k in range(MOST)))
     tilt = F.element_at(F.array(*(F.lit(t) for t in TILTS)), F.col("rank") % len(TILTS) + 1)
     d = d.withColumn("position", F.when(F.col("taken") > 0, due(tilt, F.col("target"), F.col("at").cast("double"))))
-    return d.withColumn("again", F.when(F.col("taken") > F.col("size"), due(tilt, F.col("target"), (F.col("at") + F.col("source_size")).cast("double")))).drop("h", "bucket", "bucket2", "source2", "start", "rank")
+    return d.withColumn("again", F.when(F.col("taken") > F.col("size"), due(tilt, F.col("target"), (F.col("at") + F.col("source_size")).cast("double"))))
+
+
+def plan_mix(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, position, again of every document.
+
+    size: words; null text: 0.  A source's documents stand in the order of a hash of doc_id (then doc_id, size and a hash of the
+    text).  Its target is laid along that order, over and over: each whole pass takes each document once, and the last pass ends where the
+    target does, inside a document if need be.  So taken words add up to the target rounded, and no document passes
+    twice its size.  position, again: the times in 0..1 of its first word when it is first and next taken; null where it isn't.
+    Repeated rows are documents of their own.  An empty table gives no rows; a null source is a source.  The texts are read once.
+    """
+    d = materialize(_sized(docs).drop("row"), "sizes")
+    return _planned(d, buckets or _buckets(d)).select("doc_id", "source", "size", "source_size", "target", "taken", "position", "again")
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def mix(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """The training sequence: the columns of ``docs``, a row for each time a document is taken, range-sorted by position.
 
-    A document that the target cuts keeps its first words only, with their white space.  What is not taken goes.
+    Documents are planned as by ``plan_mix``, each row by itself, so repeated rows and other rows of one doc_id are taken as
+    planned.  A document that the target cuts keeps its first words only, with their white space.  What is not taken goes.
     """
-    names = docs.columns
-    plan = plan_mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), "position", "again")
-    plan = plan.groupBy("_id", "_size", "_taken", "position", "again").agg(F.count("*").alias("_n"))
-    plan = plan.groupBy("_id").agg(F.max_by(F.struct("_size", "_taken", "position", "again"), F.struct("_taken", "position")).alias("p"))
-    use = F.expr("""filter(array(struct(p.position as position, least(p._taken, p._size) as words), struct(p.again as position, p._taken - p._size as words)), x -> x.words > 0)""")
-    out = docs.join(plan, F.expr("doc_id <=> _id")).withColumn("_use", F.explode(use))
-    cut = F.expr(r"array_join(slice(split(text, '(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])'), 1, cast(_use.words as int)), '')")
-    out = out.withColumn("text", F.when(F.expr("_use.words < p._size"), cut).otherwise(F.col("text")))
-    out = out.withColumn("_position", F.col("_use.position"))
-    return out.repartitionByRange(F.col("_position"), F.col("doc_id")).sortWithinPartitions("_position", "doc_id").select(*names)
+    use = F.expr("filter(array(struct(position as position, least(taken, size) as words), struct(again as position, taken - size as words)), x -> x.words > 0)")
+    out = _planned(_sized(docs), buckets or _buckets(docs)).where("taken > 0").select("row", "doc_id", "size", F.explode(use).alias("use"))
+    cut = F.expr(r"array_join(slice(split(row.text, '(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])'), 1, cast(use.words as int)), '')")
+    out = out.select(F.col("row").withField("text", F.when(F.col("use.words") < F.col("size"), cut).otherwise(F.col("row.text"))).alias("row"), F.col("use.position").alias("position"), "doc_id")
+    return out.repartitionByRange(F.col("position"), F.col("doc_id")).sortWithinPartitions("position", "doc_id").select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

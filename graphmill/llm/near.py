@@ -167,7 +167,7 @@ class Comparer:
     """
 
     def __init__(self, sets: Callable, percent: int, joining: bool = False, places: Callable | None = None):
-        """``places``: the hashes of a text's elements as an array, repeats included, if there is a faster way to them than the set."""
+        """``places``: texts -> the hashes of their elements as one array, and how many each text has, repeats included, if there is a faster way to them than the sets."""
         self.sets, self.percent, self.joining, self.places = sets, percent, joining, places
 
     def run(self, batches):
@@ -195,17 +195,13 @@ class Comparer:
     def _links(self, rows: list):
         keys = np.array([r[0] for r in rows])
         sets: dict[int, set] = {}
-        maps = np.zeros((len(rows), BITS), bool)
-        size = np.zeros(len(rows), np.int64)  # elements at most
-        for i, r in enumerate(rows):
-            if self.places is None:
-                sets[i] = own = self.sets(r[3])
-                at = np.fromiter(map(hash, own), np.int64, len(own))
-            else:
-                at = self.places(r[3])
-            maps[i, at.view(np.int64) & (BITS - 1)] = True
-            size[i] = len(at)
-        maps = np.packbits(maps, axis=1).view(np.uint64)
+        if self.places is None:
+            sets = {i: self.sets(r[3]) for i, r in enumerate(rows)}
+            size = np.array([len(x) for x in sets.values()])
+            at = np.fromiter((hash(e) for x in sets.values() for e in x), np.int64, size.sum())
+        else:
+            at, size = self.places([r[3] for r in rows])
+        maps, size = bitmaps(at, size)
         out: list = []
         lo = 0
         for hi in np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(rows)):
@@ -226,8 +222,7 @@ class Comparer:
 
         for i in np.flatnonzero(comp != names[counts.argmax()]):
             others = np.flatnonzero(comp != comp[i])
-            apart = np.bitwise_count(maps[others] ^ maps[i]).sum(1, dtype=np.int64)
-            for j in others[self.percent * apart <= (100 - self.percent) * np.minimum(size[others], size[i])]:
+            for j in others[may_be_alike(maps[others], size[others], maps[i], size[i], self.percent)]:
                 if comp[i] != comp[j] and alike(own(i), own(j), self.percent):
                     a, b = rows[lo + i][1], rows[lo + j][1]
                     out.append((min(a, b), max(a, b)))
@@ -235,6 +230,19 @@ class Comparer:
                         comp[comp == comp[j]] = comp[i]
 
 
+def bitmaps(hashes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A bitmap of each set's hashes, which stand one set after the other, and the sets' sizes."""
+    maps = np.zeros((len(size), BITS), bool)
+    maps[np.repeat(np.arange(len(size)), size), hashes & (BITS - 1)] = True
+    return np.packbits(maps, axis=1).view(np.uint64), size
+
+
+def may_be_alike(a: np.ndarray, size_a, b: np.ndarray, size_b, percent: int) -> np.ndarray:
+    """False where bitmaps and sizes (or more than the sizes) rule out that 100 * common >= percent * united."""
+    apart = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+    return (100 + percent) * apart <= (100 - percent) * (size_a + size_b)
+
+
 def _digest(element) -> int:
     """Equal in every process, as Python's own hash is not."""
     import xxhash

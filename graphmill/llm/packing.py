@@ -21,8 +21,8 @@ from .common import materialize, release, small_batches, table
 
 CAPACITY = 4096
 END = 2
-#: hash buckets over which the ranks of a class are counted
-BUCKETS = 256
+#: hash buckets over which the ranks of a class are counted, at least, and pieces for which there is one
+BUCKETS, BUCKET_PIECES = 256, 50_000
 #: words whose ids a worker remembers
 WORDS = 400_000
 
@@ -122,7 +122,7 @@ def _fit(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END, buckets: int = BUCKETS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END, buckets: int | None = None) -> DataFrame:
     """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text has the end id alone.  Repeated rows are packed as often as they stand there.  The pieces that
@@ -135,7 +135,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     spark = docs.sparkSession
     small_batches(spark)
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer, capacity, end), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
-    p = materialize(made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int")), "pieces")
+    p = materialize(made, "pieces")
+    buckets = buckets or max(BUCKETS, p.count() // BUCKET_PIECES)
+    p = p.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
     release(spark)
     counts = p.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     run = Window.partitionBy("length").orderBy("bucket")
@@ -144,8 +146,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     counts = counts.withColumn("bins", F.expr(f"all div ({capacity} div length)"))
     classes = counts.select("length", "bins").distinct()
     classes = classes.select("length", (F.sum("bins").over(Window.orderBy(F.desc("length"))) - F.col("bins")).alias("base"), F.sum("bins").over(Window.partitionBy()).alias("whole"))
-    # rows of counts: classes x buckets at most, about 32,000 whatever the input
-    q = p.join(F.broadcast(counts.join(classes, "length")), ["length", "bucket"])
+    # shuffled as the window below wants it
+    q = p.join(counts.join(F.broadcast(classes), "length"), ["length", "bucket"])
     rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")) - 1 + F.col("before")
     q = q.withColumn("rank", rank).withColumn("bin", F.expr("rank div " + f"({capacity} div length)"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]

@@ -211,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Gam
     small_batches(docs.sparkSession)
     rows = labels.where("doc_id is not null and quality is not null and crc32(cast(doc_id as string)) % 4 <> 2")
     rows = rows.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("y")).orderBy(F.xxhash64("_id"), "_id", "y").limit(max_train)
-    found = docs.join(F.broadcast(rows), F.col("doc_id") == F.col("_id")).select(F.col("y"), "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("_id")).select(F.col("y"), "text")
     got = found.mapInArrow(_feature_rows, "y int, x array<double>").collect()
     if not got:
         return None

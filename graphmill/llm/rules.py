@@ -19,8 +19,8 @@ MAX_TRAIN = 6_000
 PRECISION, COVER = 0.9, 8
 MAX_RULES, MAX_TERMS = 12, 4
 SYMBOLS = "#*$%&|<>"
-#: low bits of a sorted window hash that hold its place in the text
-PLACE = 26
+#: low bits of a sorted window hash that hold its place in the text: as many as an array's index has
+PLACE = 31
 
 FEATURES = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_length", "upper_rate", "bang_rate", "line_words", "stop_rate", "pipe_rate")
 
@@ -28,8 +28,9 @@ FEATURES = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_length", "upper
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id with counts of every whole text; null text: none of anything.
 
-    n_repeat_words: windows of three words are hashed; sorting the hashes, with the place in the low bits, brings equal
-    windows together, where the words themselves are compared.  So a text of n words costs n log n, and nothing leaves its row.
+    n_repeat_words: windows of three words are hashed; sorting the hashes, with the place in the low bits, brings windows of
+    equal hash bits together.  All of those are sorted again by the words themselves, so that equal ones stand side by side
+    whatever the hashes.  So a text of n words costs n log n, and nothing leaves its row.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t"))
     blank, solid = F.col("t"), F.col("t")
@@ -39,12 +40,11 @@ def statistics(docs: DataFrame) -> DataFrame:
     # the partition id keeps later filters from being pushed below this point and copied into the lambdas, where they would cost the square of a text
     d = d.withColumn("n", F.size("w") + F.spark_partition_id() * 0)
     d = d.withColumn("p", F.expr(f"if(n < 3, cast(array() as array<bigint>), sort_array(transform(sequence(0, n - 3), i -> shiftleft(shiftright(xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)), {PLACE}), {PLACE}) + i)))"))
-    mask = (1 << PLACE) - 1
-    place = lambda e: f"cast({e} & {mask}L as int)"
-    here, there = place("get(p, k)"), place("get(p, k + 1)")
-    same = " and ".join(f"get(w, {here} + {i}) = get(w, {there} + {i})" for i in range(3))
-    d = d.withColumn("k", F.expr(f"filter(transform(p, (x, k) -> if(shiftright(x, {PLACE}) = shiftright(get(p, k + 1), {PLACE}), k, -1)), k -> k >= 0)"))
-    d = d.withColumn("r", F.expr(f"transform(filter(k, k -> {same}), k -> array({here}, {there}))"))
+    place = lambda e: f"cast({e} & {(1 << PLACE) - 1}L as int)"
+    equal = f"if(shiftright(x, {PLACE}) = shiftright(get(p, k + 1), {PLACE}), array({place('x')}, {place('get(p, k + 1)')}), array())"
+    d = d.withColumn("c", F.expr(f"sort_array(transform(array_distinct(flatten(transform(p, (x, k) -> {equal}))), i -> struct(get(w, i) as a, get(w, i + 1) as b, get(w, i + 2) as c, i as i)))"))
+    same = lambda o: f"(get(c, {o}).a = x.a and get(c, {o}).b = x.b and get(c, {o}).c = x.c)"
+    d = d.withColumn("r", F.expr(f"filter(c, (x, j) -> coalesce({same('j + 1')}, false) or coalesce({same('j - 1')}, false))"))
     d = d.withColumn("lines", F.expr(r"filter(split(t, '\n', -1), x -> x rlike '[^\\x20\\x09-\\x0D]')"))
     count = lambda char: F.length("t") - F.length(F.replace("t", F.lit(char), F.lit("")))
     return d.select(
@@ -52,7 +52,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.length(F.replace(solid, F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("t", f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.expr("size(array_distinct(flatten(transform(flatten(r), i -> array(i, i + 1, i + 2)))))").cast("long").alias("n_repeat_words"),
+        F.expr("size(array_distinct(flatten(transform(r, x -> array(x.i, x.i + 1, x.i + 2)))))").cast("long").alias("n_repeat_words"),
         F.size("lines").alias("_lines"), F.length(F.regexp_replace("t", "[^A-Z]+", "")).alias("_upper"), count("!").alias("_bangs"), count("|").alias("_pipes"), count(".").alias("_stops"),
     )
 
@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> lis
     """Learn from labelled documents that pass the base rules; at most ``max_train`` rows of statistics come to the driver."""
     rows = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_y"))
     rows = rows.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_train)
-    found = docs.join(F.broadcast(rows), F.col("doc_id") == F.col("_id"), "left_semi")
+    found = docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("_id"), "left_semi")
     stats = with_features(statistics(found))
     got = stats.join(F.broadcast(rows), F.col("doc_id") == F.col("_id")).select(F.xxhash64("doc_id").alias("k"), "_y", "base_failed", *FEATURES).collect()
     got.sort(key=lambda r: tuple(r))

@@ -2,7 +2,8 @@
 
 Archives are files of gzip members, a record each.  A member carries its own compressed length in a gzip extra field, so a
 reader that turns a record down after its headers seeks to the next one without inflating the payload.  Archives
-written by others have no such field; there the member is inflated in small pieces and thrown away.
+written by others are read too: plain ones, where a reader seeks past the payload, and members without that field or
+with many records, which are inflated in small pieces and thrown away.
 """
 from __future__ import annotations
 
@@ -18,13 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .common import new_path, release, small_batches, table
+from .common import materialize, new_path, release, small_batches, table
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, page_id long, refers_to long, payload_digest string, payload_length long, payload binary"
 #: an archive is closed beyond so many bytes, which bounds the work of a read partition
 ARCHIVE = 64 << 20
 #: copies of payloads from this length on are written as revisits
 REVISIT = 1000
+#: digests met twice that are broadcast at most, some 100 bytes each
+BROADCAST = 500_000
 DATE = "2020-01-01T00:00:00Z"
 #: columns whose predicates are decided on headers alone
 HEADER_COLUMNS = {"record_id", "record_type", "target_uri", "date", "page_id", "refers_to", "payload_digest", "payload_length"}
@@ -181,25 +184,73 @@ def _to_batch(rows):
     return pa.RecordBatch.from_pylist(rows, _ARROW)
 
 
-class _Inflater:
-    """Inflates a gzip member from a file step by step; keeps no more than is asked for."""
-
-    def __init__(self, f, at: int):
-        f.seek(at)
-        self.f, self.at, self.taken, self.z, self.tail = f, at, 0, zlib.decompressobj(31), b""
-
-    def more(self) -> bytes | None:
-        while not self.z.eof:
-            raw = self.tail or self.f.read(16384)
-            self.tail = b""
-            if not raw:
-                raise EOFError(f"a record that starts at byte {self.at} is cut off")
-            out = self.z.decompress(raw, 65536)
-            self.tail = self.z.unconsumed_tail
-            self.taken += len(raw) - len(self.tail) - len(self.z.unused_data)
+class _Bytes:
+    """The records of one file as one run of bytes: of a plain file, or of gzip members that hold one record each or many."""
+
+    def __init__(self, f):
+        self.f, self.size, self.at = f, f.size(), 0
+        f.seek(0)
+        self.zipped = f.read(2) == b"\x1f\x8b"
+        self.buf, self.z, self.start, self.first = b"", None, 0, False
+
+    def more(self) -> bool:
+        """Lengthen the buffer; False at the end of the file."""
+        while True:
+            if self.at >= self.size:
+                if self.z is not None:
+                    raise EOFError(f"the gzip member at byte {self.start} is cut off")
+                return False
+            if self.zipped and self.z is None:
+                self.z, self.start, self.first, self.tail = zlib.decompressobj(31), self.at, not self.buf, b""
+            self.f.seek(self.at)
+            raw = self.f.read(16384)
+            self.at += len(raw)
+            if not self.zipped:
+                self.buf += raw
+                return True
+            out = self.z.decompress(raw)
+            if self.z.eof:
+                self.at -= len(self.z.unused_data)
+                self.z = None
             if out:
+                self.buf += out
+                return True
+
+    def until(self, mark: bytes, most: int | None = None) -> bytes | None:
+        """Bytes up to ``mark``, which is passed over; None if it doesn't come within ``most`` bytes or before the file's end."""
+        seen = 0
+        while True:
+            k = self.buf.find(mark, max(0, seen - len(mark)))
+            if k >= 0 and (most is None or k + len(mark) <= most):
+                out, self.buf = self.buf[:k], self.buf[k + len(mark):]
                 return out
-        return None
+            seen = len(self.buf)
+            if (most is not None and seen >= most) or not self.more():
+                return None
+
+    def pieces(self, n: int):
+        """The next ``n`` bytes."""
+        while n:
+            if not self.buf and not self.more():
+                raise EOFError(f"a record of {self.f} is cut off")
+            out, self.buf = self.buf[:n], self.buf[n:]
+            n -= len(out)
+            yield out
+
+    def skip(self, n: int) -> None:
+        k = min(n, len(self.buf))
+        self.buf, n = self.buf[k:], n - k
+        if not self.zipped:
+            self.at += n
+            if self.at > self.size:
+                raise EOFError(f"a record of {self.f} is cut off")
+            return
+        for _ in self.pieces(n):
+            pass
+
+    def leave(self, start: int, length: int) -> None:
+        """Go on behind the member at ``start``, without inflating what is left of it."""
+        self.at, self.buf, self.z = start + length, b"", None
 
 
 def _own_length(f, at: int) -> int | None:
@@ -222,54 +273,47 @@ def _number(text):
 
 
 def records(f, tests, payload: str):
-    """Rows of one archive of gzip members. Headers first; the payload of a record that a test turns down is never inflated as far as its length is known."""
-    at, end = 0, f.size()
-    while at < end:
-        known = _own_length(f, at)
-        source = _Inflater(f, at)
-        data = b""
-        while b"\r\n\r\n" not in data and (x := source.more()) is not None:
-            data += x
-        head, _, data = data.partition(b"\r\n\r\n")
+    """Rows of one archive. Headers come first; a payload that isn't wanted is passed over, unread in a plain file, and in a member of known length not inflated."""
+    b = _Bytes(f)
+    while True:
+        while not b.buf.lstrip(b"\r\n"):  # what ends the record before
+            b.buf = b""
+            if not b.more():
+                return
+        b.buf = b.buf.lstrip(b"\r\n")
+        start, known = b.start, _own_length(f, b.start) if b.zipped and b.first else None
+        b.first = False
+        head = b.until(b"\r\n\r\n")
+        if head is None:
+            raise EOFError(f"a record of {f} is cut off")
         lines = head.decode("utf-8", "replace").split("\r\n")
         h = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        kind = h.get("warc-type")
-        length = int(h.get("content-length", 0))
+        kind, length = h.get("warc-type"), int(h.get("content-length", 0))
         row = {"record_id": h.get("warc-record-id"), "record_type": kind, "target_uri": h.get("warc-target-uri"), "date": h.get("warc-date"), "page_id": _number(h.get("x-page-id")), "refers_to": _number(h.get("x-refers-to-page-id")), "payload_digest": _hex(h.get("warc-payload-digest")), "payload_length": None, "payload": None}
         wanted = all(row[k] in v for k, v in tests if k != "payload_length")
         if wanted:
             http = "application/http" in h.get("content-type", "")
-            seen = len(data)
-            while http and b"\r\n\r\n" not in data and seen < length and (x := source.more()) is not None:
-                data, seen = data + x, seen + len(x)
-            skip = 0
-            if http:
-                inner, _, _ = data[:length].partition(b"\r\n\r\n")
-                skip = len(inner) + 4
-                for line in inner.split(b"\r\n")[1:]:
+            inner = b.until(b"\r\n\r\n", length) if http else None
+            if inner is not None:
+                length -= len(inner) + 4
+                for line in inner.split(b"\r\n")[1:] if kind == "revisit" else ():
                     if line[:15].lower() == b"content-length:":
-                        row["payload_length"] = int(line[15:])
+                        row["payload_length"] = _number(line[15:].decode("ascii", "replace"))
             if row["payload_length"] is None:
-                row["payload_length"] = max(0, length - skip)
+                row["payload_length"] = length
             wanted = all(row[k] in v for k, v in tests)
             if wanted and payload != "no" and kind != "revisit":
-                parts = [data]
-                while seen < length and (x := source.more()) is not None:
-                    parts.append(x)
-                    seen += len(x)
-                body = b"".join(parts)[skip:length]
-                if payload == "verify":
-                    if len(body) != row["payload_length"] or hashlib.sha1(body).hexdigest() != row["payload_digest"]:
-                        raise ValueError(f"record {row['record_id']}: the payload doesn't match its digest")
-                else:
+                body, length = b"".join(b.pieces(length)), 0
+                if payload == "yes":
                     row["payload"] = body
+                elif len(body) != row["payload_length"] or hashlib.sha1(body).hexdigest() != row["payload_digest"]:
+                    raise ValueError(f"record {row['record_id']}: the payload doesn't match its digest")
             if wanted:
                 yield row
         if known is None:
-            while source.more() is not None:
-                pass
-            known = source.taken
-        at += known
+            b.skip(length)
+        else:
+            b.leave(start, known)
 
 
 class WarcDataSource(DataSource):
@@ -294,17 +338,20 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
 
 
-def page_records(pages: DataFrame, least: int = REVISIT) -> DataFrame:
+def page_records(pages: DataFrame, least: int = REVISIT, broadcast_rows: int = BROADCAST) -> DataFrame:
     """Pages as WARC records. Of equal payloads of ``least`` bytes or more, that with the largest page_id is the response.
 
     A null html is an empty payload.  Pages without page_id are always responses.  Equal rows with the same page_id are all responses.
-    Only digests and ids are shuffled for this, and copies are counted before the shuffle.
+    Digests and ids are shuffled to count copies.  Up to ``broadcast_rows`` digests that were met twice are broadcast then; beyond
+    that they are joined by shuffle, payloads and all, where smaller payloads, never revisits, are dealt out by themselves.
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("target_uri"), body.alias("payload"))
     p = p.withColumn("payload_digest", F.sha1("payload")).withColumn("payload_length", F.octet_length("payload").cast("long"))
-    key = p.where(F.col("payload_length") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").select(F.col("payload_digest").alias("d"), "top")
-    p = p.join(key, F.col("payload_digest") == F.col("d"), "left")
+    key = p.where(F.col("payload_length") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1 and top is not null").select(F.col("payload_digest").alias("d"), "top")
+    key = materialize(key, "warc-copies")
+    by = F.when(F.col("payload_length") >= least, F.col("payload_digest")).otherwise(F.concat(F.lit("#"), F.xxhash64("page_id", "target_uri")))
+    p = p.withColumn("by", by).join(F.broadcast(key) if key.count() <= broadcast_rows else key.hint("merge"), F.col("by") == F.col("d"), "left")
     back = F.when(F.col("top") > F.col("page_id"), F.col("top"))
     p = p.withColumn("refers_to", back).withColumn("record_type", F.when(back.isNotNull(), "revisit").otherwise("response"))
     return p.select(F.lit(None).cast("string").alias("record_id"), "record_type", "target_uri", F.lit(None).cast("string").alias("date"), "page_id", "refers_to", "payload_digest", "payload_length", F.when(F.col("record_type") == "response", F.col("payload")).alias("payload"))

@@ -98,6 +98,38 @@ def test_rules(docs, none):
     assert rules.judge(none, labels).count() == 0
 
 
+def test_repeats_are_found_whatever_the_hashes(spark, monkeypatch):
+    t = "w232246 mid end q1 w2781254 mid end q2 w232246 mid end q3"
+    monkeypatch.setattr(rules, "PLACE", 26)  # fewer bits of hash: these two windows' are equal
+    got = rules.statistics(spark.createDataFrame([(1, t), (2, t.replace("mid", "zz")), (3, "la " * 70)], "doc_id long, text string")).collect()
+    assert [r.n_repeat_words for r in sorted(got, key=lambda r: r.doc_id)] == [6, 6, 70]
+    monkeypatch.setattr(rules, "PLACE", 60)  # four bits of hash
+    r = random.Random(8)
+    t = " ".join(r.choices("abcdef", k=150))
+    w = t.split()
+    n = Counter(zip(w, w[1:], w[2:]))
+    want = len({k + j for k in range(len(w) - 2) if n[tuple(w[k:k + 3])] > 1 for j in range(3)})
+    assert rules.statistics(spark.createDataFrame([(1, t)], "doc_id long, text string")).first().n_repeat_words == want < 150
+
+
+def test_a_learned_list_decides(spark):
+    r = random.Random(2)
+    rows = []
+    for i in range(400):
+        w = ["".join(r.choices("abcdefgh", k=r.randint(2, 7))) for _ in range(80)]
+        rows.append((i, " ".join(w) + (" ### $$$" * 12 if i % 4 == 0 else "")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 > 0).cast("int").alias("quality"))
+    learned = rules.train(docs, labels)
+    assert learned
+    for row in rules.judge(docs, labels).collect():
+        x = rules.with_features(rules.statistics(docs.where(F.col("doc_id") == row.doc_id))).first() if row.doc_id < 8 else None
+        if x is not None:
+            hit = [k for k, rule in enumerate(learned, 1) if rules._holds(rule, [x[f] for f in rules.FEATURES])]
+            assert row.rule == (hit[0] if hit else 0) and row.kept == (not hit and not row.base_failed)
+        assert row.kept == (row.doc_id % 4 > 0)
+
+
 def test_rules_are_learned():
     rows = [((0.5 if i % 4 == 0 else 0.01, *[0.1] * (len(rules.FEATURES) - 1)), int(i % 4 == 0)) for i in range(200)]
     found = rules.learn(rows)
@@ -108,6 +140,11 @@ def test_quality(docs, none, spark):
     out = quality.classify(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("quality")))
     got = out.collect()
     assert len(got) == len(texts()) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    r = random.Random(3)
+    rows = [(i, " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 7))) + ("!!" if i % 2 and k % 5 == 0 else "") for k in range(60))) for i in range(300)]
+    planted = spark.createDataFrame(rows, "doc_id long, text string")
+    said = quality.classify(planted, planted.select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("quality"))).where("held_out").collect()
+    assert len(said) > 50 and all(r.predicted == 1 - r.doc_id % 2 for r in said)
     assert quality.classify(none, docs.select("doc_id", F.lit(1).alias("quality"))).count() == 0
     assert quality.keep_good(docs, docs.select("doc_id", F.lit(None).cast("int").alias("quality"))).count() == len(texts())
 
@@ -223,6 +260,36 @@ def test_warc(spark, tmp_path):
     assert [r.page_id for r in some] == [2]
 
 
+@pytest.mark.parametrize("kind", ["plain", "one member", "members of three", "own length"])
+@pytest.mark.parametrize("payload", ["yes", "no", "verify"])
+def test_archives_of_others(kind, payload, tmp_path):
+    import gzip
+    bodies = [b"", b"short", b"\r\n\r\n" * 9000, bytes(range(256)) * 900, b"x" * 70_000, b"last"]
+    rows = [{"record_type": "response", "payload": x, "payload_length": len(x), "payload_digest": hashlib.sha1(x).hexdigest(), "record_id": None, "date": None, "page_id": i, "target_uri": f"http://a/{i}"} for i, x in enumerate(bodies)]
+    data = [warc.record(r) for r in rows]
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    packed = {"plain": b"".join([info, *data]), "one member": gzip.compress(b"".join([info, *data])), "members of three": gzip.compress(info + data[0] + data[1]) + gzip.compress(b"".join(data[2:])), "own length": gzip.compress(info) + b"".join(map(warc.member, data))}[kind]
+    (tmp_path / "a.warc").write_bytes(packed)
+    from pyarrow import fs
+    with fs.LocalFileSystem().open_input_file(str(tmp_path / "a.warc")) as f:
+        got = list(warc.records(f, [("record_type", {"response"})], payload))
+        assert [r["page_id"] for r in got] == list(range(6)) and [r["payload_length"] for r in got] == list(map(len, bodies))
+        assert [r["payload"] for r in got] == (bodies if payload == "yes" else [None] * 6)
+        assert [r["page_id"] for r in warc.records(f, [("page_id", {4}), ("payload_length", {70_000})], payload)] == [4]
+        assert len(list(warc.records(f, [], "no"))) == 7
+    (tmp_path / "b.warc").write_bytes(packed[:-30])
+    with fs.LocalFileSystem().open_input_file(str(tmp_path / "b.warc")) as f, pytest.raises(EOFError):
+        list(warc.records(f, [], "yes"))
+
+
+def test_copies_are_found_without_a_broadcast_and_no_pages_give_no_records(spark):
+    body = "x" * 2000
+    pages = spark.createDataFrame([(i, "u", body, "d", 1) for i in range(5)] + [(9, "u", None, "d", 1), (9, "u", None, "d", 1), (None, "u", body, "d", 1)], "page_id long, url string, html string, d string, top int")
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.page_records(pages, broadcast_rows=0).collect()), key=str)
+    assert got == sorted([(i, "revisit", 4) for i in range(4)] + [(4, "response", None), (9, "response", None), (9, "response", None), (None, "response", None)], key=str)
+    assert warc.page_records(pages.limit(0)).count() == 0
+
+
 def test_html(spark):
     nav = "<html><head><title>t</title></head><body><nav><a>Home</a></nav><div class='ad'>Buy</div>"
     rows = [(1, "http://h/a/1", nav + "<article><h1>A &amp; B</h1><p>one\n two<p>three</article><footer>f</footer>"), (2, "http://h/a/2", nav + "<article><p>four</p><div class='comments'>no</div></article><script>'</p>'</script>"), (3, None, None), (4, "x", "plain"), (5, "http://k/1", "<p>Site</p><p>own one</p>"), (6, "http://k/2", "<p>Site</p><p>own two</p>")]
