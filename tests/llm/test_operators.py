@@ -296,22 +296,86 @@ def test_html(spark):
     got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
     assert got[1] == "A & B\n\none two\n\nthree" and got[2] == "four" and got[3] == "" and got[4] == "plain"
     a = html_extract.lines("<p>Site</p><p>own one</p>")
-    assert html_extract.article(a, html_extract.lines("<p>Site</p><p>own two</p>")) == ["own one"]
+    assert html_extract.article(a, [html_extract.lines("<p>Site</p><p>own two</p>")]) == ["own one"]
     assert html_extract.common(list("abcbdab"), list("bdcaba")).__len__() == 4
 
 
-def test_html_shared_lines_go_inside_an_article_and_others_stay_outside():
-    import pyarrow as pa
+@pytest.mark.parametrize("n", [1, 3, 8])
+def test_html_shared_lines_go_inside_an_article_and_others_stay_outside(spark, n):
     page = lambda body, teaser: f"<body><div>Site line</div><div>{body}</div><article><p>{teaser}</p><p>Get our weekly letter</p></article>"
     long = "an article that is a good deal longer than the lines around it, number "
     rows = [(i, f"http://h/{i}", page(f"body {i}", long + str(i))) for i in range(3)]
     rows += [(i, f"http://k/{i}", page(f"body {i}", long + "nil")) for i in range(3, 6)]  # the same article
     rows += [(6, "http://k/9", page("body 6", long + "6")), (7, "http://alone/", "<p>text</p><article>teaser</article>")]
-    batch = pa.record_batch([list(c) for c in zip(*sorted(rows, key=lambda r: r[1]))], names=["page_id", "url", "html"])
-    got = {r["page_id"]: r["text"].split("\n\n") for out in html_extract._extract(iter([batch])) for r in out.to_pylist()}
-    assert all(got[i] == [f"body {i}", long + str(i)] for i in (0, 1, 2, 6))
-    assert all(got[i] == [f"body {i}", long + "nil", "Get our weekly letter"] for i in (3, 4)) and got[5] == ["body 5", long + "nil"]
+    rows += [(8, "http://h/0", rows[0][2]), (None, None, None), (None, None, None)]  # a copy
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("x")).withColumn("own", F.lit(1))
+    got = [(r.page_id, r.text.split("\n\n")) for r in html_extract.extract(df, n).collect()]
+    assert len(got) == len(rows) and got.count((None, [""])) == 2
+    got = dict(got)
+    assert all(got[i] == [f"body {i}", long + str(i)] for i in (0, 1, 2, 6)) and got[8] == got[0]
+    assert got[3] == ["body 3", long + "nil", "Get our weekly letter"] and all(got[i] == [f"body {i}", long + "nil"] for i in (4, 5))
     assert got[7] == ["text", "teaser"]
+    assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_differencing_decides_on_most_pages(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcdefghij", k=5))
+    rows = []
+    for i in range(40):
+        site = [f"<p>All of site {i % 4} is here</p>", f"<div>Read more on site {i % 4}</div>"]
+        own = [" ".join(word() for _ in range(12)) for _ in range(r.randint(1, 5))]
+        rows.append((i, f"http://site{i % 4}/news/{i}", "".join([site[0], "<article>", *(f"<p>{x}</p>" for x in own), site[1], "</article>"]), "\n\n".join(own)))
+    got = {x.page_id: x.text for x in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, want string")).collect()}
+    assert got == {x[0]: x[3] for x in rows}
+
+
+def test_common_lines_against_brute_force(monkeypatch):
+    def length(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for k, y in enumerate(b):
+                new.append(row[k] + 1 if x == y else max(row[k + 1], new[k]))
+            row = new
+        return row[-1]
+    r = random.Random(1)
+    for cells in (1 << 26, 4):
+        monkeypatch.setattr(html_extract, "CELLS", cells)
+        for _ in range(300):
+            a, b = (r.choices("abcdefg"[:r.randint(1, 7)], k=r.randint(0, 14)) for _ in "ab")
+            found = sorted(html_extract.common(a, b))
+            assert len(found) == length(a, b)
+            rest = iter(b)
+            assert all(a[i] in rest for i in found)
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<article><p class='widget'>body</p></article>", "body"),
+    ("<article><section class='related work'><p>body</p></section></article>", "body"),
+    ("<article><p>a</p></article><article class='comment'><p>me too</p></article>", "a"),
+    ("<article><p>a</p><div class='comments'>me too</div><div class=\"ad\">buy</div></article>", "a"),
+    ("<p data-x=don't>hello</p>", "hello"),
+    ("<p title='a > b'>hello</p><p title=\"it's\">you</p>", "hello\n\nyou"),
+    ("<p>2 < 3 and a<b", "2 < 3 and a<b"),
+    ("<p>a<!-- <p>no</p> -->b<script>x</script>c <!-- open", "abc"),
+    ("<p>a &amp; &#233;&nbsp;b</p>", "a & é b"),
+    ("<nav>menu</nav><p>a<br>b</p><form>f</form>", "a b"),
+    ("</div></p><article><header>h</header><p>x</article><p>y", "h\n\nx\n\ny"),
+])
+def test_markup(page, want):
+    assert "\n\n".join(html_extract.article(html_extract.lines(page), [])) == want
+
+
+def test_long_pages_take_time_in_proportion():
+    import time
+    began = time.time()
+    html_extract.lines("<p a='" * 50_000)
+    html_extract.lines("<p a=\"x" * 50_000 + ">")
+    html_extract.lines("<i>" * 50_000 + "</b>" * 50_000)
+    html_extract.lines("<!-- " * 50_000 + "<![CDATA[" * 50_000)
+    html_extract.common(["x", "y"] * 3000, ["y", "x", "x"] * 2000)
+    assert time.time() - began < 20
 
 
 def test_comparer_finds_all_links_of_a_key_whatever_its_size():
@@ -336,7 +400,7 @@ def test_comparer_finds_all_links_of_a_key_whatever_its_size():
     want = {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and x[2] != y[2] and grams(x[3]) and grams(y[3]) and alike(grams(x[3]), grams(y[3]), 80)}
     got = [(a, b) for out in near.Comparer(grams, 80).run(iter([batch.slice(0, 33), batch.slice(33)])) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
     assert want and set(got) == want
-    tree = [(a, b) for out in near.Comparer(grams, 80, joining=True, places=line_dedup._places).run(iter([batch])) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+    tree = [(a, b) for out in near.Comparer(grams, 80, joining=True, places=line_dedup._places).run(iter([batch.slice(0, 60)])) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
     assert set(tree) <= want and len(tree) < len(rows)
 
     def parts(links):
