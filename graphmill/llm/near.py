@@ -20,6 +20,8 @@ from .components import connected_components
 NODE_LIMIT, VOLUME = 2048, 8 << 20
 #: rows (key, id) that a task sorts together
 GATHER = 4_000_000
+#: members of a node whose pairs are laid out side by side
+FEW = 16
 #: bits of a set's bitmap
 BITS = 2048
 
@@ -42,8 +44,10 @@ def _nodes(rows: np.ndarray):
     yield key[out], ids[out], np.repeat(ids[starts], sizes)[out]
 
 
-def _read(f, rows: int = -1) -> np.ndarray:
-    return np.fromfile(f, np.int64, rows if rows < 0 else 2 * rows).reshape(-1, 2)
+def _chunks(f, rows: int):
+    f.seek(0)
+    while len(x := np.fromfile(f, np.int64, 2 * rows).reshape(-1, 2)):
+        yield x
 
 
 def _dealt(parts, most: int, level: int = 0):
@@ -55,17 +59,15 @@ def _dealt(parts, most: int, level: int = 0):
             rows[part == k].tofile(f)
     for f in files:
         n = f.tell() // 16
-        f.seek(0)
-        again = iter(lambda f=f: _read(f, most), None)
         if n <= most:
-            yield from _nodes(_read(f))
+            yield from itertools.chain.from_iterable(map(_nodes, _chunks(f, most)))
         elif level < 15:
-            yield from _dealt(itertools.takewhile(len, again), most, level + 1)
+            yield from _dealt(_chunks(f, most), most, level + 1)
         else:
-            low, high = map(list, zip(*((x[:, 1].min(), x[:, 1].max()) for x in itertools.takewhile(len, again))))
-            f.seek(0)
-            for x in itertools.takewhile(len, again if min(low) < max(high) else ()):
-                yield x[:, 0], x[:, 1], np.full(len(x), min(low))
+            low, high = map(list, zip(*((x[:, 1].min(), x[:, 1].max()) for x in _chunks(f, most))))
+            if min(low) < max(high):
+                for x in _chunks(f, most):
+                    yield x[:, 0], x[:, 1], np.full(len(x), min(low))
         f.close()
 
 
@@ -202,32 +204,49 @@ class Comparer:
         else:
             at, size = self.places([r[3] for r in rows])
         maps, size = bitmaps(at, size)
+        comp = np.array([r[2] for r in rows])
+        starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+        sizes = np.diff(np.append(starts, len(rows)))
         out: list = []
-        lo = 0
-        for hi in np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(rows)):
-            self._node(rows, lo, hi, maps, size, sets, out)
-            lo = hi
+        few = []  # pairs of places within nodes of up to FEW members, ruled out by bitmap all at once
+        for n in range(2, FEW + 1):
+            at = starts[sizes == n]
+            if len(at):
+                few.append(np.stack([(at[:, None] + x).ravel() for x in np.triu_indices(n, 1)]))
+        if few:
+            i, j = np.concatenate(few, 1)
+            some = comp[i] != comp[j]
+            i, j = i[some], j[some]
+            some = may_be_alike(maps[i], size[i], maps[j], size[j], self.percent)
+            node = np.repeat(np.arange(len(starts)), sizes)
+            for a, b in zip(i[some].tolist(), j[some].tolist()):
+                if comp[a] != comp[b]:
+                    lo = starts[node[a]]
+                    self._try(rows, a, b, comp[lo:lo + sizes[node[a]]], comp[a], comp[b], sets, out)
+        for lo, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
+            self._node(rows, lo, lo + n, maps, size, comp[lo:lo + n], sets, out)
         if out:
             yield pa.record_batch([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    def _node(self, rows, lo, hi, maps, size, sets, out) -> None:
-        comp = np.array([r[2] for r in rows[lo:hi]])
+    def _try(self, rows, i, j, comp, one, other, sets, out) -> None:
+        """Compare two members in full; ``comp`` are the components of their node, ``one`` and ``other`` the two's."""
+        for k in (i, j):
+            if k not in sets:
+                sets[k] = self.sets(rows[k][3])
+        if alike(sets[i], sets[j], self.percent):
+            a, b = rows[i][1], rows[j][1]
+            out.append((min(a, b), max(a, b)))
+            if self.joining:
+                comp[comp == other] = one
+
+    def _node(self, rows, lo, hi, maps, size, comp, sets, out) -> None:
         names, counts = np.unique(comp, return_counts=True)
         maps, size = maps[lo:hi], size[lo:hi]
-
-        def own(i):
-            if lo + i not in sets:
-                sets[lo + i] = self.sets(rows[lo + i][3])
-            return sets[lo + i]
-
         for i in np.flatnonzero(comp != names[counts.argmax()]):
             others = np.flatnonzero(comp != comp[i])
             for j in others[may_be_alike(maps[others], size[others], maps[i], size[i], self.percent)]:
-                if comp[i] != comp[j] and alike(own(i), own(j), self.percent):
-                    a, b = rows[lo + i][1], rows[lo + j][1]
-                    out.append((min(a, b), max(a, b)))
-                    if self.joining:
-                        comp[comp == comp[j]] = comp[i]
+                if comp[i] != comp[j]:
+                    self._try(rows, lo + int(i), lo + int(j), comp, comp[i], comp[j], sets, out)
 
 
 def bitmaps(hashes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
