@@ -1,34 +1,16 @@
-"""Every query of the engine by name, with the SQL that an independent engine must agree with."""
+"""Query language, selections over nodes, edges and routes, facts, questions, constraints."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import score
-from .functions.facts import FACTS_SQL, HAS, fact_rows
-from .operators import baseline, detect, evidence, fluent, retrieve
-from .plans import language
-from .schema import CRITICAL
-from .sources.corpus import PREFIX, derived
-from .streaming import runtime
+from ..functions.facts import FACTS_SQL, HAS, fact_rows
+from ..operators import evidence, fluent
+from ..plans import language
+from ..sources.corpus import PREFIX, derived
+from .base import add
+from .base import table as _table
 
 FACTS = PREFIX + ", " + FACTS_SQL
-_Q: dict = {}
-_SQL: dict[str, str] = {}
-
-
-def add(name: str, sql: str | None = None):
-    def put(f):
-        _Q[name] = f
-        if sql:
-            _SQL[name] = sql
-        return f
-    return put
-
-
-def _table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 ASKED = {
     "Q03_flagship": ("FIND routes WHERE mutation AND auth AND NOT transaction", "is_mutation AND has_auth AND NOT has_txn"),
@@ -53,59 +35,20 @@ add("F13_normalised_entrypoints", PREFIX + "SELECT regexp_replace(entrypoint, '\
 add("J02_connected_to", PREFIX + "SELECT graph_id, node_ord, symbol FROM nodes n WHERE n.ir_type = 'ir:service_call' AND EXISTS (SELECT 1 FROM edges e JOIN nodes t ON t.graph_id = e.graph_id AND t.node_ord = e.dst WHERE e.graph_id = n.graph_id AND e.src = n.node_ord AND t.ir_type = 'ir:txn_boundary')")(lambda s, d: (lambda c: fluent.nodes(c).of_type("ir:service_call").connected_to(fluent.nodes(c).of_type("ir:txn_boundary")).df.select("graph_id", "node_ord", "symbol"))(derived(s, d)))
 add("J04_unwrapped_mutations", PREFIX + "SELECT graph_id, node_ord, symbol FROM nodes n WHERE mutates AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.graph_id = n.graph_id AND e.dst = n.node_ord AND e.relation = 'ir:wraps')")(lambda s, d: fluent.nodes(derived(s, d)).where(F.col("mutates")).without_incoming("ir:wraps").df.select("graph_id", "node_ord", "symbol"))
 add("A01_counts", PREFIX + "SELECT g.graph_id, count(n.node_ord) AS n_nodes FROM graphs g LEFT JOIN nodes n ON n.graph_id = g.graph_id GROUP BY 1")(lambda s, d: fact_rows(derived(s, d)).select("graph_id", "n_nodes"))
-add("A03_deduplicate", PREFIX + "SELECT graph_id, type, symbol, arg0, min(node_ord) AS node_ord, count(*) AS occurrences FROM nodes GROUP BY 1, 2, 3, 4")(lambda s, d: retrieve.deduplicate(derived(s, d)))
-add("A05_dependency_index", PREFIX + "SELECT symbol, count(DISTINCT entrypoint) AS n_routes, count(DISTINCT n.graph_id) AS n_graphs FROM nodes n JOIN graphs g ON g.graph_id = n.graph_id GROUP BY 1")(lambda s, d: retrieve.dependency_index(derived(s, d)))
 add("A08_out_degree", PREFIX + "SELECT graph_id, src, count(*) AS degree FROM edges GROUP BY 1, 2")(lambda s, d: derived(s, d).edges.groupBy("graph_id", "src").agg(F.count("*").alias("degree")))
-add("A15_runs", "SELECT o_orderpriority AS key, round(avg(o_totalprice), 6) AS mean, round(stddev_pop(o_totalprice), 6) AS deviation, min(o_totalprice) AS low, max(o_totalprice) AS high, count(*) AS runs FROM orders GROUP BY 1")(lambda s, d: score.runs(_table(s, d, "orders").withColumnRenamed("o_orderpriority", "key"), "key", "o_totalprice"))
-add("W02_last_turns", "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5")(lambda s, d: score.last_turns(_table(s, d, "conversations")))
-add("D_fact_rules", FACTS + f"SELECT graph_id, type, severity, confidence, type || '-' || substr(sha256(least(entrypoint, graph_id::VARCHAR) || '|' || greatest(entrypoint, graph_id::VARCHAR)), 1, 8) AS id FROM ({detect.FACT_SQL})")(lambda s, d: detect.by_facts(derived(s, d)))
-add("D08_dead_middleware", PREFIX + "SELECT graph_id, node_ord, symbol FROM nodes n WHERE ir_type = 'ir:auth_gate' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.graph_id = n.graph_id AND e.src = n.node_ord)")(lambda s, d: detect.dead_middleware(derived(s, d)))
-add("D13_duplicate_authorization", PREFIX + "SELECT graph_id, arg0 AS ability, count(DISTINCT ir_type) AS n_layers FROM nodes WHERE ir_type IN ('ir:auth_gate', 'ir:authz_check', 'ir:validation_gate') AND arg0 IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT ir_type) >= 2")(lambda s, d: detect.duplicate_authorization(derived(s, d)))
-add("D17_event_before_commit", PREFIX + "SELECT e.graph_id, src, dst::BIGINT AS dst, relation FROM edges e JOIN nodes a ON a.graph_id = e.graph_id AND a.node_ord = src JOIN nodes b ON b.graph_id = e.graph_id AND b.node_ord = dst WHERE a.ir_type = 'ir:txn_escape' AND b.ir_type = 'ir:txn_boundary'")(lambda s, d: detect.event_before_commit(derived(s, d)))
-add("O02_ranked_findings", FACTS + f", f AS (SELECT *, type || '-' || substr(sha256(least(entrypoint, graph_id::VARCHAR) || '|' || greatest(entrypoint, graph_id::VARCHAR)), 1, 8) AS id FROM ({detect.FACT_SQL})) SELECT graph_id, id, row_number() OVER (PARTITION BY graph_id ORDER BY CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END DESC, CASE confidence WHEN 'HIGH' THEN 2 ELSE 1 END DESC, id) AS rank FROM f")(lambda s, d: detect.rank(detect.by_facts(derived(s, d))).select("graph_id", "id", "rank"))
-_REL = f"CASE WHEN ir_type IN ({', '.join(map(repr, retrieve.HIGH))}) THEN 2 WHEN ir_type IN ({', '.join(map(repr, retrieve.MEDIUM))}) THEN 1 ELSE 0 END"
-add("O01_ranked_nodes", PREFIX + f", s AS (SELECT graph_id, node_ord, {_REL} AS rel, contains(lower(symbol || ' ' || arg0), 'widget')::INT + contains(lower(symbol || ' ' || arg0), 'bolt')::INT AS score FROM nodes) SELECT graph_id, node_ord, score::BIGINT AS score, row_number() OVER (PARTITION BY graph_id ORDER BY score DESC, rel DESC, node_ord) AS rank FROM s")(lambda s, d: retrieve.rank_nodes(derived(s, d), "What widget and bolt?"))
-add("R03_pruned_edges", PREFIX + f", k AS (SELECT graph_id, node_ord FROM nodes WHERE {_REL} >= 2) SELECT e.graph_id, src, dst::BIGINT AS dst, relation FROM edges e JOIN k a ON a.graph_id = e.graph_id AND a.node_ord = src JOIN k b ON b.graph_id = e.graph_id AND b.node_ord = dst")(lambda s, d: retrieve.prune(derived(s, d), 2).edges.select("graph_id", "src", "dst", "relation"))
-add("R08_tokens", PREFIX + "SELECT graph_id, ceil(sum(length(type) + length(symbol) + 4) / 4)::BIGINT AS tokens FROM nodes GROUP BY 1")(lambda s, d: retrieve.token_estimate(derived(s, d)))
-add("R17_reachable", PREFIX.replace("WITH ", "WITH RECURSIVE ", 1) + ", w AS (SELECT graph_id, node_ord::BIGINT AS node_ord, 0::BIGINT AS depth FROM nodes WHERE ir_type = 'ir:auth_gate' UNION SELECT e.graph_id, e.dst::BIGINT, w.depth + 1 FROM w JOIN edges e ON e.graph_id = w.graph_id AND e.src = w.node_ord WHERE w.depth < 3) SELECT graph_id, node_ord, min(depth) AS depth FROM w GROUP BY 1, 2 HAVING min(depth) > 0")(lambda s, d: (lambda c: retrieve.reachable(s, c, c.nodes.where("ir_type = 'ir:auth_gate'"), 3))(derived(s, d)))
-
-
-def _years(spark, sf_dir):
-    c = derived(spark, sf_dir)
-    return c, F.year("captured_at")
-
-
-_CAP = PREFIX + f""", c AS (SELECT entrypoint, year(captured_at) AS y, ir_type FROM graphs g LEFT JOIN nodes n ON n.graph_id = g.graph_id),
-b AS (SELECT entrypoint, y, coalesce(list_sort(list(DISTINCT ir_type) FILTER (ir_type IN ({', '.join(map(repr, CRITICAL))}))), []) AS types FROM c GROUP BY 1, 2)
-"""
-
-
-@add("W01_history", _CAP + """SELECT entrypoint, y::BIGINT AS snapshot, coalesce(array_to_string(list_sort(list_filter(before, lambda x: NOT list_contains(types, x))), ','), '') AS lost,
-  coalesce(array_to_string(list_sort(list_filter(types, lambda x: NOT list_contains(before, x))), ','), '') AS gained FROM (SELECT *, lag(types) OVER (PARTITION BY entrypoint ORDER BY y) AS before FROM b)""".replace("list_filter(types, lambda x: NOT list_contains(before, x))", "CASE WHEN before IS NULL THEN [] ELSE list_filter(types, lambda x: NOT list_contains(before, x)) END"))
-def w01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, year = _years(spark, sf_dir)
-    from .sources.corpus import Corpus
-    c = Corpus(c.graphs.withColumn("snapshot", year.cast("bigint")), c.nodes, c.edges)
-    return baseline.history(baseline.capture(c, ["snapshot"]))
-
-
-@add("R12_verify_baseline", _CAP + """, lo AS (SELECT min(y) AS y FROM b), p AS (SELECT entrypoint, types FROM b WHERE y = (SELECT y + 1 FROM lo)), q AS (SELECT entrypoint, types FROM b WHERE y = (SELECT y FROM lo))
-SELECT coalesce(p.entrypoint, q.entrypoint) AS entrypoint, CASE WHEN q.entrypoint IS NULL THEN 'new' WHEN p.entrypoint IS NULL THEN 'gone' WHEN p.types = q.types THEN 'same' ELSE 'changed' END AS status,
-  array_to_string(list_filter(coalesce(q.types, []), lambda x: NOT list_contains(coalesce(p.types, []), x)), ',') AS lost, array_to_string(list_filter(coalesce(p.types, []), lambda x: NOT list_contains(coalesce(q.types, []), x)), ',') AS gained
-FROM p FULL JOIN q ON p.entrypoint = q.entrypoint""")
-def r12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, year = _years(spark, sf_dir)
-    from .sources.corpus import Corpus
-    first = c.graphs.agg(F.min(year)).first()[0]
-    of = lambda y: baseline.capture(Corpus(c.graphs.where(year == y), c.nodes, c.edges))
-    return baseline.diff(of(first + 1), of(first))
-
-
-_SPANS = "WITH e AS (SELECT user_id || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS session_id, * FROM events), s AS (SELECT session_id, event_id AS span_id, value AS ms, event_type, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS span_ord FROM e) "
-add("T06_n_plus_one", _SPANS + "SELECT session_id, 't' || (span_id % 4) AS \"table\", count(*) AS n, CASE WHEN count(*) >= 10 THEN 'high' ELSE 'medium' END AS severity FROM s WHERE span_ord > 1 GROUP BY 1, 2 HAVING count(*) >= 2")(lambda s, d: runtime.n_plus_one(runtime.spans(_table(s, d, "events"))))
-add("D27_slow_queries", _SPANS + "SELECT session_id, span_id, round(ms)::BIGINT AS ms, CASE WHEN round(ms) >= 200 THEN 'critical' WHEN round(ms) >= 100 THEN 'high' ELSE 'medium' END AS severity FROM s WHERE span_ord > 1 AND round(ms) >= 50")(lambda s, d: runtime.slow_queries(runtime.spans(_table(s, d, "events"))))
-add("A10_gap_report", _SPANS + "SELECT category, n, round(100 * n / sum(n) OVER ())::BIGINT AS percent FROM (SELECT CASE WHEN span_ord > 1 THEN 'database' ELSE 'request' END AS category, count(*) AS n FROM s GROUP BY 1)")(lambda s, d: runtime.gap_report(runtime.spans(_table(s, d, "events"))))
-add("G04_phrases", "SELECT doc_id, round((contains(lower(coalesce(text, '')), 'the')::INT + contains(lower(coalesce(text, '')), 'tion')::INT + contains(lower(coalesce(text, '')), 'que')::INT) / 3, 6) AS score, round((contains(lower(coalesce(text, '')), 'the')::INT + contains(lower(coalesce(text, '')), 'tion')::INT + contains(lower(coalesce(text, '')), 'que')::INT) / 3, 6) >= 0.7 AS passed FROM documents")(lambda s, d: score.phrases(_table(s, d, "documents"), ["The", "tion", "que"]))
+add("F04_by_ids", PREFIX + "SELECT graph_id, id, symbol FROM nodes WHERE id IN ('n2', 'n5')")(lambda s, d: fluent.nodes(derived(s, d)).by_ids("n2", "n5").df.select("graph_id", "id", "symbol"))
+add("F05_edges_from_to", PREFIX + "SELECT graph_id, edge_ord, relation FROM edges WHERE relation = 'ir:calls' AND src = 3 AND dst = 2")(lambda s, d: fluent.edges(derived(s, d)).of_relation("ir:calls").leaving("n3").entering("n2").df.select("graph_id", "edge_ord", "relation"))
+add("F07_edge_sources", PREFIX + "SELECT n.graph_id, node_ord, type FROM nodes n WHERE EXISTS (SELECT 1 FROM edges e WHERE e.graph_id = n.graph_id AND e.src = n.node_ord AND e.relation = 'ir:accesses')")(lambda s, d: fluent.edges(derived(s, d)).of_relation("ir:accesses").from_nodes().df.select("graph_id", "node_ord", "type"))
+add("F08_terminals", PREFIX + "SELECT g.graph_id, count(node_ord) > 0 AS found, count(node_ord) AS n, coalesce(string_agg(symbol, ',' ORDER BY node_ord), '') AS symbols, coalesce(max(CASE WHEN id = 'n2' THEN symbol END), '') AS of_n2 FROM graphs g LEFT JOIN (SELECT * FROM nodes WHERE ir_type = 'ir:service_call') n ON n.graph_id = g.graph_id GROUP BY 1")(lambda s, d: fluent.nodes(derived(s, d)).of_type("service_call").terminals().select("graph_id", "found", "n", F.array_join(F.transform("nodes", lambda x: x["symbol"]), ",").alias("symbols"), F.coalesce(F.try_element_at("by_id", F.lit("n2"))["symbol"], F.lit("")).alias("of_n2")))
+add("F09_route_filters", FACTS + "SELECT graph_id, entrypoint FROM facts WHERE is_mutation AND has_auth AND NOT has_authz AND NOT has_txn AND has_dispatch")(lambda s, d: fluent.Routes(derived(s, d)).mutations().authenticated().without_authorization().without_transaction().with_dispatch().df.select("graph_id", "entrypoint"))
+add("F10_route_map", FACTS + "SELECT entrypoint || ':' || n_nodes AS label FROM facts WHERE has_escape AND has_unscoped")(lambda s, d: fluent.Routes(derived(s, d)).with_escape().with_unscoped_access().map(F.concat("entrypoint", F.lit(":"), F.col("n_nodes").cast("string")).alias("label")))
+add("F12_substring_routes", PREFIX + "SELECT graph_id, entrypoint FROM graphs WHERE contains(lower(entrypoint), 'post /c1')")(lambda s, d: fluent.find_routes(derived(s, d), "POST /c1").select("graph_id", "entrypoint"))
+add("F13_matched_entrypoint", PREFIX + "SELECT min(graph_id) AS graph_id FROM graphs WHERE regexp_replace(entrypoint, '\\{[^}]+\\}', '{*}', 'g') = 'GET /c3/{*}'")(lambda s, d: fluent.match_entrypoint(derived(s, d), "GET /c3/{order}").select("graph_id"))
+add("F15_legacy_types", PREFIX + "SELECT type, ir_type, count(*) AS n FROM nodes GROUP BY 1, 2")(lambda s, d: derived(s, d).nodes.groupBy("type", "ir_type").agg(F.count("*").alias("n")))
+add("J05_missing_ids", PREFIX + "SELECT a.graph_id, 'n99' AS id FROM annotations a")(lambda s, d: (lambda c: fluent.missing_ids(c, c.annotations.select("graph_id", F.explode(F.concat("nodes", F.array(F.lit("n99")))).alias("id"))))(derived(s, d)))
+add("W04_chain", PREFIX + "SELECT graph_id, src, dst FROM edges WHERE relation = 'next_middleware'")(lambda s, d: fluent.chain(derived(s, d)))
+add("Q12_predicates", "SELECT * FROM (VALUES ('async'), ('async-dispatch'), ('auth'), ('authenticated'), ('authorization'), ('event'), ('missing-authorization'), ('mutation'), ('no-auth'), ('no-authorization'), ('no-policy'), ('no-transaction'), ('policy'), ('public'), ('queue'), ('read'), ('readonly'), ('tenant'), ('tenant-scoped'), ('transaction'), ('transaction-escape'), ('unauthenticated'), ('unscoped'), ('unscoped-access'), ('write')) t(predicate)")(lambda s, d: s.createDataFrame([(p,) for p in language.known_predicates()], "predicate string"))
+add("Q13_query_result", FACTS + "SELECT count(*) AS n, count(DISTINCT entrypoint) AS n_entrypoints FROM facts WHERE is_mutation AND NOT has_auth")(lambda s, d: language.query(derived(s, d), "mutation AND public").agg(F.count("*").alias("n"), F.count_distinct("entrypoint").alias("n_entrypoints")))
 
 
 _ASK = "coalesce(text, '')"
@@ -120,15 +63,4 @@ _FACT = " UNION ALL ".join(f"SELECT '{f}' AS fact, '{_TIERS.get(f, 'low')}' AS r
 add("R23_facts", PREFIX + f"SELECT graph_id, fact, n > 0 AS present, n, value, relevance FROM ({_FACT}) WHERE n > 0 OR relevance = 'high'")(lambda s, d: evidence.facts(derived(s, d), ["auth", "transaction"]))
 _RULES = [("writes need authentication", "HIGH", "mutation AND public"), ("reads are scoped", "MEDIUM", "readonly AND unscoped")]
 add("R25_constraints", FACTS + "SELECT 'writes need authentication' AS \"constraint\", 'HIGH' AS severity, graph_id, entrypoint, NULL::VARCHAR AS error FROM facts WHERE is_mutation AND NOT has_auth UNION ALL SELECT 'reads are scoped', 'MEDIUM', graph_id, entrypoint, NULL FROM facts WHERE NOT is_mutation AND has_unscoped")(lambda s, d: evidence.check_constraints(derived(s, d), _RULES))
-
-
-def queries() -> dict:
-    return dict(_Q)
-
-
-def oracle_sql() -> dict:
-    return dict(_SQL)
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _Q["Q03_flagship"](spark, sf_dir)
+add("A18_constraint_report", FACTS + "SELECT 'writes need authentication' AS \"constraint\", count(*) AS n FROM facts WHERE is_mutation AND NOT has_auth UNION ALL SELECT 'reads are scoped', count(*) FROM facts WHERE NOT is_mutation AND has_unscoped")(lambda s, d: evidence.check_constraints(derived(s, d), _RULES).groupBy("constraint").agg(F.count("*").alias("n")))

@@ -1,6 +1,9 @@
-"""A corpus of graphs as four tables, from nested rows or derived from the star-schema tables."""
+"""A corpus of graphs as tables, from nested rows or derived from the star-schema tables, and as one nested row a graph."""
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -8,56 +11,198 @@ from pyspark.sql import functions as F
 
 from .. import schema
 
-KINDS = ("ir:auth_gate", "ir:authz_check", "ir:business_handler", "ir:validation_gate", "ir:service_call", "ir:service_call", "ir:txn_boundary", "ir:txn_write", "ir:txn_escape", "ir:unscoped_query", "ir:scoped_query", "ir:runtime_inject", "ir:queue_job", "ir:mail", "ir:resource", "policy")
+KINDS = (
+    "ir:auth_gate", "ir:authz_check", "ir:business_handler", "ir:validation_gate", "ir:service_call", "ir:service_call",
+    "ir:txn_boundary", "ir:txn_write", "ir:txn_escape", "ir:unscoped_query", "ir:scoped_query", "ir:runtime_inject",
+    "ir:queue_job", "ir:mail", "ir:resource", "policy", "ir:api_resource", "ir:event_dispatch", "ir:notification",
+    "ir:permission_constant", "ir:tenant_context", "ir:unscoped_write", "ir:runtime_consume", "authorization_check",
+    "service_call", "controller_action", "form_request", "permission", "ir:business_handler", "ir:service_call", "ir:resource",
+    "custom_step", "ir:service_call", "ir:service_call", "ir:service_call", "ir:service_call", "ir:service_call", "ir:service_call",
+    "ir:service_call", "ir:service_call",
+)
 
 
 @dataclass(frozen=True)
 class Corpus:
-    graphs: DataFrame  # graph_id, method, path, entrypoint, captured_at
-    nodes: DataFrame  # graph_id, node_ord, type, ir_type, symbol, role, mutates, arg0, args (all of them, null as empty)
-    edges: DataFrame  # graph_id, src, dst, relation
+    graphs: DataFrame  # graph_id, method, path, entrypoint, captured_at, framework
+    nodes: DataFrame  # graph_id, node_ord, id, type, ir_type, symbol, role, mutates, arg0, args (all of them, null as empty), detail, file, line
+    edges: DataFrame  # graph_id, edge_ord, src, dst (places of nodes), relation, mechanism, side_effect
+    annotations: DataFrame | None = None  # graph_id, ann_ord, type, description, nodes (ids)
 
 
 def from_nested(rows: DataFrame) -> Corpus:
-    """Nested graph rows (graph_id and ``schema.GRAPH``): array order becomes node_ord and edge ends become node_ord."""
-    graphs = rows.select("graph_id", "method", "path", "entrypoint", F.lit(None).cast("timestamp").alias("captured_at"))
+    """Nested graph rows (graph_id and ``schema.GRAPH``): array order becomes node_ord, and edge ends become places of nodes; edges with an unknown end go."""
+    have = set(rows.columns)
+    framework = F.col("framework") if "framework" in have else F.lit(None).cast("string")
+    graphs = rows.select("graph_id", "method", "path", "entrypoint", F.lit(None).cast("timestamp").alias("captured_at"), framework.alias("framework"))
     n = rows.select("graph_id", F.posexplode("nodes").alias("p", "n"))
-    nodes = n.select("graph_id", (F.col("p") + 1).cast("bigint").alias("node_ord"), F.col("n.id").alias("id"), F.col("n.type").alias("type"), schema.ir_type(F.col("n.type")).alias("ir_type"), F.col("n.symbol").alias("symbol"), F.col("n.role").alias("role"), F.coalesce("n.mutates", F.lit(False)).alias("mutates"), F.get("n.args", F.lit(0)).alias("arg0"), F.coalesce("n.args", F.array().cast("array<string>")).alias("args"))
-    e = rows.select("graph_id", F.explode("edges").alias("e"))
+    args = F.coalesce("n.args", F.array().cast("array<string>"))
+    nodes = n.select("graph_id", (F.col("p") + 1).cast("bigint").alias("node_ord"), F.col("n.id").alias("id"), F.col("n.type").alias("type"), schema.ir_type(F.col("n.type")).alias("ir_type"), F.col("n.symbol").alias("symbol"), F.col("n.role").alias("role"), F.coalesce("n.mutates", F.lit(False)).alias("mutates"), F.get(args, F.lit(0)).alias("arg0"), args.alias("args"), F.col("n.detail").alias("detail"), F.col("n.file").alias("file"), F.col("n.line").alias("line"))
+    e = rows.select("graph_id", F.posexplode("edges").alias("p", "e"))
     ends = nodes.select("graph_id", "id", "node_ord")
-    e = e.select("graph_id", F.col("e.from").alias("e_from"), F.col("e.to").alias("e_to"), F.col("e.relation").alias("relation"))
+    e = e.select("graph_id", F.col("p").cast("bigint").alias("edge_ord"), F.col("e.from").alias("e_from"), F.col("e.to").alias("e_to"), F.col("e.relation").alias("relation"), F.col("e.mechanism").alias("mechanism"), F.col("e.side_effect").alias("side_effect"))
     e = e.join(ends.withColumnsRenamed({"id": "e_from", "node_ord": "src"}), ["graph_id", "e_from"]).join(ends.withColumnsRenamed({"id": "e_to", "node_ord": "dst"}), ["graph_id", "e_to"])
-    return Corpus(graphs, nodes.drop("id"), e.select("graph_id", "src", "dst", "relation"))
+    notes = None
+    if "annotations" in have:
+        a = rows.select("graph_id", F.posexplode("annotations").alias("ann_ord", "a"))
+        notes = a.select("graph_id", F.col("ann_ord").cast("bigint").alias("ann_ord"), "a.type", "a.description", "a.nodes")
+    return Corpus(graphs, nodes, e.select("graph_id", "edge_ord", "src", "dst", "relation", "mechanism", "side_effect"), notes)
 
 
-def derived(spark: SparkSession, sf_dir: str) -> Corpus:
+def nested(corpus: Corpus) -> DataFrame:
+    """One row a graph: its columns, ``n`` (nodes), ``e`` (edges, ends as places) and ``a`` (annotations) as arrays in order.
+
+    Graphs are small, so what is asked of one graph at a time is then an expression over its own row: nodes and edges are shuffled
+    once by graph, whatever the number of questions.
+    """
+    fields = ("node_ord", "id", "type", "ir_type", "symbol", "role", "args", "detail", "file", "line", "mutates")
+    n = corpus.nodes.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct(*(F.col(c).alias("ord" if c == "node_ord" else "ir" if c == "ir_type" else c) for c in fields if c in corpus.nodes.columns)))).alias("n"))
+    e = corpus.edges.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct(F.col("edge_ord").alias("k"), "src", "dst", F.col("relation").alias("rel"), F.col("mechanism").alias("mech"), F.col("side_effect").alias("side")))).alias("e"))
+    out = corpus.graphs.join(n, "graph_id", "left").join(e, "graph_id", "left")
+    if corpus.annotations is not None:
+        a = corpus.annotations.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("ann_ord", "type", "description", "nodes"))).alias("a"))
+        out = out.join(a, "graph_id", "left")
+    kinds = {f.name: f.dataType for f in out.schema}
+    return out.withColumns({c: F.coalesce(c, F.array().cast(kinds[c])) for c in ("n", "e", "a") if c in kinds})
+
+
+def _derive(spark: SparkSession, sf_dir: str) -> Corpus:
     """Orders as graphs and their lines as nodes; the order of lines is data, so it is numbered by a total order."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     o = t("orders")
     method = F.when(F.col("o_orderstatus") == "O", "GET").when(F.col("o_orderstatus") == "F", "POST").otherwise("DELETE")
-    graphs = o.select(F.col("o_orderkey").alias("graph_id"), method.alias("method"), F.concat(F.lit("/c"), (F.col("o_custkey") % 40).cast("string"), F.lit("/{id}")).alias("path"), F.col("o_orderdate").alias("captured_at"))
-    graphs = graphs.withColumn("entrypoint", F.concat_ws(" ", "method", "path"))
+    path = F.when(F.col("o_custkey") % 40 == 7, "/login").otherwise(F.concat(F.lit("/c"), (F.col("o_custkey") % 40).cast("string"), F.lit("/{id}")))
+    graphs = o.select(F.col("o_orderkey").alias("graph_id"), method.alias("method"), path.alias("path"), F.concat_ws(" ", method, path).alias("entrypoint"), F.col("o_orderdate").alias("captured_at"), F.when(F.col("o_custkey") % 3 == 0, "nestjs").otherwise("laravel").alias("framework"))
+
     kinds = F.array(*(F.lit(k) for k in KINDS))
     lines = t("lineitem").join(t("part"), F.expr("p_partkey = l_partkey"))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    kind = F.get(kinds, (F.col("l_partkey") % 16).cast("int"))
-    nodes = lines.select(F.col("l_orderkey").alias("graph_id"), F.row_number().over(order).cast("bigint").alias("node_ord"), kind.alias("type"), schema.ir_type(kind).alias("ir_type"), F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.lit("::"), F.lower("p_type")).alias("symbol"), F.col("l_returnflag").alias("role"), (F.col("l_linestatus") == "F").alias("mutates"), F.col("p_brand").alias("arg0"), F.array("p_brand").alias("args"), "l_discount")
-    # edges follow from a node and the number of nodes of its graph, so they need no join
-    n = nodes.withColumn("n", F.max("node_ord").over(Window.partitionBy("graph_id")))
-    step = F.filter(F.array(F.struct((F.col("node_ord") + 1).alias("dst"), F.lit("next_middleware").alias("relation"), (F.col("node_ord") < F.col("n")).alias("ok")), F.struct((F.col("node_ord") + 2).alias("dst"), F.lit("ir:calls").alias("relation"), ((F.col("node_ord") + 2 <= F.col("n")) & (F.col("l_discount") > 0.05)).alias("ok")), F.struct(F.lit(1).cast("bigint").alias("dst"), F.lit("ir:wraps").alias("relation"), ((F.col("role") == "R") & (F.col("node_ord") > 1)).alias("ok"))), lambda x: x["ok"])
-    edges = n.select("graph_id", F.col("node_ord").alias("src"), F.explode(step).alias("e")).select("graph_id", "src", "e.dst", "e.relation")
-    return Corpus(graphs, nodes.drop("l_discount"), edges)
-
-
-#: the same tables for an independent SQL engine
-_DIM = ",".join(f"({i},'{k}')" for i, k in enumerate(KINDS))
-PREFIX = f"""WITH dim(k, t) AS (VALUES {_DIM}),
+    d = lines.withColumn("k", (F.col("l_partkey") % len(KINDS)).cast("int")).withColumn("type", F.get(kinds, F.col("k")))
+    symbol = F.expr("""CASE WHEN k IN (4, 5, 29) OR k >= 32 THEN concat('Service', p_size % 7, '::', lower(p_type)) WHEN k = 24 THEN concat('PermissionService::', lower(p_type))
+      WHEN k = 11 AND p_size % 3 = 0 THEN 'ResolveTenant::handle' WHEN k = 11 AND p_size % 3 = 1 THEN "app()->instance('locale', x)"
+      ELSE concat(replace(p_name, ' ', ''), '::', lower(p_type)) END""")
+    arg0 = F.expr("""CASE WHEN k NOT IN (0, 1, 15, 19, 23, 27) THEN p_brand WHEN p_size % 4 = 0 THEN NULL
+      WHEN p_size % 3 = 0 THEN concat('task.', lower(p_type)) WHEN p_size % 3 = 1 THEN concat('Permission::TASK_', upper(p_type)) ELSE lower(p_type) END""")
+    detail = F.expr("""CASE WHEN k = 16 AND p_size % 2 = 0 THEN '{"fields":["id","token"],"sensitiveFields":["token"],"isCollection":true}' WHEN k = 16 THEN '{"fields":["id"],"sensitiveFields":[]}'
+      WHEN k = 13 AND p_size % 3 = 0 THEN '{"className":"Welcome","queued":false}' WHEN k = 13 AND p_size % 3 = 1 THEN '{"queued":true}' END""")
+    role = F.expr("CASE WHEN k = 3 AND l_linestatus = 'O' THEN 'validation_only' ELSE l_returnflag END")
+    d = d.select(F.col("l_orderkey").alias("graph_id"), F.row_number().over(order).cast("bigint").alias("node_ord"), "type", schema.ir_type(F.col("type")).alias("ir_type"), symbol.alias("symbol"), role.alias("role"), (F.col("l_linestatus") == "F").alias("mutates"), arg0.alias("arg0"), F.array_compact(F.array(arg0)).alias("args"), detail.alias("detail"), F.concat(F.lit("app/"), F.replace("p_name", F.lit(" "), F.lit("")), F.lit(".php")).alias("file"), F.col("l_linenumber").cast("int").alias("line"), "l_discount", "l_tax", "l_returnflag", (F.col("p_size") % 3).alias("third"))
+    nodes = d.select("graph_id", "node_ord", F.concat(F.lit("n"), "node_ord").alias("id"), "type", "ir_type", "symbol", "role", "mutates", "arg0", "args", "detail", "file", "line")
+
+    # edges follow from a node and bounds over its graph, so they need no join
+    of = lambda f, kind: f(F.when(F.col("ir_type") == kind, F.col("node_ord"))).over(Window.partitionBy("graph_id"))
+    w = d.withColumns({
+        "last": F.max("node_ord").over(Window.partitionBy("graph_id")),
+        "boundary": of(F.min, "ir:txn_boundary"), "injection": of(F.min, "ir:runtime_inject"), "check": of(F.min, "ir:authz_check"),
+        "res_lo": of(F.min, "ir:resource"), "res_hi": of(F.max, "ir:resource"),
+        "perm_lo": of(F.min, "ir:permission_constant"), "perm_hi": of(F.max, "ir:permission_constant"),
+    })
+    rules = (  # destination, relation, condition, mechanism
+        ("node_ord + 1", "next_middleware", "node_ord < last", "CASE WHEN NOT mutates THEN \"app('tenant')\" END"),
+        ("node_ord + 2", "ir:calls", "node_ord + 2 <= last AND l_discount > 0.05", "NULL"),
+        ("node_ord - 1", "ir:calls", "node_ord > 1 AND l_tax > 0.05", "NULL"),
+        ("1", "ir:wraps", "role = 'R' AND node_ord > 1", "NULL"),
+        ("boundary", "escapes_transaction", "type = 'ir:txn_escape'", "NULL"),
+        ("injection", "missing_tenant_scope", "ir_type = 'ir:unscoped_query'", "NULL"),
+        ("res_lo", "ir:authorizes", "ir_type = 'ir:authz_check'", "NULL"),
+        ("res_hi", "ir:accesses", "ir_type = 'ir:business_handler'", "NULL"),
+        ("perm_lo", "checks_permission", "ir_type = 'ir:authz_check'", "\"$this->authorize('update', $m)\""),
+        ("perm_hi", "uses_permission", "ir_type = 'ir:authz_check' AND perm_hi <> perm_lo", "NULL"),
+        ("perm_lo", "privilege_hierarchy", "node_ord = perm_hi AND perm_hi <> perm_lo", "NULL"),
+        ("injection", "runtime_inject", "type = 'ir:auth_gate' AND third < 2", "CASE WHEN third = 0 THEN \"app()->instance('tenant', $t)\" ELSE 'binds' END"),
+        ("check", "policy_check", "ir_type = 'ir:validation_gate' AND l_returnflag = 'A'", "NULL"),
+        ("node_ord + 1", "calls", "type IN ('controller_action', 'service_call') AND node_ord < last", "NULL"),
+        ("node_ord + 1", "ir:calls", "type = 'ir:service_call' AND node_ord < last AND l_discount > 0.03", "NULL"),
+    )
+    made = [f"named_struct('k', {k}L, 'dst', CAST({dst} AS BIGINT), 'relation', '{rel}', 'mechanism', CAST({mech} AS STRING), 'ok', {ok})" for k, (dst, rel, ok, mech) in enumerate(rules)]
+    e = w.select("graph_id", F.col("node_ord").alias("src"), F.explode(F.expr(f"filter(array({', '.join(made)}), x -> x.ok AND x.dst IS NOT NULL)")).alias("x"))
+    edges = e.select("graph_id", (F.col("src") * 100 + F.col("x.k")).alias("edge_ord"), "src", "x.dst", "x.relation", "x.mechanism", F.lit(None).cast("string").alias("side_effect"))
+    notes = d.where("type = 'policy' AND third = 0").select("graph_id", F.col("node_ord").alias("ann_ord"), F.lit("missing_policy").alias("type"), F.concat(F.lit("no file for "), "symbol").alias("description"), F.array(F.concat(F.lit("n"), "node_ord")).alias("nodes"))
+    return Corpus(graphs, nodes, edges, notes)
+
+
+_kept: dict[tuple, str] = {}
+
+
+def derived(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The derived corpus, written once a session as Parquet, so that queries read the columns they need instead of deriving it again."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    path = _kept.get(key)
+    if path is None or not _there(spark, path):
+        c = _derive(spark, sf_dir)
+        path = f"{_folder(spark)}/corpus-{uuid.uuid4().hex}"
+        for name in ("graphs", "nodes", "edges", "annotations"):
+            getattr(c, name).write.parquet(f"{path}/{name}")
+        _kept[key] = path
+        atexit.register(_forget, spark, path)
+    return Corpus(*(spark.read.parquet(f"{path}/{name}") for name in ("graphs", "nodes", "edges", "annotations")))
+
+
+def _folder(spark: SparkSession) -> str:
+    """Where all executors can write: the session's checkpoint folder; one of our own in local mode alone."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (found or "file://" + tempfile.mkdtemp(prefix="graphmill-")).rstrip("/")
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, f"{path}/annotations/_SUCCESS")
+    return fs.exists(p)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        fs, p = _path(spark, path)
+        fs.delete(p, True)
+    except Exception:  # the JVM has ended already
+        pass
+
+
+#: the same tables for an independent SQL engine, written out
+PREFIX = """WITH dim(k, t) AS (VALUES (0,'ir:auth_gate'),(1,'ir:authz_check'),(2,'ir:business_handler'),(3,'ir:validation_gate'),(4,'ir:service_call'),(5,'ir:service_call'),
+  (6,'ir:txn_boundary'),(7,'ir:txn_write'),(8,'ir:txn_escape'),(9,'ir:unscoped_query'),(10,'ir:scoped_query'),(11,'ir:runtime_inject'),(12,'ir:queue_job'),(13,'ir:mail'),(14,'ir:resource'),(15,'policy'),
+  (16,'ir:api_resource'),(17,'ir:event_dispatch'),(18,'ir:notification'),(19,'ir:permission_constant'),(20,'ir:tenant_context'),(21,'ir:unscoped_write'),(22,'ir:runtime_consume'),(23,'authorization_check'),
+  (24,'service_call'),(25,'controller_action'),(26,'form_request'),(27,'permission'),(28,'ir:business_handler'),(29,'ir:service_call'),(30,'ir:resource'),(31,'custom_step'),
+  (32,'ir:service_call'),(33,'ir:service_call'),(34,'ir:service_call'),(35,'ir:service_call'),(36,'ir:service_call'),(37,'ir:service_call'),(38,'ir:service_call'),(39,'ir:service_call')),
 graphs AS (SELECT *, concat(method, ' ', path) AS entrypoint FROM (SELECT o_orderkey AS graph_id, CASE o_orderstatus WHEN 'O' THEN 'GET' WHEN 'F' THEN 'POST' ELSE 'DELETE' END AS method,
-  concat('/c', CAST(o_custkey % 40 AS STRING), '/{{id}}') AS path, o_orderdate AS captured_at FROM orders)),
-nodes AS (SELECT l_orderkey AS graph_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS node_ord,
-  d.t AS type, CASE WHEN d.t = 'policy' THEN 'ir:authz_check' ELSE d.t END AS ir_type, concat(replace(p_name, ' ', ''), '::', lower(p_type)) AS symbol,
-  l_returnflag AS role, l_linestatus = 'F' AS mutates, p_brand AS arg0, l_discount FROM lineitem JOIN part ON p_partkey = l_partkey JOIN dim d ON d.k = l_partkey % 16),
-edges AS (SELECT a.graph_id, a.node_ord AS src, b.node_ord AS dst, 'next_middleware' AS relation FROM nodes a JOIN nodes b ON a.graph_id = b.graph_id AND b.node_ord = a.node_ord + 1
-  UNION ALL SELECT a.graph_id, a.node_ord, b.node_ord, 'ir:calls' FROM nodes a JOIN nodes b ON a.graph_id = b.graph_id AND b.node_ord = a.node_ord + 2 WHERE a.l_discount > 0.05
-  UNION ALL SELECT a.graph_id, a.node_ord, 1, 'ir:wraps' FROM nodes a WHERE a.role = 'R' AND a.node_ord > 1)
+  CASE WHEN o_custkey % 40 = 7 THEN '/login' ELSE concat('/c', CAST(o_custkey % 40 AS VARCHAR), '/{id}') END AS path, o_orderdate AS captured_at, CASE WHEN o_custkey % 3 = 0 THEN 'nestjs' ELSE 'laravel' END AS framework FROM orders)),
+raw AS (SELECT l_orderkey AS graph_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS node_ord, d.k, d.t AS type,
+  CASE d.t WHEN 'policy' THEN 'ir:authz_check' WHEN 'authorization_check' THEN 'ir:authz_check' WHEN 'service_call' THEN 'ir:service_call' WHEN 'controller_action' THEN 'ir:business_handler'
+    WHEN 'form_request' THEN 'ir:validation_gate' WHEN 'permission' THEN 'ir:permission_constant' ELSE d.t END AS ir_type, *
+  FROM lineitem JOIN part ON p_partkey = l_partkey JOIN dim d ON d.k = l_partkey % 40),
+nodes AS (SELECT graph_id, node_ord, 'n' || node_ord AS id, type, ir_type,
+  CASE WHEN k IN (4, 5, 29) OR k >= 32 THEN concat('Service', p_size % 7, '::', lower(p_type)) WHEN k = 24 THEN concat('PermissionService::', lower(p_type)) WHEN k = 11 AND p_size % 3 = 0 THEN 'ResolveTenant::handle'
+    WHEN k = 11 AND p_size % 3 = 1 THEN 'app()->instance(''locale'', x)' ELSE concat(replace(p_name, ' ', ''), '::', lower(p_type)) END AS symbol,
+  CASE WHEN k = 3 AND l_linestatus = 'O' THEN 'validation_only' ELSE l_returnflag END AS role, l_linestatus = 'F' AS mutates,
+  CASE WHEN k NOT IN (0, 1, 15, 19, 23, 27) THEN p_brand WHEN p_size % 4 = 0 THEN NULL WHEN p_size % 3 = 0 THEN concat('task.', lower(p_type)) WHEN p_size % 3 = 1 THEN concat('Permission::TASK_', upper(p_type)) ELSE lower(p_type) END AS arg0,
+  CASE WHEN k = 16 AND p_size % 2 = 0 THEN '{"fields":["id","token"],"sensitiveFields":["token"],"isCollection":true}' WHEN k = 16 THEN '{"fields":["id"],"sensitiveFields":[]}'
+    WHEN k = 13 AND p_size % 3 = 0 THEN '{"className":"Welcome","queued":false}' WHEN k = 13 AND p_size % 3 = 1 THEN '{"queued":true}' END AS detail,
+  'app/' || replace(p_name, ' ', '') || '.php' AS file, l_linenumber AS line, l_discount, l_tax, l_returnflag, p_size % 3 AS third FROM raw),
+bounds AS (SELECT graph_id, max(node_ord) AS last, min(node_ord) FILTER (ir_type = 'ir:txn_boundary') AS boundary, min(node_ord) FILTER (ir_type = 'ir:runtime_inject') AS injection,
+  min(node_ord) FILTER (ir_type = 'ir:authz_check') AS chk, min(node_ord) FILTER (ir_type = 'ir:resource') AS res_lo, max(node_ord) FILTER (ir_type = 'ir:resource') AS res_hi,
+  min(node_ord) FILTER (ir_type = 'ir:permission_constant') AS perm_lo, max(node_ord) FILTER (ir_type = 'ir:permission_constant') AS perm_hi FROM nodes GROUP BY 1),
+nb AS (SELECT n.*, b.* EXCLUDE (graph_id) FROM nodes n JOIN bounds b ON b.graph_id = n.graph_id),
+edges AS (SELECT graph_id, node_ord * 100 + k AS edge_ord, node_ord AS src, dst::BIGINT AS dst, relation, mechanism FROM (
+  SELECT graph_id, node_ord, 0 AS k, node_ord + 1 AS dst, 'next_middleware' AS relation, CASE WHEN NOT mutates THEN 'app(''tenant'')' END AS mechanism FROM nb WHERE node_ord < last
+  UNION ALL SELECT graph_id, node_ord, 1, node_ord + 2, 'ir:calls', NULL FROM nb WHERE node_ord + 2 <= last AND l_discount > 0.05
+  UNION ALL SELECT graph_id, node_ord, 2, node_ord - 1, 'ir:calls', NULL FROM nb WHERE node_ord > 1 AND l_tax > 0.05
+  UNION ALL SELECT graph_id, node_ord, 3, 1, 'ir:wraps', NULL FROM nb WHERE role = 'R' AND node_ord > 1
+  UNION ALL SELECT graph_id, node_ord, 4, boundary, 'escapes_transaction', NULL FROM nb WHERE type = 'ir:txn_escape'
+  UNION ALL SELECT graph_id, node_ord, 5, injection, 'missing_tenant_scope', NULL FROM nb WHERE ir_type = 'ir:unscoped_query'
+  UNION ALL SELECT graph_id, node_ord, 6, res_lo, 'ir:authorizes', NULL FROM nb WHERE ir_type = 'ir:authz_check'
+  UNION ALL SELECT graph_id, node_ord, 7, res_hi, 'ir:accesses', NULL FROM nb WHERE ir_type = 'ir:business_handler'
+  UNION ALL SELECT graph_id, node_ord, 8, perm_lo, 'checks_permission', '$this->authorize(''update'', $m)' FROM nb WHERE ir_type = 'ir:authz_check'
+  UNION ALL SELECT graph_id, node_ord, 9, perm_hi, 'uses_permission', NULL FROM nb WHERE ir_type = 'ir:authz_check' AND perm_hi <> perm_lo
+  UNION ALL SELECT graph_id, node_ord, 10, perm_lo, 'privilege_hierarchy', NULL FROM nb WHERE node_ord = perm_hi AND perm_hi <> perm_lo
+  UNION ALL SELECT graph_id, node_ord, 11, injection, 'runtime_inject', CASE WHEN third = 0 THEN 'app()->instance(''tenant'', $t)' ELSE 'binds' END FROM nb WHERE type = 'ir:auth_gate' AND third < 2
+  UNION ALL SELECT graph_id, node_ord, 12, chk, 'policy_check', NULL FROM nb WHERE ir_type = 'ir:validation_gate' AND l_returnflag = 'A'
+  UNION ALL SELECT graph_id, node_ord, 13, node_ord + 1, 'calls', NULL FROM nb WHERE type IN ('controller_action', 'service_call') AND node_ord < last
+  UNION ALL SELECT graph_id, node_ord, 14, node_ord + 1, 'ir:calls', NULL FROM nb WHERE type = 'ir:service_call' AND node_ord < last AND l_discount > 0.03) WHERE dst IS NOT NULL),
+annotations AS (SELECT graph_id, node_ord AS ann_ord, 'missing_policy' AS type, 'no file for ' || symbol AS description, id AS node FROM nodes WHERE type = 'policy' AND third = 0)
 """
