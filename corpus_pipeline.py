@@ -35,7 +35,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("quality classifier", quality_classifier), ("line dedup", fuzzy_lines), ("MinHash near-dedup", near_duplicates), ("mixing sources", mix_sources), ("packing", pack_sequences)]
 
-#: the classifier is trained, and similarity components are iterative: tests hold the stages against brute force instead
+#: the classifier is trained, and similarity components are iterative: tests run the stages on a small table, and hold their operators against brute force
 ORACLE_SQL = None
 
 
