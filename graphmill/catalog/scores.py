@@ -71,3 +71,30 @@ add("A16_answer_averages", _SAID + "SELECT doc_id % 7 AS part, round(avg(round(0
 add("A22_comparison", "WITH o AS (SELECT o_custkey % 100 / 100.0::DOUBLE AS base, o_orderkey % 100 / 100.0::DOUBLE AS score FROM orders) SELECT round(avg(score - base), 6) AS avg_delta, count(*) FILTER (score - base > 0.05) AS wins, count(*) FILTER (score - base < -0.05) AS losses, count(*) FILTER (abs(score - base) <= 0.05) AS ties FROM o")(lambda s, d: score.comparison(_table(s, d, "orders").select(((F.col("o_custkey") % 100) / 100.0).alias("base"), ((F.col("o_orderkey") % 100) / 100.0).alias("score"))))
 add("G08_savings", "SELECT o_orderkey, round((2 * o_orderkey + 1) / 997, 2) AS ratio, round(100 * (1 - 997 / (2 * o_orderkey + 1)), 1) AS percent FROM orders")(lambda s, d: _table(s, d, "orders").select("o_orderkey", regress.savings(2 * F.col("o_orderkey") + 1, F.lit(997)).alias("x")).select("o_orderkey", "x.ratio", "x.percent"))
 add("G13_answer_errors", _SAID + "SELECT doc_id, CASE WHEN severity = 'low' THEN 'severity,confidence' ELSE 'severity,confidence' END || CASE WHEN t = '' THEN ',explanation' ELSE '' END AS errors FROM p")(lambda s, d: (lambda a: a.select("doc_id", F.array_join(regress.response_errors(a), ",").alias("errors")))(_answers(s, d)))
+
+# ---- gates: a year of graphs against the next, and halves of orders as repeated answers
+_YEARS = PREFIX + """, k AS (SELECT g.entrypoint, year(captured_at) AS y, g.graph_id, ir_type FROM graphs g LEFT JOIN nodes n ON n.graph_id = g.graph_id),
+c AS (SELECT entrypoint, y, coalesce(list_sort(list(DISTINCT ir_type) FILTER (ir_type IS NOT NULL)), []) AS ids, count(ir_type) / count(DISTINCT graph_id) AS compression, count(DISTINCT CASE WHEN ir_type = 'ir:txn_write' THEN graph_id END) / count(DISTINCT graph_id) AS recall FROM k GROUP BY 1, 2),
+lo AS (SELECT min(y) AS y FROM c), a AS (SELECT * FROM c WHERE y = (SELECT y + 1 FROM lo)), b AS (SELECT * FROM c WHERE y = (SELECT y FROM lo))
+"""
+
+
+def _captures(spark, sf_dir):
+    from ..schema import CRITICAL
+    c = derived(spark, sf_dir)
+    k = c.graphs.select("graph_id", "entrypoint", F.year("captured_at").alias("y")).join(c.nodes.select("graph_id", "ir_type"), "graph_id", "left")
+    ids = F.array_sort(F.collect_set("ir_type"))
+    wrote = F.count_distinct(F.when(F.col("ir_type") == "ir:txn_write", F.col("graph_id")))
+    g = k.groupBy(F.col("entrypoint").alias("trace"), "y").agg(ids.alias("node_ids"), (F.count("ir_type") / F.count_distinct("graph_id")).alias("compression"), (wrote / F.count_distinct("graph_id")).alias("recall"))
+    g = g.withColumn("critical", F.array_intersect("node_ids", F.array(*map(F.lit, CRITICAL))))
+    first = c.graphs.agg(F.min(F.year("captured_at")).alias("first"))  # one row
+    of = lambda n: g.join(F.broadcast(first), F.col("y") == F.col("first") + n, "left_semi").drop("y")
+    return of(1), of(0)
+
+
+add("R13_verify_retrieval", _YEARS + """SELECT coalesce(a.entrypoint, b.entrypoint) AS trace, array_to_string(list_filter([
+  CASE WHEN a.y IS NOT NULL AND b.y IS NOT NULL AND len(list_filter(a.ids, lambda v: NOT list_contains(b.ids, v))) > 0 THEN 'nodes added' END, CASE WHEN a.y IS NOT NULL AND b.y IS NOT NULL AND len(list_filter(b.ids, lambda v: NOT list_contains(a.ids, v))) > 0 THEN 'nodes removed' END,
+  CASE WHEN a.y IS NOT NULL AND b.y IS NOT NULL AND len(list_filter(b.ids, lambda v: NOT list_contains(a.ids, v) AND v IN ('ir:auth_gate', 'ir:authz_check', 'ir:validation_gate', 'ir:txn_boundary', 'ir:scoped_query', 'ir:unscoped_query', 'ir:unscoped_write'))) > 0 THEN 'critical types' END,
+  CASE WHEN b.recall - a.recall > 0.05 THEN 'recall' END, CASE WHEN (b.compression - a.compression) / CASE WHEN b.compression = 0 THEN 1.0 ELSE b.compression END > 0.2 THEN 'compression' END], lambda v: v IS NOT NULL), ',') AS reasons FROM a FULL JOIN b ON b.entrypoint = a.entrypoint""")(lambda s, d: regress.verify_retrieval(*_captures(s, d)).select("trace", *joined("reasons")))
+add("G12_verify_answers", """WITH o AS (SELECT o_custkey % 500 AS trace, o_orderkey % 2 AS half, o_totalprice / 1000000 AS v FROM orders), r AS (SELECT trace, half, avg(v) AS mean, stddev_pop(v) AS deviation FROM o GROUP BY 1, 2), a AS (SELECT * FROM r WHERE half = 1), b AS (SELECT * FROM r WHERE half = 0)
+SELECT coalesce(a.trace, b.trace) AS trace, CASE WHEN b.trace IS NULL THEN 'new' WHEN a.trace IS NULL THEN 'gone' WHEN b.mean - a.mean > greatest(0.05, b.deviation) OR (a.deviation > 2 * b.deviation AND a.deviation > 0.1) THEN 'changed' ELSE 'same' END AS status FROM a FULL JOIN b ON b.trace = a.trace""")(lambda s, d: (lambda r: regress.verify_answers(r.where("half = 1").drop("half"), r.where("half = 0").drop("half")).select("trace", "status"))(_table(s, d, "orders").select((F.col("o_custkey") % 500).alias("trace"), (F.col("o_orderkey") % 2).alias("half"), (F.col("o_totalprice") / 1000000).alias("v")).groupBy("trace", "half").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("deviation"))))
