@@ -4,6 +4,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -66,8 +67,8 @@ def nested(corpus: Corpus) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, F.array().cast(kinds[c])) for c in ("n", "e", "a") if c in kinds})
 
 
-def _derive(spark: SparkSession, sf_dir: str) -> Corpus:
-    """Orders as graphs and their lines as nodes; the order of lines is data, so it is numbered by a total order."""
+def _derive(spark: SparkSession, sf_dir: str, keep: Callable[[DataFrame, str], DataFrame]) -> Corpus:
+    """Orders as graphs and their lines as nodes; the order of lines is data, so it is numbered by a total order. ``keep`` writes a table and reads it back."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     o = t("orders")
     method = F.when(F.col("o_orderstatus") == "O", "GET").when(F.col("o_orderstatus") == "F", "POST").otherwise("DELETE")
@@ -87,6 +88,7 @@ def _derive(spark: SparkSession, sf_dir: str) -> Corpus:
       WHEN k = 13 AND p_size % 3 = 0 THEN '{"className":"Welcome","queued":false}' WHEN k = 13 AND p_size % 3 = 1 THEN '{"queued":true}' END""")
     role = F.expr("CASE WHEN k = 3 AND l_linestatus = 'O' THEN 'validation_only' ELSE l_returnflag END")
     d = d.select(F.col("l_orderkey").alias("graph_id"), F.row_number().over(order).cast("bigint").alias("node_ord"), "type", schema.ir_type(F.col("type")).alias("ir_type"), symbol.alias("symbol"), role.alias("role"), (F.col("l_linestatus") == "F").alias("mutates"), arg0.alias("arg0"), F.array_compact(F.array(arg0)).alias("args"), detail.alias("detail"), F.concat(F.lit("app/"), F.replace("p_name", F.lit(" "), F.lit("")), F.lit(".php")).alias("file"), F.col("l_linenumber").cast("int").alias("line"), "l_discount", "l_tax", "l_returnflag", (F.col("p_size") % 3).alias("third"))
+    d = keep(d, "lines")
     nodes = d.select("graph_id", "node_ord", F.concat(F.lit("n"), "node_ord").alias("id"), "type", "ir_type", "symbol", "role", "mutates", "arg0", "args", "detail", "file", "line")
 
     # edges follow from a node and bounds over its graph, so they need no join
@@ -117,6 +119,7 @@ def _derive(spark: SparkSession, sf_dir: str) -> Corpus:
     made = [f"named_struct('k', {k}L, 'dst', CAST({dst} AS BIGINT), 'relation', '{rel}', 'mechanism', CAST({mech} AS STRING), 'ok', {ok})" for k, (dst, rel, ok, mech) in enumerate(rules)]
     e = w.select("graph_id", F.col("node_ord").alias("src"), F.explode(F.expr(f"filter(array({', '.join(made)}), x -> x.ok AND x.dst IS NOT NULL)")).alias("x"))
     edges = e.select("graph_id", (F.col("src") * 100 + F.col("x.k")).alias("edge_ord"), "src", "x.dst", "x.relation", "x.mechanism", F.lit(None).cast("string").alias("side_effect"))
+    edges = keep(edges, "edges")
     notes = d.where("type = 'policy' AND third = 0").select("graph_id", F.col("node_ord").alias("ann_ord"), F.lit("missing_policy").alias("type"), F.concat(F.lit("no file for "), "symbol").alias("description"), F.array(F.concat(F.lit("n"), "node_ord")).alias("nodes"))
     return Corpus(graphs, nodes, edges, notes)
 
@@ -125,17 +128,22 @@ _kept: dict[tuple, str] = {}
 
 
 def derived(spark: SparkSession, sf_dir: str) -> Corpus:
-    """The derived corpus, written once a session as Parquet, so that queries read the columns they need instead of deriving it again."""
+    """The derived corpus.  Its lines and edges are written once a session as Parquet, so that queries read the columns they need instead of deriving them again."""
     key = (spark.sparkContext.applicationId, sf_dir)
     path = _kept.get(key)
-    if path is None or not _there(spark, path):
-        c = _derive(spark, sf_dir)
+    there = path is not None and all(_there(spark, f"{path}/{name}") for name in ("lines", "edges"))
+    if not there:
         path = f"{_folder(spark)}/corpus-{uuid.uuid4().hex}"
-        for name in ("graphs", "nodes", "edges", "annotations"):
-            getattr(c, name).write.parquet(f"{path}/{name}")
-        _kept[key] = path
         atexit.register(_forget, spark, path)
-    return Corpus(*(spark.read.parquet(f"{path}/{name}") for name in ("graphs", "nodes", "edges", "annotations")))
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        if not there:
+            df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    corpus = _derive(spark, sf_dir, keep)
+    _kept[key] = path
+    return corpus
 
 
 def _folder(spark: SparkSession) -> str:
@@ -152,7 +160,7 @@ def _path(spark: SparkSession, path: str):
 
 
 def _there(spark: SparkSession, path: str) -> bool:
-    fs, p = _path(spark, f"{path}/annotations/_SUCCESS")
+    fs, p = _path(spark, f"{path}/_SUCCESS")
     return fs.exists(p)
 
 
