@@ -309,7 +309,8 @@ def extract(pages: DataFrame, buckets: int | None = None) -> DataFrame:
     """
     spark = pages.sparkSession
     small_batches(spark)
-    n = min(buckets or partitions(spark), GROUP * GROUP)
+    # several ranges a task, so that what hashing deals to each is even
+    n = min(buckets or 8 * partitions(spark), GROUP * GROUP)
     host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), "^www\\.", "")
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
     p = pages.select(host.alias("host"), path.alias("path"), F.col("page_id").cast("long").alias("page_id"), F.xxhash64("html").alias("h"), "url", "html")
