@@ -24,7 +24,7 @@ from .common import drop, materialize, new_path, release, small_batches, table
 #: words of an n-gram
 ORDER = 2
 #: words that a task counts before it sends blocks on, characters of text for which there is a bucket, word hashes that a worker remembers
-CHUNK, BUCKET_CHARS, WORDS = 3_000_000, 8_000_000, 1_000_000
+CHUNK, BUCKET_CHARS, WORDS = 1_500_000, 4_000_000, 200_000
 #: rows with this remainder of crc32(doc_id) are held out
 FOLDS, HELD = 7, 2
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" start", b" end"))  # no word holds white space
