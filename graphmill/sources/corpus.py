@@ -124,26 +124,43 @@ def _derive(spark: SparkSession, sf_dir: str, keep: Callable[[DataFrame, str], D
     return Corpus(graphs, nodes, edges, notes)
 
 
-_kept: dict[tuple, str] = {}
+_kept: dict[tuple, tuple[str, str]] = {}
 
 
-def derived(spark: SparkSession, sf_dir: str) -> Corpus:
-    """The derived corpus.  Its lines and edges are written once a session as Parquet, so that queries read the columns they need instead of deriving them again."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    path = _kept.get(key)
-    there = path is not None and all(_there(spark, f"{path}/{name}") for name in ("lines", "edges"))
-    if not there:
-        path = f"{_folder(spark)}/corpus-{uuid.uuid4().hex}"
+def state(spark: SparkSession, *paths: str) -> str:
+    """What files there are under the paths, with their sizes and times: changes when a table does."""
+    found = []
+    for path in paths:
+        fs, p = _path(spark, path)
+        files = fs.listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return "\n".join(sorted(found))
+
+
+def once(spark: SparkSession, label: str, sf_dir: str, tables: tuple[str, ...]) -> Callable[[DataFrame, str], DataFrame]:
+    """A function that writes a frame under a name once a session and reads it back; what was written of tables that have changed since is deleted and made anew."""
+    key, now = (spark.sparkContext.applicationId, label, sf_dir), state(spark, *(f"{sf_dir}/{t}.parquet" for t in tables))
+    before, path = _kept.get(key, ("", ""))
+    if not path or before != now:
+        if path:
+            _forget(spark, path)
+        path = f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
         atexit.register(_forget, spark, path)
+        _kept[key] = now, path
 
     def keep(df: DataFrame, name: str) -> DataFrame:
-        if not there:
-            df.write.parquet(f"{path}/{name}")
+        if not _there(spark, f"{path}/{name}"):
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
         return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
-    corpus = _derive(spark, sf_dir, keep)
-    _kept[key] = path
-    return corpus
+    return keep
+
+
+def derived(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The derived corpus.  Its lines and edges are written once a session as Parquet, so that queries read the columns they need instead of deriving them again; when a table changes they are written anew."""
+    return _derive(spark, sf_dir, once(spark, "corpus", sf_dir, ("orders", "lineitem", "part")))
 
 
 def _folder(spark: SparkSession) -> str:
