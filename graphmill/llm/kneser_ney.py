@@ -7,6 +7,7 @@ The arrays lie in the folder that executors share; where that is no mounted fold
 """
 from __future__ import annotations
 
+import mmap
 import os
 import tempfile
 import uuid
@@ -25,6 +26,8 @@ from .common import drop, materialize, new_path, release, small_batches, table
 ORDER = 2
 #: words that a task counts before it sends blocks on, characters of text for which there is a bucket, word hashes that a worker remembers
 CHUNK, BUCKET_CHARS, WORDS = 1_500_000, 4_000_000, 200_000
+#: files that a worker keeps mapped
+MAPPED = 4096
 #: rows with this remainder of crc32(doc_id) are held out
 FOLDS, HELD = 7, 2
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" start", b" end"))  # no word holds white space
@@ -77,18 +80,37 @@ def summed(h: np.ndarray, carried: list[np.ndarray], added: list[np.ndarray]) ->
     return h[at], [c[order[at]] for c in carried], [np.add.reduceat(a[order], at) if len(at) else a[:0] for a in added]
 
 
-def pack(columns: list[np.ndarray]) -> bytes:
-    return zstandard.compress(b"".join(np.ascontiguousarray(c, "<u8").reshape(-1, 1).view(np.uint8).T.tobytes() for c in columns), 1)  # bytes of one place together
+def _planes(c: np.ndarray) -> bytes:
+    """A column with the bytes of one place together."""
+    return np.ascontiguousarray(c).reshape(-1, 1).view(np.uint8).T.tobytes()
 
 
-def unpack(data: bytes, n: int) -> list[np.ndarray]:
+def _column(raw: np.ndarray, at: int, rows: int, kind: str) -> tuple[np.ndarray, int]:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw[at:at + width * rows].reshape(width, rows).T).view(kind).reshape(-1), at + width * rows
+
+
+def pack(columns: list[np.ndarray], hashes: int) -> bytes:
+    """Columns of 64-bit numbers as a block; the first ones are hashes and share a sorted dictionary, as words come again."""
+    known, place = np.unique(np.concatenate(columns[:hashes]), return_inverse=True)
+    rows = len(columns[0])
+    parts = [np.array([rows, len(known)], "<u8").tobytes(), _planes(np.diff(known, prepend=np.uint64(0))), *(_planes(place[rows * k:rows * (k + 1)].astype("<u4")) for k in range(hashes)), *(_planes(c.astype("<u8")) for c in columns[hashes:])]
+    return zstandard.compress(b"".join(parts), 1)
+
+
+def unpack(data: bytes, n: int, hashes: int) -> list[np.ndarray]:
     raw = np.frombuffer(zstandard.decompress(data), np.uint8)
-    rows = len(raw) // (8 * n)
-    return [np.ascontiguousarray(raw[8 * rows * k:8 * rows * (k + 1)].reshape(8, rows).T).view("<u8").reshape(-1) for k in range(n)]
+    rows, known = raw[:16].view("<u8").tolist()
+    steps, at = _column(raw, 16, known, "<u8")
+    known, out = np.cumsum(steps, dtype=np.uint64), []
+    for k in range(n):
+        c, at = _column(raw, at, rows, "<u4" if k < hashes else "<u8")
+        out.append(known[c] if k < hashes else c)
+    return out
 
 
-def joined(blocks, n: int) -> list[np.ndarray]:
-    parts = [unpack(b, n) for b in blocks]
+def joined(blocks, n: int, hashes: int = 1) -> list[np.ndarray]:
+    parts = [unpack(b, n, hashes) for b in blocks]
     return [np.concatenate([p[k] for p in parts]) for k in range(n)]
 
 
@@ -101,7 +123,7 @@ def dealt(level: int, h: np.ndarray, columns: list[np.ndarray], bits: int):
     ends = [*at[1:], len(b)] if len(b) else []
     columns = [c[order] for c in columns]
     for i, j in zip(at, ends):
-        yield level, int(b[i]), pack([c[i:j] for c in columns])
+        yield level, int(b[i]), pack([c[i:j] for c in columns], max(1, level))
 
 
 def _record(rows, level: int = 0, stat: list | None = None) -> pa.RecordBatch:
@@ -165,7 +187,7 @@ def _merged(path: str, level: int, bits: int):
             h, _, sums = summed(c[0], [], c[1:])
             store.write(f"contexts{-kind}-{b}", h, *sums)
             return pa.Table.from_batches([_record([])])
-        *grams, count = joined(blocks, kind + 1)
+        *grams, count = joined(blocks, kind + 1, kind)
         h, grams, (count,) = summed(key(grams), grams, [count])
         store.write(f"grams{kind}-{b}", h, count)
         few = [(count == k).astype(np.uint64) for k in (1, 2)] + [(count >= 3).astype(np.uint64)]
@@ -180,6 +202,11 @@ def _merged(path: str, level: int, bits: int):
     return run
 
 
+def _mapped(f) -> np.ndarray:
+    """A file's bytes, mapped into memory; the mapping holds no file open."""
+    return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), np.uint8)
+
+
 class Arrays:
     """Columns of 64-bit numbers, the first sorted, as files under a folder; readers map them into memory."""
 
@@ -207,7 +234,7 @@ class Arrays:
 
     def read(self, name: str, columns: int) -> list[np.ndarray] | None:
         if name not in self.open:
-            if len(self.open) >= 256:
+            if len(self.open) >= MAPPED:
                 self.open.clear()
             self.open[name] = self._map(name, columns)
         return self.open[name]
@@ -215,13 +242,14 @@ class Arrays:
     def _map(self, name: str, columns: int) -> list[np.ndarray] | None:
         try:
             if not self.fs:
-                raw = np.memmap(f"{self.root}/{name}", np.uint8, "r")
+                with open(f"{self.root}/{name}", "rb") as f:
+                    raw = _mapped(f)
             else:
                 with self.fs.open_input_stream(f"{self.root}/{name}") as f, tempfile.NamedTemporaryFile() as copy:
                     while part := f.read(8 << 20):
                         copy.write(part)
                     copy.flush()
-                    raw = np.memmap(copy.name, np.uint8, "r")  # the mapping outlives the file's name
+                    raw = _mapped(copy)  # the mapping outlives the file's name
         except FileNotFoundError:
             return None
         rows, *width = raw[:8 * (columns + 1)].view("<u8").tolist()
