@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.corpus import written
 from .code import FILE, TENANT_KEYS, TENANT_SIGNALS, Facts, class_path, short
 
 NODE = "graph_id", "id", "type", "symbol", "role", "file", "detail", "args", "mutates"
@@ -53,7 +54,7 @@ def _edges(rows: DataFrame, src, dst, relation: str, traceability: str, mechanis
 class Passes:
     """The passes over callers: entries, or services met on the way (graph_id, project, path, class, method, caller)."""
 
-    def __init__(self, facts: Facts, sinks: DataFrame | None = None, signals=TENANT_SIGNALS, keys=TENANT_KEYS, keep=lambda df, name: df):
+    def __init__(self, facts: Facts, sinks: DataFrame | None = None, signals=TENANT_SIGNALS, keys=TENANT_KEYS, keep=written):
         self.f = facts
         self.facts = keep(facts.all(), "facts")
         self.held = keep(facts.in_transactions(), "held")
@@ -212,7 +213,7 @@ def _frontier(s: DataFrame) -> DataFrame:
     return s.where("file is not null").select("graph_id", "project", F.col("file").alias("path"), F.substring_index("symbol", "::", 1).alias("class"), F.substring_index("symbol", "::", -1).alias("method"), F.col("id").alias("caller"), "symbol", "line")
 
 
-def expanded(start: DataFrame, passes: Passes, levels: int = LEVELS, budget: int = BUDGET, focus: str = "all", keep=lambda df, name: df) -> tuple[DataFrame, DataFrame, DataFrame]:
+def expanded(start: DataFrame, passes: Passes, levels: int = LEVELS, budget: int = BUDGET, focus: str = "all", keep=written) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Services followed into their methods, level by level: nodes, edges, and the methods in the order of their visits.
 
     A graph visits each method of a file once, and spends on it what the method adds: three for a transaction, one for each
@@ -249,7 +250,7 @@ def expanded(start: DataFrame, passes: Passes, levels: int = LEVELS, budget: int
         x = keep(x.withColumn("spent", spent).where("spent < left").withColumn("nth", F.row_number().over(w)).drop("_n"), f"visited-{level}")
         visits.append(x.select("graph_id", F.lit(level).alias("level"), "nth", "path", "method", "cost", (F.col("left") - F.col("spent")).alias("left")))
         callers = x.select("graph_id", "project", "path", "class", "method", "caller")
-        s = passes.services(callers)
+        s = keep(passes.services(callers), f"services-{level}")
         n, e = _together([passes.called(callers, s), passes.transactions(callers, s), passes.isolation(callers), passes.audited(callers)])
         nodes.append(n)
         edges.append(e)

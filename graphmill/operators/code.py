@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.corpus import written
+
 FILE = ["project", "path"]
 FACT = "project", "path", "method", "kind", "ord", "a", "b", "c", "args"
 
@@ -148,8 +150,8 @@ def _literals(args) -> Column:
 class Facts:
     """Facts of all methods of a project's files; each property is a DataFrame, and shares the tables before it."""
 
-    def __init__(self, s: DataFrame, keep=lambda df, name: df):
-        """``keep`` writes a table that much is asked of and reads it back; without it the tables are put together anew each time."""
+    def __init__(self, s: DataFrame, keep=written):
+        """``keep`` writes a table that much is asked of and reads it back."""
         self.s = s
         self.uses = keep(imports(s), "imports")
         self.m = keep(methods(s), "methods")

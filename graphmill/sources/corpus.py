@@ -158,6 +158,15 @@ def once(spark: SparkSession, label: str, sf_dir: str, tables: tuple[str, ...])
     return keep
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A frame written into the shared folder and read back, so that plans end there; deleted with the session."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def derived(spark: SparkSession, sf_dir: str) -> Corpus:
     """The derived corpus.  Its lines and edges are written once a session as Parquet, so that queries read the columns they need instead of deriving them again; when a table changes they are written anew."""
     return _derive(spark, sf_dir, once(spark, "corpus", sf_dir, ("orders", "lineitem", "part")))

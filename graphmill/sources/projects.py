@@ -82,3 +82,38 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("graph_id"), F.col("p_brand").alias("project"))
     klass = F.concat(F.lit("P"), F.col("graph_id").cast("string"), F.lit("Controller"))
     return parts.select("graph_id", "project", F.concat(F.lit("app/Http/Controllers/"), klass, F.lit(".php")).alias("path"), klass.alias("class"), F.lit("store").alias("method"), F.lit("handler").alias("caller"))
+
+
+#: lines of a supplier's route file
+ROUTES = (
+    ("true", r"<?php"), ("k % 2 = 0", r"use App\Web\S{k}Controller;"), ("true", r"Route::get('/s{k}', [S{k}Controller::class, 'index']);"),
+    ("true", r"Route::group(['prefix' => 'x', 'middleware' => ['role:admin', Perm::class]], function () {"), ("true", r"    Route::post('y/{id}', 'S{k}Controller@save')->middleware('can:' . Permission::EDIT);"),
+    ("true", r"    Route::prefix('deep')->middleware('throttle:60')->group(fn () => [Route::delete('z', \Other\ZController::class)]);"), ("true", r"});"),
+    ("true", r"Route::apiResource('things', ThingController::class)->only(['index', 'destroy'])->middleware('signed');"), ("k % 7 = 0", r"require __DIR__ . '/../api.php';"), ("k % 3 = 0", r"// require 'routes/none.php';"),
+)
+KERNEL = r"""<?php
+class Kernel { protected $middlewareGroups = ['api' => [\App\Http\Middleware\Authenticate::class, 'throttle:api']]; protected $routeMiddleware = ['role' => \App\Http\Middleware\HasRole::class, 'nothing' => 'x']; }"""
+PROVIDER = r"""<?php
+class RouteServiceProvider extends ServiceProvider { protected $namespace = 'App\Api';
+    public function map() { Route::prefix('old')->middleware('web')->namespace($this->namespace)->group(base_path('routes/api.php'));
+        Route::group(['prefix' => 'v2', 'middleware' => ['api', 'web']], function () { require base_path('routes/api.php'); }); } }"""
+BOOTSTRAP = r"""<?php
+return Application::configure()->withRouting(api: __DIR__ . '/../routes/api.php', commands: __DIR__.'/../routes/console.php', apiPrefix: 'api/v1')->withMiddleware(function ($m) { $m->alias(['role' => \App\Http\Middleware\EnsureRole::class]); });"""
+API = r"""<?php
+Route::middleware('auth:api')->prefix('n')->group(function () { require __DIR__ . '/g0.php'; Route::prefix('in')->group(function () { require_once __DIR__ . "/g1.php"; }); });
+require 'routes/g2.php';"""
+PERMISSION = r"""<?php
+class Permission { public const EDIT = 'edit'; const OTHER = 1; }"""
+
+
+def route_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project, path, content): projects by nation, whose api file includes three others, which include a file a supplier; some of those include the api file again."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("k"), F.col("s_nationkey").cast("long").alias("n"))
+    s = s.withColumns({"project": F.concat(F.lit("nation-"), F.col("n").cast("string")), "g": F.col("k") % 3})
+    own = s.select("project", F.concat(F.lit("routes/s/s"), F.col("k").cast("string"), F.lit(".php")).alias("path"), _text(ROUTES).alias("content"))
+    line = F.concat(F.lit("require __DIR__ . '/s/s"), F.col("k").cast("string"), F.lit(".php';"))
+    many = s.groupBy("project", "g").agg(F.concat(F.lit("<?php\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("content")).select("project", F.concat(F.lit("routes/g"), F.col("g").cast("string"), F.lit(".php")).alias("path"), "content")
+    n = s.select("project", "n").distinct()
+    fixed = [("app/Http/Kernel.php", KERNEL, "n % 2 = 0"), ("app/Providers/RouteServiceProvider.php", PROVIDER, "n % 2 = 0"), ("bootstrap/app.php", BOOTSTRAP, "n % 2 = 1"), ("routes/api.php", API, "true"), ("app/Permission.php", PERMISSION, "n % 3 > 0")]
+    shared = n.select("project", F.explode(F.array(*(F.when(F.expr(c), F.struct(F.lit(p).alias("path"), F.lit(t).alias("content"))) for p, t, c in fixed))).alias("f")).where("f is not null").select("project", "f.path", "f.content")
+    return own.unionByName(many).unionByName(shared)

@@ -146,7 +146,8 @@ class Reader:
                     self.add("const", at + 2, j, name=self.word(at), text=self.value(at + 2, j)[1], form=self.value(at + 2, j)[0])
                 elif w in INCLUDES:
                     j = self.sentence(i)
-                    self.add("include", i, j, text=self.slice(i + 1, j).strip("()"), name=w)
+                    wrapped = self.word(i + 1) == "(" and self.close.get(i + 1) == j - 1
+                    self.add("include", i, j, text=self.slice(i + 2, j - 1) if wrapped else self.slice(i + 1, j), name=w)
                 elif w == "new" and self.kind(i + 1) == "n":
                     self.chain(i)
                 elif self.word(i + 1) in ("(", "::") and w not in WORDS and self.word(i - 1) not in ("function", "new", "fn"):
