@@ -5,37 +5,92 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# fixed values: how much a catch-all of each access holds back; others name roles
+RESTRICTS = {"deny": 3, "authenticated": 2, "permit": 0}
+EVERYTHING = "/**"
+
+
 def path_pattern(pattern: Column) -> Column:
-    """An ant pattern as a regular expression: ** any path, * and {name} within a segment."""
+    """An ant pattern as a regular expression: ** any text, * and {name} within a segment, ? one character; what lies below a match matches too."""
     p = F.regexp_replace(pattern, r"([.+^$()|\[\]\\])", r"\\$1")
-    p = F.replace(F.replace(p, F.lit("/**"), F.lit("\x01")), F.lit("**"), F.lit("\x02"))
-    p = F.regexp_replace(F.regexp_replace(p, r"\{[^}]+\}", "[^/]+"), r"\*", "[^/]*")
-    return F.concat(F.lit("^"), F.replace(F.replace(p, F.lit("\x01"), F.lit("(/.*)?")), F.lit("\x02"), F.lit(".*")), F.lit("$"))
+    p = F.regexp_replace(p, r"\{[^}]+\}", "[^/]+")
+    p = F.replace(F.regexp_replace(F.replace(p, F.lit("**"), F.lit("\x01")), r"\*", "[^/]*"), F.lit("\x01"), F.lit(".*"))
+    return F.concat(F.lit("^"), F.regexp_replace(p, r"\?", "[^/]"), F.lit("(/.*)?$"))
 
 
 def specificity(pattern: Column) -> Column:
-    """Longer literal parts first; wild ones count against a pattern."""
-    literal = F.length(F.regexp_replace(pattern, r"\*+|\{[^}]+\}", ""))
-    return literal - 10 * F.size(F.regexp_extract_all(pattern, F.lit(r"(\*\*)"), F.lit(1)))
+    """A pattern's length, less 10 for each double star and 5 for each single one."""
+    count = lambda p: F.size(F.regexp_extract_all(pattern, F.lit(p), F.lit(1)))
+    return F.length(pattern) - 10 * count(r"(\*\*)") - 5 * count(r"((?<!\*)\*(?!\*))")
+
+
+def ordered_rules(rules: DataFrame) -> DataFrame:
+    """Rules (module, rule_ord, pattern, access) with their ``weight``; of all catch-alls only the most restrictive one stays, behind everything else."""
+    hold = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in RESTRICTS.items() for x in pair)), F.col("access")), F.lit(1))
+    last = rules.where(F.col("pattern") == EVERYTHING).agg(F.max_by(F.struct(*rules.columns), F.struct(hold, F.negative("rule_ord"))).alias("r")).where("r is not null").select("r.*")
+    return rules.where(F.col("pattern") != EVERYTHING).withColumn("weight", specificity(F.col("pattern"))).unionByName(last.withColumn("weight", F.lit(-2**31)))
+
+
+def _first_segment(path: Column) -> Column:
+    return F.split_part(path, F.lit("/"), F.lit(2))
 
 
 def secured(routes: DataFrame, rules: DataFrame) -> DataFrame:
-    """Routes (route_id, module, path) with the first rule of their module that matches, most specific first, then by order: route_id, rule_ord, access. Rules (module, rule_ord, pattern, access)."""
-    r = rules.withColumns({"regex": path_pattern(F.col("pattern")), "weight": specificity(F.col("pattern"))})
-    x = routes.join(r, "module", "left").where("rule_ord is null or regexp_like(path, regex)")
-    first = F.row_number().over(Window.partitionBy("route_id").orderBy(F.desc("weight"), "rule_ord"))
-    hit = x.where("rule_ord is not null").withColumn("nth", first).where("nth = 1").select("route_id", "rule_ord", "access")
-    return routes.select("route_id").join(hit, "route_id", "left")
+    """Routes (route_id, module, path) with the rule of their module that governs them, most specific first, then by order: route_id, rule_ord, access; null without one.
+
+    Rules whose first segment is literal meet only the routes that start with it, so a module with many rules isn't paired with all its routes.
+    """
+    first = _first_segment(F.col("pattern"))
+    # the segment must end in the pattern, or be all of it; what lies below matches too
+    r = ordered_rules(rules).withColumns({"regex": path_pattern(F.col("pattern")), "bucket": F.when(first.rlike(r"[*?{]") | ~F.col("pattern").startswith("/"), "*").otherwise(first)})
+    p = routes.withColumn("path", F.when(F.col("path").startswith("/"), F.col("path")).otherwise(F.concat(F.lit("/"), "path")))
+    p = p.withColumn("bucket", F.explode(F.array_distinct(F.array(F.lit("*"), _first_segment(F.col("path"))))))
+    best = p.join(r, ["module", "bucket"]).where("regexp_like(path, regex)").groupBy("route_id").agg(F.max_by(F.struct("rule_ord", "access"), F.struct("weight", F.negative("rule_ord"))).alias("b"))
+    return routes.select("route_id").join(best.select("route_id", "b.rule_ord", "b.access"), "route_id", "left")
 
 
 def transactional(calls: DataFrame, index: DataFrame, implementations: DataFrame) -> DataFrame:
     """Service calls (call_id, class, method) with what the index (class, method, propagation) says of the class, or else of what implements it (interface, class): call_id, propagation."""
+    index = index.groupBy("class", "method").agg(F.min("propagation").alias("propagation"))
     direct = index.withColumnRenamed("propagation", "own")
-    via = implementations.join(index, "class").select(F.col("interface").alias("class"), "method", F.col("propagation").alias("behind")).dropDuplicates(["class", "method"])
+    via = implementations.join(index, "class").groupBy(F.col("interface").alias("class"), "method").agg(F.min("propagation").alias("behind"))
     x = calls.join(direct, ["class", "method"], "left").join(via, ["class", "method"], "left")
     return x.select("call_id", F.coalesce("own", "behind").alias("propagation"))
 
 
+def in_service_transactions(calls: DataFrame, index: DataFrame, implementations: DataFrame) -> DataFrame:
+    """Calls (call_id, module, class, method) that their service runs in a transaction: call_id, by (the class that says so).
+
+    ``index`` (module, class, method; null: the class as a whole) has what is marked.  A class that marks anything speaks for itself; otherwise the first of its
+    implementations (module, interface, class, ord) that marks anything does.
+    """
+    marking = index.select("module", "class").distinct()
+    key = ["module", "class"]
+    own = calls.join(marking.withColumn("_own", F.lit(True)), key, "left")
+    behind = implementations.join(marking, key).groupBy("module", F.col("interface").alias("class")).agg(F.min_by("class", "ord").alias("_impl"))
+    x = own.join(behind, key, "left").withColumn("by", F.when(F.col("_own"), F.col("class")).otherwise(F.col("_impl"))).where("by is not null")
+    whole = index.where("method is null").select("module", F.col("class").alias("by")).distinct().withColumn("_whole", F.lit(True))
+    some = index.where("method is not null").select("module", F.col("class").alias("by"), "method").distinct().withColumn("_some", F.lit(True))
+    return x.join(whole, ["module", "by"], "left").join(some, ["module", "by", "method"], "left").where("_whole or _some").select("call_id", "by")
+
+
+def through_transactions(edges: DataFrame, calls: DataFrame) -> DataFrame:
+    """Edges (graph_id, src, dst, relation) with a boundary before each transactional call (graph_id, node, that something leads to): what led to the call leads to ``svctxn_`` and its node, and that calls it."""
+    led = edges.join(calls.select("graph_id", F.col("node").alias("dst")).distinct().withColumn("_txn", F.lit(True)), ["graph_id", "dst"], "left")
+    gate = F.concat(F.lit("svctxn_"), "dst")
+    moved = led.select("graph_id", "src", F.when(F.col("_txn"), gate).otherwise(F.col("dst")).alias("dst"), "relation")
+    added = led.where("_txn").select("graph_id", gate.alias("src"), "dst", F.lit("ir:calls").alias("relation")).distinct()
+    return moved.unionByName(added)
+
+
+def base_paths(controllers: DataFrame, bases: DataFrame) -> DataFrame:
+    """Controllers (module, class, base, own_path, method_path) with full paths; without a path of their own that of their base class (module, class, path) in the same module holds."""
+    b = bases.groupBy("module", F.col("class").alias("base")).agg(F.max("path").alias("_path"))
+    x = controllers.join(b, ["module", "base"], "left").withColumn("_at", F.coalesce(F.nullif("own_path", F.lit("")), "_path", F.lit("")))
+    sub = F.when(F.startswith("method_path", F.lit("/")), F.col("method_path")).otherwise(F.concat(F.lit("/"), "method_path"))
+    return x.select("module", "class", F.concat(F.regexp_replace("_at", "/$", ""), sub).alias("path"))
+
+
 def not_exempt(routes: DataFrame, exempt: DataFrame) -> DataFrame:
     """Routes (method, path, ..) that no row (method, path) exempts from a middleware; method * is any."""
     one = routes.join(exempt.where("method <> '*'"), ["method", "path"], "left_anti")

@@ -51,8 +51,13 @@ def gap_report(spans: DataFrame) -> DataFrame:
     return c.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy())).cast("bigint"))
 
 
-def stream_n_plus_one(events: DataFrame, threshold: int = THRESHOLD, late: str = "1 hour") -> DataFrame:
-    """N+1 over a stream of events (ts a timestamp): counts of a user's day and table; events later than ``late`` are dropped."""
-    e = events.withWatermark("ts", late)
-    g = e.groupBy(F.window("ts", "1 day"), "user_id", F.concat(F.lit("t"), (F.col("event_id") % 4).cast("string")).alias("table"))
-    return g.agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
+def stream_n_plus_one(spans: DataFrame, threshold: int = THRESHOLD, late: str = "1 hour") -> DataFrame:
+    """``n_plus_one`` over a stream of spans that have a time (ts): the same columns, and the day they are counted in.
+
+    Counts are kept by session, parent and table, and are let go once the watermark has passed their day; spans later than ``late`` behind
+    it are dropped.  A session that runs over midnight is counted by day.
+    """
+    q = spans.withWatermark("ts", late).where("name like 'db.%'").withColumn("table", table_of(F.col("statement"))).where("table is not null")
+    parent = F.coalesce(F.col("parent_id").cast("string"), F.lit("__root__"))
+    g = q.groupBy(F.window("ts", "1 day").alias("day"), "session_id", parent.alias("parent_id"), "table").agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
+    return g.select(F.col("day.start").alias("day"), "session_id", "parent_id", "table", "n", F.when(F.col("n") >= 10, "high").otherwise("medium").alias("severity"))

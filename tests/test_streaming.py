@@ -38,14 +38,20 @@ def test_last_turns(spark, tmp_path):
     assert want and got == want
 
 
-def test_queries_repeated_within_a_day(spark, tmp_path):
+def test_queries_repeated_under_a_parent(spark, tmp_path):
+    """The stream finds what the batch query finds on the same spans."""
     events = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    in_files(events, f"file://{tmp_path}/in")
-    got = []
-    source = spark.readStream.schema(events.schema).parquet(f"file://{tmp_path}/in")
-    drained(runtime.stream_n_plus_one(source, 2), tmp_path, "complete", lambda df, _: got.append(df.collect()))
-    want = events.groupBy(F.to_date("ts").alias("day"), "user_id", (F.col("event_id") % 4).alias("t")).agg(F.count("*").alias("n")).where("n >= 2").collect()
-    assert want and sorted((r.user_id, r.table, r.n) for r in got[-1]) == sorted((r.user_id, f"t{r.t}", r.n) for r in want)
+    spans = runtime.spans(events).join(events.select(F.col("event_id").alias("span_id"), "ts"), "span_id")
+    in_files(spans, f"file://{tmp_path}/in")
+    got = {}
+    source = spark.readStream.schema(spans.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+
+    def keep(df, _):
+        got.update({(r.session_id, r.parent_id, r.table): (r.n, r.severity) for r in df.collect()})
+
+    drained(runtime.stream_n_plus_one(source, 2, "400 days"), tmp_path, "update", keep)
+    want = {(r.session_id, r.parent_id, r.table): (r.n, r.severity) for r in runtime.n_plus_one(spans, 2).collect()}
+    assert want and got == want
 
 
 def test_batches_of_spans_that_a_collector_drops(spark, tmp_path):
