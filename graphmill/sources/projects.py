@@ -117,3 +117,27 @@ def route_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = [("app/Http/Kernel.php", KERNEL, "n % 2 = 0"), ("app/Providers/RouteServiceProvider.php", PROVIDER, "n % 2 = 0"), ("bootstrap/app.php", BOOTSTRAP, "n % 2 = 1"), ("routes/api.php", API, "true"), ("app/Permission.php", PERMISSION, "n % 3 > 0")]
     shared = n.select("project", F.explode(F.array(*(F.when(F.expr(c), F.struct(F.lit(p).alias("path"), F.lit(t).alias("content"))) for p, t, c in fixed))).alias("f")).where("f is not null").select("project", "f.path", "f.content")
     return own.unionByName(many).unionByName(shared)
+
+
+LISTENER = (("true", r"<?php"), ("k % 3 = 0", r"use Illuminate\Contracts\Events\ShouldHandleEventsAfterCommit;"), ("true", r"class L{k}"), ("k % 3 = 0", r"    implements ShouldHandleEventsAfterCommit"), ("true", r"{"), ("k % 2 = 0", r"    public $afterCommit = true;"), ("true", r"    public function handle($e) { $afterCommit = 1; }"), ("true", r"}"))
+RULES = (
+    ("true", r"<?php"), ("true", r"class R{k}Request extends FormRequest {"), ("true", r"    public function rules() { $x = ['no' => 'required'];"), ("true", r"        return ["),
+    ("true", r"            'name' => 'required|string|min:2|max:{k}',"), ("k % 2 = 0", r"            'tags.*.id' => ['integer', 'nullable', 'between:1,{k}', Rule::exists('t', 'x')],"), ("true", r"            'age' => ' numeric | min:1.5|in: a, b',"),
+    ("k % 3 = 0", r"            'mail' => ['sometimes', 'email', 'regex:/^a|b$/'],"), ("k % 4 = 0", r"            'name' => ['email'],"), ("true", r"""            'on' => "boolean", 'list' => ['array', 'max:5'], 'odd' => $x, 'none' => [],"""), ("true", r"        ]; }"), ("true", r"}"),
+)
+RESOURCE_FILE = (
+    ("true", r"<?php"), ("true", r"class R{k}Resource extends JsonResource {"), ("true", r"    public function toArray($r) {"), ("k % 2 = 0", r"        return ['id' => $this->id, 'api_token' => $this->when('secret', fn () => ['inner' => 1]), 'owner' => new OwnerResource($this->owner), 'items' => ItemResource::collection($this->items)];"),
+    ("k % 2 = 1", r"        return array_merge(['id' => 1, 'PASSWORD' => 2], parent::toArray($r), ['last' => OwnerResource::make($this->whenLoaded('owner'))]);"), ("true", r"    }"), ("true", r"}"),
+)
+
+
+def shape_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project, path, content): of each supplier a listener, a form request and a resource; of each nation a provider that maps events to listeners."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("k"), F.concat(F.lit("nation-"), F.col("s_nationkey").cast("string")).alias("project"))
+    name = lambda folder, tail: F.concat(F.lit(f"app/{folder}"), F.col("k").cast("string"), F.lit(f"{tail}.php"))
+    own = F.array(*(F.struct(p.alias("path"), _text(lines).alias("content")) for p, lines in ((name("Listeners/L", ""), LISTENER), (name("Http/Requests/R", "Request"), RULES), (name("Http/Resources/R", "Resource"), RESOURCE_FILE))))
+    k = F.col("k").cast("string")
+    line = F.when(F.col("k") % 2 == 0, F.concat(F.lit("E"), k, F.lit("::class => [L"), k, F.lit("::class, 'App\\Listeners\\Gone'],"))).otherwise(F.concat(F.lit("'App\\Events\\E"), k, F.lit("' => ['App\\Listeners\\L"), k, F.lit("'],")))
+    use = F.when(F.col("k") % 4 == 0, F.concat(F.lit("use App\\Listeners\\L"), k, F.lit(";")))
+    p = s.groupBy("project").agg(F.concat_ws("\n", F.lit("<?php"), F.array_join(F.array_sort(F.collect_list(use)), "\n"), F.lit("class EventServiceProvider { protected $listen = ["), F.array_join(F.array_sort(F.collect_list(line)), "\n"), F.lit("]; }")).alias("content"))
+    return s.select("project", F.explode(own).alias("f")).select("project", "f.path", "f.content").unionByName(p.select("project", F.lit("app/Providers/EventServiceProvider.php").alias("path"), "content"))

@@ -164,7 +164,8 @@ class Reader:
                     self.chain(i)
             elif w == "(" and k == "o" and self.word(self.close[i] + 1) in LINKS and self.kind(i - 1) not in ("n", "v"):
                 self.chain(i)
-            if w == "[" and k == "o" and self.kind(i - 1) not in ("v", "n") and self.word(i - 1) not in ("]", ")", "#") or w == "(" and self.word(i - 1) == "array":
+            indexed = self.kind(i - 1) == "v" or self.kind(i - 1) == "n" and self.word(i - 1) not in WORDS or self.word(i - 1) in ("]", ")", "#")
+            if w == "[" and k == "o" and not indexed or w == "(" and self.word(i - 1) == "array":
                 self.items(i)
         return self.placed()
 

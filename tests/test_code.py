@@ -147,3 +147,17 @@ def test_routes_over_includes_with_a_cycle(spark):
 def test_paths(spark):
     x = spark.createDataFrame([("a/b.php", "__DIR__ . '/../c.php'"), ("b.php", "__DIR__.'/../c.php'"), ("a/b.php", "base_path('x/./y.php')"), ("a", "$z . 'x'"), ("a", "'r/q.php'")], "path string, text string")
     assert [r[0] for r in x.select(routing.required(F.col("text"), F.col("path"))).collect()] == ["c.php", None, "x/y.php", None, "r/q.php"]
+
+
+def test_declared_shapes(spark):
+    from graphmill.operators import shapes
+    s = read(spark, app_Http_Requests_A=r"""<?php class A extends FormRequest { public function rules(): array { return [
+        'a' => 'required|integer|between:1,9|unknown', 'b.*.c' => ['between:1,2', 'numeric', 'max:3', Rule::in(['x'])], "d" => 'in:a, b|nullable|regex:/x/', 'a' => ['email'], 'e' => new Thing, 5 => 'date' ]; } }""", app_Providers_EventServiceProvider=r"""<?php use App\L\One; use App\L\Two as Deux;
+        class EventServiceProvider { protected $listen = [E::class => [One::class, Deux::class], 'App\\Events\\F' => ['App\\L\\Three'], G::class => 'App\L\One', H::class => []]; }""", app_L_One="<?php class One implements ShouldHandleEventsAfterCommit {}", app_L_Two="<?php class Two { public bool $afterCommit = true; }", app_L_Three="<?php class Three { public $afterCommit = false; }")
+    rules = {r.name: (r.type, [(x.kind, x.value) for x in r.rules]) for r in shapes.field_rules(s).collect()}
+    assert rules == {"a": ("number", [("required", None), ("integer", None), ("min", "1"), ("max", "9")]), "b.*.c": ("number", [("minLength", "1"), ("maxLength", "2"), ("max", "3")]), "d": ("string", [("isIn", "a,b"), ("optional", None), ("regex", "/x/")]), "5": ("string", [("date", None)])}
+    heard = shapes.listeners(s).cache()
+    assert sorted((r.event, r.listener, r.after_commit) for r in heard.collect()) == [("E", "App\\L\\One", True), ("E", "App\\L\\Two", True), ("F", "App\\L\\Three", False)]
+    escapes = spark.createDataFrame([(1, "p", "E"), (1, "p", "F"), (2, "q", "E")], "graph_id long, project string, event string")
+    assert sorted((r.graph_id, r.event, r.safe) for r in shapes.listened(escapes, heard).distinct().collect() if r.safe is not None) == [(1, "E", True), (1, "E", True), (1, "F", False)]
+    assert shapes.listened(escapes, heard).where("graph_id = 2 and listener is null and safe is null").count() == 1
