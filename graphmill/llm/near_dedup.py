@@ -1,9 +1,9 @@
-"""Near-duplicate documents by a chosen-path set similarity join.
+"""Near-duplicate documents by a similarity join over trees of minwise hashes.
 
-Every tree draws hash functions, one a level.  A document goes to the node named by the shingles that are least under
-them, so two documents of similarity s part with probability 1 - s a level.  Nodes lie four levels down and are
-compared exhaustively, large ones branch further by the rarest shingles of their members.  Independent trees repeat this until the recall aimed at is reached.  Every
-link is confirmed on the full shingle sets.
+Every tree draws four hash functions, one a level, and a document goes to the one node that is named by the shingles least under
+all four, so two documents of similarity s part with probability 1 - s a level.  All nodes lie at that depth: none stops earlier, and a document has
+one path a tree.  Nodes are compared exhaustively; large ones branch further by the rarest shingles of their members.  Independent trees
+repeat this until the recall aimed at is reached.  Every link is confirmed on the full shingle sets.
 """
 from __future__ import annotations
 

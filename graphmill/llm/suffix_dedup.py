@@ -1,10 +1,10 @@
-"""Removal of long repeated byte strings with a logarithmic family of sparse suffix arrays.
+"""Removal of long repeated byte strings with a logarithmic family of sorted fingerprints.
 
-Suffixes are sampled by content: of every 200-byte window the least 64-byte string under a hash is its anchor, so equal
-windows have equal anchors at equal places.  Windows of one anchor that stand side by side make a segment.  The anchors' suffixes,
-dealt out by content, go to index families: a batch is sorted into a suffix array, merge-scanned against the levels
-there are, and levels of like size merge.  Segments met twice as a whole are repeats; those that share their anchor with
-other segments only are compared window by window, in dense suffix arrays of all windows of an anchor.
+Places are sampled by content: of every 200-byte window the least 64-byte string under a hash is its anchor, so equal
+windows have equal anchors at equal places.  Windows of one anchor that stand side by side make a segment.  Pairs of hashes (anchor,
+whole segment), dealt out by anchor, go to families of levels inside a task: a batch is sorted by hash, looked up in the levels
+there are, and levels of like size merge.  No suffix is sorted by content, and equality rests on 64-bit hashes.  Segments met twice as a whole are
+repeats; those that share their anchor with other segments only are compared by the sorted hashes of all windows of the anchor.
 """
 from __future__ import annotations
 
@@ -114,14 +114,14 @@ def combine(x: dict) -> dict:
 
 
 class Family:
-    """Suffix arrays of sizes that grow geometrically.  An entry's ``other`` tells that its anchor stands elsewhere with another content."""
+    """Arrays of hashes, sorted, of sizes that grow geometrically.  An entry's ``other`` tells that its anchor stands elsewhere with another content."""
 
     def __init__(self):
         self.levels: list[dict | None] = []
 
     @staticmethod
     def _scan(new: dict, old: dict) -> None:
-        """Merge-scan: what shares its anchor with the other array, unless with an equal entry alone."""
+        """Look up each array's hashes in the other: what shares its anchor with the other array, unless with an equal entry alone."""
         for a, b in ((new, old), (old, new)):
             lo, hi = np.searchsorted(b["h"], a["h"], "left"), np.searchsorted(b["h"], a["h"], "right")
             one = hi - lo == 1
