@@ -56,3 +56,16 @@ def fields(spark, d):
 FROM (SELECT *, unnest(CASE WHEN k % 2 = 0 THEN [{{'kind': 'conditional', 'name': 'secret'}}, {{'kind': 'nested', 'name': 'OwnerResource'}}, {{'kind': 'collection', 'name': 'ItemResource'}}] ELSE [{{'kind': 'conditional', 'name': 'owner'}}, {{'kind': 'nested', 'name': 'OwnerResource'}}] END) AS x FROM s)""")
 def details(spark, d):
     return shapes.resource_details(read(spark, d))
+
+
+@add("S18_jobs", f"""WITH s AS ({_S}) SELECT project, 'app/Jobs/J' || k || '.php' AS path, 'queue:J' || k AS entrypoint, 'QUEUE' AS method, CASE WHEN k % 3 = 0 THEN 'q' || k ELSE 'default' END AS queue, 'J' || k || '::handle' AS symbol FROM s WHERE k % 5 > 0""")
+def jobs(spark, d):
+    return shapes.queued_jobs(read(spark, d))
+
+
+_PLAN = [("true", "'mail:send ' || k", "0,30 * * * *"), ("k % 2 = 0", "'J' || k", "5 * * * 1"), ("k % 3 = 0", "'J' || k", "0 0 1 1,4,7,10 *"), ("true", "'fn () => 1'", "0 * * * *"), ("true", "'ls'", "unknown")]
+
+
+@add("S19_schedules", f"WITH s AS ({_S}) " + " UNION ALL ".join(f"SELECT project, 'app/Console/K' || k || 'Kernel.php' AS path, 'schedule:' || {name} AS entrypoint, 'SCHEDULE' AS method, '{cron}' AS cron, {name} AS symbol FROM s WHERE {c}" for c, name, cron in _PLAN))
+def schedules(spark, d):
+    return shapes.schedules(read(spark, d)).drop("line")

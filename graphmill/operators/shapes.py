@@ -11,6 +11,9 @@ AFTER_COMMIT = "ShouldHandleEventsAfterCommit"
 SENSITIVE = "(?i)secret|token|password|passwd|internal|admin_|_admin|private|api_key|_hash|hash_"
 CONDITIONS = ("when", "whenLoaded", "whenNotNull")
 NUMBERS = ("integer", "numeric")
+QUEUED, QUEUE = "ShouldQueue", "default"
+SCHEDULED = ("command", "job", "call", "exec")
+SKIPPED = "(^|/)(node_modules|vendor|storage|bootstrap|[.]git|dist|build|coverage)/|Test[.]php$"
 SAME = {"required": "required", "email": "email", "url": "url", "uuid": "uuid", "alpha": "alphanumeric", "alpha_num": "alphanumeric", "date": "date", "boolean": "boolean", "array": "array", "integer": "integer", "nullable": "optional", "sometimes": "optional"}
 
 
@@ -95,3 +98,27 @@ def resource_details(s: DataFrame) -> DataFrame:
     inside = c.where(r"form = 'new' and name rlike '(Resource|Collection)$' or form = 'static' and base rlike '(Resource|Collection)$' and name in ('collection', 'make')")
     named = inside.select(*FILE, "at", F.when((F.col("form") == "static") & (F.col("name") == "collection"), "collection").otherwise("nested").alias("kind"), F.when(F.col("form") == "new", F.col("name")).otherwise(F.col("base")).alias("name"))
     return given.unionByName(named.groupBy(*FILE, "name").agg(F.min(F.struct("at", "kind"))["kind"].alias("kind")).select(*FILE, "kind", "name"))
+
+
+def queued_jobs(s: DataFrame) -> DataFrame:
+    """Entrypoints of queued jobs: project, path, entrypoint, method, queue, symbol; of each file the first class that is queued, tests and foreign code left out."""
+    jobs = s.where((F.col("kind") == "class") & (F.col("form") == "class") & F.exists("args", lambda a: a["value"] == QUEUED) & ~F.col("path").rlike(SKIPPED))
+    one = jobs.groupBy(*FILE).agg(F.min_by("name", "at").alias("class"))
+    named = s.where("kind = 'property' and name = '$queue' and form = 'string' and method is null").groupBy(*FILE, "class").agg(F.min_by("text", "at").alias("queue"))
+    x = one.join(named, [*FILE, "class"], "left")
+    return x.select(*FILE, F.concat(F.lit("queue:"), "class").alias("entrypoint"), F.lit("QUEUE").alias("method"), F.coalesce("queue", F.lit(QUEUE)).alias("queue"), F.concat("class", F.lit("::handle")).alias("symbol"))
+
+
+def schedules(s: DataFrame) -> DataFrame:
+    """Entrypoints of a schedule's statements: project, path, line, entrypoint, method, cron (unknown where no frequency is named), symbol."""
+    from ..sources.scan import CRON
+    c = s.where("kind = 'call' and form = 'member' and method = 'schedule'")
+    first = F.get("args", F.lit(0))
+    head = c.where(F.col("base").rlike(r"^\$\w*schedule\w*$") & F.col("name").isin(*SCHEDULED) & (F.col("ord") >= 0))
+    raw = F.regexp_replace(first["text"], r"""^['"]|['"]$""", "")
+    named = F.when(first.isNull(), "unknown").when((F.col("name") == "job") & first["kind"].isin("new", "class"), first["value"]).when((F.col("name") != "job") & (first["kind"] == "string"), first["value"]).otherwise(F.when(F.col("name") == "job", first["text"]).otherwise(raw))
+    known = F.try_element_at(F.create_map(*(F.lit(x) for pair in CRON.items() for x in pair)), F.col("name"))
+    often = c.where(F.col("name").isin(*CRON, "cron")).withColumn("cron", F.when(F.col("name") == "cron", F.coalesce(F.when(first["kind"] == "string", first["value"]), raw, F.lit("unknown"))).otherwise(known)).select(*FILE, "at", "end", "cron")
+    x = head.select(*FILE, "at", "line", F.col("end").alias("_end"), named.alias("symbol")).join(often, [*FILE, "at"], "left").where("cron is null or end > _end")
+    one = x.groupBy(*FILE, "at", "line", "symbol").agg(F.coalesce(F.min_by("cron", "end"), F.lit("unknown")).alias("cron"))
+    return one.select(*FILE, "line", F.concat(F.lit("schedule:"), "symbol").alias("entrypoint"), F.lit("SCHEDULE").alias("method"), "cron", "symbol")

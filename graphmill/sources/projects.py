@@ -130,12 +130,18 @@ RESOURCE_FILE = (
     ("k % 2 = 1", r"        return array_merge(['id' => 1, 'PASSWORD' => 2], parent::toArray($r), ['last' => OwnerResource::make($this->whenLoaded('owner'))]);"), ("true", r"    }"), ("true", r"}"),
 )
 
+JOB = (("true", r"<?php"), ("k % 2 = 0", r"interface ShouldBe {} class Other implements Thing {}"), ("true", r"class J{k}"), ("k % 5 > 0", r"    implements Another, ShouldQueue"), ("true", r"{"), ("k % 3 = 0", r"    public $queue = 'q{k}';"), ("true", r"    public function handle() { $queue = 'no'; }"), ("true", r"}"))
+KERNEL_OF = (
+    ("true", r"<?php"), ("true", r"class Kernel{k} { protected function schedule(Schedule $schedule) {"), ("true", r"    $schedule->command('mail:send {k}')->withoutOverlapping()->everyThirtyMinutes();"), ("k % 2 = 0", r"    $schedule->job(new J{k}(1))->cron('5 * * * 1');"),
+    ("k % 3 = 0", r"    $schedule->job(J{k}::class)->quarterly()->daily();"), ("true", r"    $schedule->call(fn () => 1)->hourly(); $other->command('x')->daily(); $schedule->exec('ls');"), ("true", r"} }"),
+)
+
 
 def shape_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(project, path, content): of each supplier a listener, a form request and a resource; of each nation a provider that maps events to listeners."""
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("k"), F.concat(F.lit("nation-"), F.col("s_nationkey").cast("string")).alias("project"))
     name = lambda folder, tail: F.concat(F.lit(f"app/{folder}"), F.col("k").cast("string"), F.lit(f"{tail}.php"))
-    own = F.array(*(F.struct(p.alias("path"), _text(lines).alias("content")) for p, lines in ((name("Listeners/L", ""), LISTENER), (name("Http/Requests/R", "Request"), RULES), (name("Http/Resources/R", "Resource"), RESOURCE_FILE))))
+    own = F.array(*(F.struct(p.alias("path"), _text(lines).alias("content")) for p, lines in ((name("Listeners/L", ""), LISTENER), (name("Http/Requests/R", "Request"), RULES), (name("Http/Resources/R", "Resource"), RESOURCE_FILE), (name("Jobs/J", ""), JOB), (name("Console/K", "Kernel"), KERNEL_OF), (name("vendor/V", ""), JOB))))
     k = F.col("k").cast("string")
     line = F.when(F.col("k") % 2 == 0, F.concat(F.lit("E"), k, F.lit("::class => [L"), k, F.lit("::class, 'App\\Listeners\\Gone'],"))).otherwise(F.concat(F.lit("'App\\Events\\E"), k, F.lit("' => ['App\\Listeners\\L"), k, F.lit("'],")))
     use = F.when(F.col("k") % 4 == 0, F.concat(F.lit("use App\\Listeners\\L"), k, F.lit(";")))
