@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import shapes
+from ..operators import inventory, shapes
 from ..sources import projects
 from ..sources.corpus import once
 from ..sources.syntax import syntax
@@ -69,3 +69,32 @@ _PLAN = [("true", "'mail:send ' || k", "0,30 * * * *"), ("k % 2 = 0", "'J' || k"
 @add("S19_schedules", f"WITH s AS ({_S}) " + " UNION ALL ".join(f"SELECT project, 'app/Console/K' || k || 'Kernel.php' AS path, 'schedule:' || {name} AS entrypoint, 'SCHEDULE' AS method, '{cron}' AS cron, {name} AS symbol FROM s WHERE {c}" for c, name, cron in _PLAN))
 def schedules(spark, d):
     return shapes.schedules(read(spark, d)).drop("line")
+
+
+_CLASSES = f"""WITH s AS ({_S}), c AS (SELECT project, 'app/Jobs/J' || k || '.php' AS path, 'queue_job' AS category, 'J' || k AS class FROM s UNION ALL SELECT project, 'app/Listeners/L' || k || '.php', 'event_listener', 'L' || k FROM s UNION ALL SELECT project, 'app/Http/Resources/R' || k || 'Resource.php', 'api_resource', 'R' || k || 'Resource' FROM s)"""
+
+
+@add("S37_inventory", _CLASSES + " SELECT project, path, category, class, class AS fqcn FROM c")
+def inventory_(spark, d):
+    return inventory.classes(projects.shape_files(spark, d))
+
+
+_USES = _CLASSES + """, u AS (SELECT a.project, a.k, 'queue_job' AS category, 'J' || b.k AS name, a.k % 4 = 1 AS chained FROM s a JOIN s b ON b.project = a.project AND (a.k % 4 IN (0, 1) AND starts_with(a.k::VARCHAR, b.k::VARCHAR) OR a.k % 4 = 2 AND a.k = b.k)
+UNION ALL SELECT project, k, 'api_resource', 'R' || k || 'Resource', false FROM s WHERE k % 4 IN (0, 1))
+"""
+
+
+@add("S37_usage", _USES + "SELECT project, 'app/Console/K' || k || 'Kernel.php' AS path, 'Kernel' || k AS caller, 'command' AS source, category, name, chained FROM u")
+def usage(spark, d):
+    return inventory.usage(projects.shape_files(spark, d))
+
+
+@add("S37_gates", f"WITH s AS ({_S}) SELECT project, 'app/Console/K' || k || 'Kernel.php' AS path, 'Kernel' || k AS caller, 'command' AS source, x.method, x.ability FROM (SELECT *, unnest([{{'method': 'check', 'ability': 'see'}}, {{'method': 'denies', 'ability': 'edit'}}]) AS x FROM s WHERE k % 4 = 1)")
+def gates(spark, d):
+    return inventory.gate_calls(projects.shape_files(spark, d))
+
+
+@add("S37_summary", _USES + """, n AS (SELECT project, category, count(*) AS n_classes FROM c GROUP BY 1, 2), m AS (SELECT project, category, count(DISTINCT name) AS n_used, count(*) AS n_uses FROM u GROUP BY 1, 2)
+SELECT project, category, n_classes, coalesce(n_used, 0) AS n_used, coalesce(n_uses, 0) AS n_uses FROM n LEFT JOIN m USING (project, category)""")
+def summary(spark, d):
+    return inventory.summary(projects.shape_files(spark, d))

@@ -133,7 +133,8 @@ RESOURCE_FILE = (
 JOB = (("true", r"<?php"), ("k % 2 = 0", r"interface ShouldBe {} class Other implements Thing {}"), ("true", r"class J{k}"), ("k % 5 > 0", r"    implements Another, ShouldQueue"), ("true", r"{"), ("k % 3 = 0", r"    public $queue = 'q{k}';"), ("true", r"    public function handle() { $queue = 'no'; }"), ("true", r"}"))
 KERNEL_OF = (
     ("true", r"<?php"), ("true", r"class Kernel{k} { protected function schedule(Schedule $schedule) {"), ("true", r"    $schedule->command('mail:send {k}')->withoutOverlapping()->everyThirtyMinutes();"), ("k % 2 = 0", r"    $schedule->job(new J{k}(1))->cron('5 * * * 1');"),
-    ("k % 3 = 0", r"    $schedule->job(J{k}::class)->quarterly()->daily();"), ("true", r"    $schedule->call(fn () => 1)->hourly(); $other->command('x')->daily(); $schedule->exec('ls');"), ("true", r"} }"),
+    ("k % 3 = 0", r"    $schedule->job(J{k}::class)->quarterly()->daily();"), ("true", r"    $schedule->call(fn () => 1)->hourly(); $other->command('x')->daily(); $schedule->exec('ls');"), ("true", r"}"),
+    ("k % 4 = 0", r"    function boot() { dispatch(new J{k}x(1)); return new R{k}Resource(2); }"), ("k % 4 = 1", r"    function boot() { Bus::chain([new J{k}]); R{k}Resource::collection([]); Gate::check('see', $x); Gate::denies( 'edit'); }"), ("k % 4 = 2", r"    function boot() { AJ{k}::dispatch(); }"), ("true", r"}"),
 )
 
 

@@ -161,3 +161,26 @@ def test_declared_shapes(spark):
     escapes = spark.createDataFrame([(1, "p", "E"), (1, "p", "F"), (2, "q", "E")], "graph_id long, project string, event string")
     assert sorted((r.graph_id, r.event, r.safe) for r in shapes.listened(escapes, heard).distinct().collect() if r.safe is not None) == [(1, "E", True), (1, "E", True), (1, "F", False)]
     assert shapes.listened(escapes, heard).where("graph_id = 2 and listener is null and safe is null").count() == 1
+
+
+def test_usage_against_a_search_for_each_name(spark):
+    from graphmill.operators import inventory
+    r, names = random.Random(2), ["Ship", "ShipIt", "ReShip", "Ping", "Pi"]
+    pieces = [f"dispatch(new {n}X(1));" for n in names] + [f"A{n}::dispatch();" for n in names] + [f"new {n}(2);" for n in names] + [f"event(new {n});" for n in names] + ["Bus::chain([]);", "X::collection(1);", "é::dispatch("] + [f"{n}::collection($x)" for n in names]
+    files = [("p", f"app/{d}/{n}.php", f"<?php\nnamespace N;\nclass {n} {{}}") for d in ("Jobs", "Events", "Http/Resources") for n in names]
+    files += [("p", f"app/Services/S{k}.php", "\n".join(r.choices(pieces, k=3))) for k in range(60)] + [("q", "app/Services/S.php", "dispatch(new Ship)"), ("p", "app/Jobs/Null.php", None)]
+    df = spark.createDataFrame(files, FILES)
+    want = set()
+    for p, path, text in files:
+        for n in names if p == "p" and text else []:
+            job = f"dispatch(new {n}" in text or f"{n}::dispatch(" in text
+            if job or f"new {n}" in text and "chain(" in text:
+                want.add((path, "queue_job", n, not job))
+            if f"event(new {n}" in text or f"{n}::dispatch(" in text:
+                want.add((path, "event_dispatch", n, False))
+            if f"new {n}(" in text or f"{n}::collection(" in text:
+                want.add((path, "api_resource", n, False))
+    got = inventory.usage(df)
+    assert {(x.path, x.category, x.name, x.chained) for x in got.collect()} == want
+    plan = got._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
