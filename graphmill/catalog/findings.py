@@ -172,4 +172,5 @@ us AS (SELECT graph_id, string_agg('  ' || symbol || ' [' || type || '] — NOT
 SELECT g.graph_id, 'Execution path: ' || entrypoint || chr(10) || chr(10) || 'Nodes:' || chr(10) || coalesce(ns.t, '') || chr(10) || chr(10) || 'Edges:' || chr(10) || coalesce(es.t, '') || coalesce(chr(10) || chr(10) || 'Unwrapped mutations (no transaction boundary):' || chr(10) || us.t, '') AS text
 FROM graphs g LEFT JOIN ns ON ns.graph_id = g.graph_id LEFT JOIN es ON es.graph_id = g.graph_id LEFT JOIN us ON us.graph_id = g.graph_id""")(lambda s, d: render.prompt_paths(derived(s, d)))
 add("K05_trees")(lambda s, d: render.tree(derived(s, d)))
-add("K11_hints")(lambda s, d: render.hints(analysis.route_infos(derived(s, d))))
+add("K11_hints", _INFO + """SELECT file, CASE WHEN line = 0 THEN 1 ELSE line END AS line, concat_ws(' · ', entrypoint, CASE WHEN len(auth_gates) > 0 THEN 'auth: ' || array_to_string(auth_gates, ', ') WHEN is_public THEN 'public' ELSE 'no auth' END,
+  CASE WHEN len(authz_checks) > 0 THEN 'authz: ' || array_to_string(authz_checks, ', ') END, CASE WHEN has_transaction THEN 'transaction' END) AS label FROM infos WHERE file <> ''""")(lambda s, d: render.hints(analysis.route_infos(derived(s, d))))

@@ -77,4 +77,9 @@ add("T08_gaps", _LINKED + _MATCH + f""", k AS (SELECT *, {_CATEGORY} AS category
 f AS (SELECT session_id, category, name, min(span_ord) AS o FROM k GROUP BY 1, 2, 3), x AS (SELECT session_id, category, array_to_string(list_slice(list(name ORDER BY o), 1, 3), ',') AS examples FROM f GROUP BY 1, 2)
 SELECT k.session_id, k.category, count(*) AS n, floor(100 * count(*) / any_value(t.total) + 0.5)::BIGINT AS percent, any_value(x.examples) AS examples FROM k JOIN t ON t.session_id = k.session_id JOIN x ON x.session_id = k.session_id AND x.category = k.category GROUP BY 1, 2""")(lambda s, d: correlate.gaps(*_correlated(s, d)).withColumn("examples", F.array_join("examples", ",")))
 add("A11_gap_roll_up", _LINKED + _MATCH + f"SELECT {_CATEGORY} AS category, count(*) AS n, count(DISTINCT session_id) AS sessions FROM cor WHERE confidence = 'none' GROUP BY 1")(lambda s, d: correlate.gaps(*_correlated(s, d)).groupBy("category").agg(F.sum("n").alias("n"), F.count("*").alias("sessions")))
-add("K10_gap_text")(lambda s, d: (lambda sp, c: render.gap_text(correlate.gaps(sp, c), correlate.coverage(c)))(*_correlated(s, d)))
+add("K10_gap_text", _LINKED + _MATCH + f""", k AS (SELECT *, {_CATEGORY} AS category FROM cor WHERE confidence = 'none'), t AS (SELECT session_id, count(*) AS total, count(*) FILTER (confidence <> 'none') AS matched FROM cor GROUP BY 1),
+f AS (SELECT session_id, category, name, min(span_ord) AS o FROM k GROUP BY 1, 2, 3), x AS (SELECT session_id, category, array_to_string(list_slice(list(name ORDER BY o), 1, 3), ', ') AS examples FROM f GROUP BY 1, 2),
+g AS (SELECT k.session_id, k.category, count(*) AS n, floor(100 * count(*) / any_value(t.total) + 0.5)::BIGINT AS percent, any_value(x.examples) AS examples FROM k JOIN t ON t.session_id = k.session_id JOIN x ON x.session_id = k.session_id AND x.category = k.category GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, category) AS nth, '  ' || rpad(category, 20, ' ') || ' ' || lpad(percent || '%', 4, ' ') || '  ' || repeat('█', floor(percent / 5 + 0.5)::INT) || CASE WHEN examples <> '' THEN chr(10) || '    e.g. ' || examples ELSE '' END AS line, '  → ' || category || ': ' || percent || '% of total spans unmatched' AS goal FROM g),
+w AS (SELECT session_id, chr(10) || string_agg(line, chr(10) ORDER BY nth) || chr(10) || chr(10) || 'Top Semantic Gaps (parser targets):' || chr(10) || string_agg(goal, chr(10) ORDER BY nth) FILTER (nth <= 5) AS body FROM r GROUP BY 1)
+SELECT t.session_id, 'Runtime Coverage Score: ' || floor(100 * matched / total + 0.5)::BIGINT || '% (' || matched || '/' || total || ' spans matched)' || chr(10) || chr(10) || 'Unmatched Span Breakdown:' || coalesce(body, '') AS text FROM t LEFT JOIN w ON w.session_id = t.session_id""")(lambda s, d: (lambda sp, c: render.gap_text(correlate.gaps(sp, c), correlate.coverage(c)))(*_correlated(s, d)))

@@ -66,7 +66,7 @@ def _answers(spark, sf_dir):
 
 add("G04_answer_scores", _SAID + "SELECT doc_id, round(0.3 * f + 0.15 * s + 0.25 * k + 0.2 * e + 0.1 * r, 6)::DOUBLE AS score, round(0.3 * f + 0.15 * s + 0.25 * k + 0.2 * e + 0.1 * r, 9) >= 0.7 AS passed FROM p")(lambda s, d: score.answer_scores(_answers(s, d)).select("doc_id", F.round("score", 6).alias("score"), "passed"))
 add("G05_turn_scores", _SAID + "SELECT doc_id, round(0.25 * f + 0.15 + 0.4 * e + 0.2 * r, 6)::DOUBLE AS score, round(0.25 * f + 0.15 + 0.4 * e + 0.2 * r, 9) >= 0.65 AS passed FROM p")(lambda s, d: score.turn_scores(_answers(s, d).withColumn("want_severity", F.lit(None).cast("string"))).select("doc_id", F.round("score", 6).alias("score"), "passed"))
-add("G06_judged_answers")(lambda s, d: score.answer_scores(_answers(s, d), lambda want, said: F.contains(F.lower(said), F.lit("policy"))).select("doc_id", "score", "passed"))
+add("G06_judged_answers", _SAID + "SELECT doc_id, round(0.3 * contains(lower(finding_type), 'policy')::INT + 0.15 * s + 0.25 * k + 0.2 * e + 0.1 * r, 9)::DOUBLE AS score, round(0.3 * contains(lower(finding_type), 'policy')::INT + 0.15 * s + 0.25 * k + 0.2 * e + 0.1 * r, 9) >= 0.7 AS passed FROM p")(lambda s, d: score.answer_scores(_answers(s, d), lambda want, said: F.contains(F.lower(said), F.lit("policy"))).select("doc_id", "score", "passed"))
 add("A16_answer_averages", _SAID + "SELECT doc_id % 7 AS part, round(avg(round(0.3 * f + 0.15 * s + 0.25 * k + 0.2 * e + 0.1 * r, 9)), 6)::DOUBLE AS score, count(*) FILTER (round(0.3 * f + 0.15 * s + 0.25 * k + 0.2 * e + 0.1 * r, 9) >= 0.7) AS n_passed, count(*) AS n, bool_and(round(0.3 * f + 0.15 * s + 0.25 * k + 0.2 * e + 0.1 * r, 9) >= 0.7) AS all_passed FROM p GROUP BY 1")(lambda s, d: score.averages(score.answer_scores(_answers(s, d).withColumn("part", F.col("doc_id") % 7)), "part"))
 add("A22_comparison", "WITH o AS (SELECT o_custkey % 100 / 100.0::DOUBLE AS base, o_orderkey % 100 / 100.0::DOUBLE AS score FROM orders) SELECT round(avg(score - base), 6) AS avg_delta, count(*) FILTER (score - base > 0.05) AS wins, count(*) FILTER (score - base < -0.05) AS losses, count(*) FILTER (abs(score - base) <= 0.05) AS ties FROM o")(lambda s, d: score.comparison(_table(s, d, "orders").select(((F.col("o_custkey") % 100) / 100.0).alias("base"), ((F.col("o_orderkey") % 100) / 100.0).alias("score"))))
 add("G08_savings", "SELECT o_orderkey, round((2 * o_orderkey + 1) / 997, 2) AS ratio, round(100 * (1 - 997 / (2 * o_orderkey + 1)), 1) AS percent FROM orders")(lambda s, d: _table(s, d, "orders").select("o_orderkey", regress.savings(2 * F.col("o_orderkey") + 1, F.lit(997)).alias("x")).select("o_orderkey", "x.ratio", "x.percent"))
