@@ -75,3 +75,34 @@ def base_paths(spark, d):
     own = "CASE WHEN p_partkey % 3 = 0 THEN concat('/own', p_size) WHEN p_partkey % 3 = 1 THEN '' END"
     controllers = table(spark, d, "part").selectExpr("concat('M', p_size % 4) AS module", "concat('C', p_partkey) AS class", "concat('Base', p_partkey % 10) AS base", f"{own} AS own_path", "concat(CASE WHEN p_partkey % 2 = 0 THEN '/' ELSE '' END, 'p', p_partkey) AS method_path")
     return project.base_paths(controllers, bases)
+
+
+@add("J10_not_exempt", """WITH r AS (SELECT p_partkey AS route_id, CASE p_partkey % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'PUT' END AS method, '/r' || (p_partkey % 40) AS path FROM part), x AS (SELECT CASE n_nationkey % 2 WHEN 0 THEN '*' ELSE 'POST' END AS method, '/r' || n_nationkey AS path FROM nation)
+SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.path = r.path AND x.method IN ('*', r.method))""")
+def not_exempt(spark, d):
+    routes = table(spark, d, "part").selectExpr("p_partkey AS route_id", "CASE p_partkey % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'PUT' END AS method", "concat('/r', p_partkey % 40) AS path")
+    return project.not_exempt(routes, table(spark, d, "nation").selectExpr("CASE n_nationkey % 2 WHEN 0 THEN '*' ELSE 'POST' END AS method", "concat('/r', n_nationkey) AS path"))
+
+
+@add("J12_hierarchy", """WITH p AS (SELECT p_size AS graph_id, 'EDIT' || (p_partkey % 20) || CASE WHEN p_partkey % 3 = 0 THEN '_ANY' ELSE '' END AS symbol FROM part)
+SELECT DISTINCT h.graph_id, h.symbol AS elevated, l.symbol AS base FROM p h JOIN p l ON l.graph_id = h.graph_id AND h.symbol = l.symbol || '_ANY'""")
+def hierarchy(spark, d):
+    return project.hierarchy(table(spark, d, "part").selectExpr("p_size AS graph_id", "concat('EDIT', p_partkey % 20, CASE WHEN p_partkey % 3 = 0 THEN '_ANY' ELSE '' END) AS symbol"))
+
+
+@add("J13_reachable_permissions", """WITH p AS (SELECT DISTINCT p_size AS graph_id, 'C' || (p_partkey % 15) AS class, 'v' || (p_partkey % 30) AS value FROM part), s AS (SELECT s_suppkey % 50 AS graph_id, 'use C' || (s_suppkey % 17) || '::X' AS source FROM supplier), a AS (SELECT c_custkey % 50 AS graph_id, 'v' || (c_custkey % 40) AS value FROM customer WHERE c_custkey % 3 = 0)
+SELECT * FROM p WHERE EXISTS (SELECT 1 FROM s WHERE s.graph_id = p.graph_id AND contains(source, class)) OR EXISTS (SELECT 1 FROM a WHERE a.graph_id = p.graph_id AND a.value = p.value)""")
+def reachable(spark, d):
+    permissions = table(spark, d, "part").selectExpr("p_size AS graph_id", "concat('C', p_partkey % 15) AS class", "concat('v', p_partkey % 30) AS value")
+    sources = table(spark, d, "supplier").selectExpr("s_suppkey % 50 AS graph_id", "concat('use C', s_suppkey % 17, '::X') AS source")
+    return project.reachable_permissions(permissions, sources, table(spark, d, "customer").where("c_custkey % 3 = 0").selectExpr("c_custkey % 50 AS graph_id", "concat('v', c_custkey % 40) AS value"))
+
+
+@add("W05_guarded", "SELECT a.l_orderkey AS graph_id, a.l_linenumber AS src, b.l_linenumber AS dst FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber > a.l_linenumber WHERE a.l_partkey % 5 = 0")
+def guarded(spark, d):
+    return project.guarded(table(spark, d, "lineitem").selectExpr("l_orderkey AS graph_id", "l_linenumber AS node_ord", "CASE WHEN l_partkey % 5 = 0 THEN 'ir:guard_clause' ELSE 'ir:service_call' END AS type"))
+
+
+@add("A20_sources", "SELECT graph_id, string_agg(n_name, chr(10) ORDER BY 'f' || n_nationkey) AS source FROM (SELECT DISTINCT p_size AS graph_id, p_partkey % 30 AS f FROM part) JOIN nation ON n_nationkey = f GROUP BY 1")
+def sources(spark, d):
+    return project.sources_of(table(spark, d, "part").selectExpr("p_size AS graph_id", "concat('f', p_partkey % 30) AS file"), table(spark, d, "nation").selectExpr("concat('f', n_nationkey) AS file", "n_name AS content"))
