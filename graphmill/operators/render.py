@@ -111,7 +111,7 @@ def hints(infos: DataFrame) -> DataFrame:
     return infos.where("file <> ''").select("file", "line", label.alias("label"))
 
 
-def tree(corpus: Corpus, depth: int = 20) -> DataFrame:
+def tree(corpus: Corpus, depth: int = 2**31 - 1) -> DataFrame:
     """graph_id, text: nodes indented below the ones that lead to them, from those that no edge enters; a node stands where it is first met, so cycles end."""
     # a stack of (place, depth) as depth * 2^32 + place; what is on top comes last
     push = "reverse(transform(filter(e, y -> y.src = v.p AND NOT array_contains(s.seen, y.dst) AND y.dst <> v.p), y -> named_struct('p', y.dst, 'd', v.d + 1)))"
