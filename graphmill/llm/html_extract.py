@@ -305,7 +305,7 @@ def extract(pages: DataFrame, buckets: int | None = None) -> DataFrame:
     neighbour is judged by its markup alone.
 
     Rows are dealt into ranges, which splits hot hosts; the bounds are rows of a sample by hash, and a range also has the
-    rows just beyond its ends, so results don't hang on where the bounds are, but where a range holds fewer than REACH rows.
+    rows just beyond its ends, and no range is shorter than that reach, so results don't hang on where the bounds are.
     """
     spark = pages.sparkSession
     small_batches(spark)
@@ -319,7 +319,9 @@ def extract(pages: DataFrame, buckets: int | None = None) -> DataFrame:
     order = materialize(p.select(*places).distinct(), "page-order")
     rate = max(1, order.count() // (8 * n))
     sample = [tuple(r) for r in order.where(F.pmod(F.xxhash64(*places), F.lit(rate)) == 0).orderBy(*places).limit(64 * n).collect()]
-    bounds = sample[::max(1, -(-len(sample) // n))][1:]
+    # every range holds REACH rows or more, so that the rows beside it are all in the ranges beside it
+    step = max(REACH, -(-len(sample) // n))
+    bounds = [sample[i] for i in range(step, len(sample) - REACH + 1, step)]
     typed = [(h, q, i, x) for h, q, i, x in bounds if i is not None]
     order = order.withColumn("bucket", _bucket(key, typed))
     # the rows at the ends of each range, as context of the range beside it: at most 2 * REACH a range
