@@ -148,3 +148,56 @@ def shape_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     use = F.when(F.col("k") % 4 == 0, F.concat(F.lit("use App\\Listeners\\L"), k, F.lit(";")))
     p = s.groupBy("project").agg(F.concat_ws("\n", F.lit("<?php"), F.array_join(F.array_sort(F.collect_list(use)), "\n"), F.lit("class EventServiceProvider { protected $listen = ["), F.array_join(F.array_sort(F.collect_list(line)), "\n"), F.lit("]; }")).alias("content"))
     return s.select("project", F.explode(own).alias("f")).select("project", "f.path", "f.content").unionByName(p.select("project", F.lit("app/Providers/EventServiceProvider.php").alias("path"), "content"))
+
+
+#: lines of a supplier's file in a Go project
+GO_ROUTES = (
+    ("true", "package routes"), ("true", "func RegisterS{k}(rg gin.IRouter, h *handler.S{k}Handler) {"), ("true", '\tg := rg.Group("/s{k}")'), ("true", "\t{"), ("true", '\t\tg.GET("/:id", h.Get)'), ("true", '\t\tg.POST("", Limit({k}), gin.Recovery, h.Create) // g.PUT("/no", h.No)'), ("true", "\t}"),
+    ("k % 3 = 0", '\tg.DELETE("/:id", func(c *gin.Context) { c.Status(204) })'), ("k % 5 = 0", "\tRegisterS{k}(g, h)"), ("true", "\tif h != nil {"), ("true", '\t\tg.PUT("/branch", h.Get)'), ("true", "\t}"), ("true", "}"),
+    ("true", "type S{k}Request struct {"), ("true", '\tName, Other string `json:"n" binding:"required"`'), ("true", '\tNote string `json:"note"`'), ("k % 2 = 0", '\tAge int `binding:"gte={k}"`'), ("true", "}"),
+    ("true", "type S{k}Handler struct { svc *service.S{k}Service }"), ("true", "func (h *S{k}Handler) Get(c *gin.Context) {}"), ("true", "func (h *S{k}Handler) Create(c *gin.Context) {"), ("true", "\tvar req dto.S{k}Request"),
+    ("k % 2 = 0", "\tif err := c.ShouldBindJSON(&req); err != nil {"), ("k % 2 = 0", "\t\treturn"), ("k % 2 = 0", "\t}"), ("k % 2 = 1", "\tc.ShouldBind(&req)"), ("k % 7 = 0", "\th.db.WithContext(c).Transaction(func(tx *gorm.DB) error { return nil })"), ("true", "\th.svc.Create(req)"), ("true", "}"),
+    ("k % 4 < 2", "func (s *S{k}Service) Create(x any) { s.db.Transaction(func(tx *gorm.DB) error { return nil }) }"), ("k % 4 >= 2", "func (s *S{k}Service) Create(x any) { s.db.Transaction(func(tx *sql.Tx) error { return nil }) }"),
+)
+GO_MAIN = """package main
+func main() {
+	r := %s
+	r.Use(middleware.AuthMiddleware(cfg))
+	api := r.Group("/api")
+	routes.Register(api, nil)
+	r.GET("/health", health)
+}"""
+GO_FACTORY = """package server
+func NewRouter(c Config) *gin.Engine {
+	e := gin.New()
+	e.Use(middleware.Logger())
+	return e
+}"""
+GO_SHARED = """package middleware
+const (
+	RoleAdmin = "admin"
+	Count     = iota
+)
+func versioned(c Config, g *gin.RouterGroup) *gin.RouterGroup {
+	w := g.Group("/v1", middleware.RequireRole(model.RoleAdmin, "x"))
+	return w
+}
+func AuthMiddleware(c Config) gin.HandlerFunc {
+	skip := map[key]bool{
+		{http.MethodGet, "/health"}: true,
+		{"post", "/api/none"}:       true,
+	}
+	return nil
+}"""
+
+
+def go_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project, path, content): Go projects of twenty suppliers each; main, a factory, what is shared, a registrar that calls each supplier's own, and that in a file of its own."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("k"))
+    s = s.withColumn("n", F.expr("k div 20")).withColumn("project", F.concat(F.lit("go-"), F.col("n").cast("string")))
+    own = s.select("project", F.concat(F.lit("routes/s"), F.col("k").cast("string"), F.lit(".go")).alias("path"), _text(GO_ROUTES).alias("content"))
+    line = F.concat(F.lit("\tRegisterS"), F.col("k").cast("string"), F.lit("(v, h)"))
+    many = s.groupBy("project").agg(F.concat(F.lit("package routes\nfunc Register(api *gin.RouterGroup, h *H) {\n\tv := versioned(h, api)\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n"), F.lit("\n}")).alias("content")).select("project", F.lit("routes/register.go").alias("path"), "content")
+    fixed = [("cmd/main.go", GO_MAIN % "gin.Default()", "n % 2 = 0"), ("cmd/main.go", GO_MAIN % "server.NewRouter(cfg)", "n % 2 = 1"), ("server.go", GO_FACTORY, "true"), ("shared.go", GO_SHARED, "true"), ("cmd/seed.go", "package main\nfunc main() { println() }", "n % 2 = 0")]
+    shared = s.select("project", "n").distinct().select("project", F.explode(F.array(*(F.when(F.expr(c), F.struct(F.lit(p).alias("path"), F.lit(t).alias("content"))) for p, t, c in fixed))).alias("f")).where("f is not null").select("project", "f.path", "f.content")
+    return own.unionByName(many).unionByName(shared)

@@ -41,9 +41,11 @@ SYNTAX = T.StructType([
 class Reader:
     """The tokens of a text, and what stands between any two of them."""
 
+    pattern = TOKEN
+
     def __init__(self, text: str):
         self.text = text
-        self.tokens = [(m.lastgroup if m.lastgroup != "mark" else "s", m.start(), m.end()) for m in TOKEN.finditer(text) if not m.group("skip")]
+        self.tokens = [(m.lastgroup if m.lastgroup != "mark" else "s", m.start(), m.end()) for m in self.pattern.finditer(text) if not m.group("skip")]
         self.words = [text[a:b] for _, a, b in self.tokens]
         self.close: dict[int, int] = {}
         stack: list[int] = []
@@ -330,17 +332,22 @@ class Reader:
 
 def syntax(files: DataFrame) -> DataFrame:
     """Files (project, path, content) -> rows of ``SYNTAX``; a null or empty file has none, and one that breaks off is read as far as it goes."""
-    shape = to_arrow_schema(SYNTAX)
+    return rows(files, Reader, SYNTAX)
+
+
+def rows(files: DataFrame, reader: type[Reader], schema: T.StructType) -> DataFrame:
+    """Files (project, path, content) -> a reader's rows, in Arrow batches of a few thousand."""
+    shape = to_arrow_schema(schema)
 
     def run(batches):
         for b in batches:
             out = []
             for project, path, text in zip(*(b.column(k).to_pylist() for k in range(3))):
-                for r in Reader(text).read() if text else []:
+                for r in reader(text).read() if text else []:
                     out.append({"project": project, "path": path, **r})
                 if len(out) >= 5_000:
                     yield pa.RecordBatch.from_pylist(out, shape)
                     out = []
             yield pa.RecordBatch.from_pylist(out, shape)
 
-    return files.select("project", "path", "content").mapInArrow(run, SYNTAX)
+    return files.select("project", "path", "content").mapInArrow(run, schema)
