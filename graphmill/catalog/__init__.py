@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code, findings, golang, project, retrieval, routes, routing, runtime, scores, shapes  # noqa: F401: they register their queries
+from . import code, findings, golang, project, readers, retrieval, routes, routing, runtime, scores, shapes  # noqa: F401: they register their queries
 from .base import QUERIES, SQL
 
 

@@ -151,6 +151,7 @@ def once(spark: SparkSession, label: str, sf_dir: str, tables: tuple[str, ...])
         _kept[key] = now, path
 
     def keep(df: DataFrame, name: str) -> DataFrame:
+        keep.path = path
         if not _there(spark, f"{path}/{name}"):
             df.write.mode("overwrite").parquet(f"{path}/{name}")
         return spark.read.schema(df.schema).parquet(f"{path}/{name}")
@@ -158,6 +159,12 @@ def once(spark: SparkSession, label: str, sf_dir: str, tables: tuple[str, ...])
     return keep
 
 
+def stored(keep: Callable[[DataFrame, str], DataFrame], df: DataFrame, name: str) -> str:
+    """Where ``once`` keeps a frame, for readers of files."""
+    keep(df, name)
+    return f"{keep.path}/{name}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """A frame written into the shared folder and read back, so that plans end there; deleted with the session."""
     spark = df.sparkSession

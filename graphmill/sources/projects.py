@@ -201,3 +201,23 @@ def go_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = [("cmd/main.go", GO_MAIN % "gin.Default()", "n % 2 = 0"), ("cmd/main.go", GO_MAIN % "server.NewRouter(cfg)", "n % 2 = 1"), ("server.go", GO_FACTORY, "true"), ("shared.go", GO_SHARED, "true"), ("cmd/seed.go", "package main\nfunc main() { println() }", "n % 2 = 0")]
     shared = s.select("project", "n").distinct().select("project", F.explode(F.array(*(F.when(F.expr(c), F.struct(F.lit(p).alias("path"), F.lit(t).alias("content"))) for p, t, c in fixed))).alias("f")).where("f is not null").select("project", "f.path", "f.content")
     return own.unionByName(many).unionByName(shared)
+
+
+NEST = (
+    ("true", "import { Controller } from '@nestjs/common';"), ("true", "@Controller('s{k}')"), ("k % 2 = 0", "@UseGuards(JwtAuthGuard)"), ("true", "export class S{k}Controller {"), ("true", "  // @Get('never') never() {}"), ("true", "  @Get() list() { return []; }"),
+    ("k % 4 = 0", "  @Public()"), ("true", "  @Post(':id')"), ("k % 3 = 0", "  @UseGuards(RolesGuard)"), ("true", "  async save(@Param('id') id: string) { return { a: 1 }; }"), ("true", "}"),
+)
+SPRING = (
+    ("true", "@RestController"), ("true", '@RequestMapping("/s{k}")'), ("k % 2 = 0", '@PreAuthorize("isAuthenticated()")'), ("true", "public class S{k}Controller {"), ("true", '  @GetMapping("/{id}")'), ("true", "  public Item one(@PathVariable Long id) { return null; }"),
+    ("true", "  @DeleteMapping"), ("k % 3 = 0", '  @PreAuthorize("hasRole(\'ADMIN\')")'), ("true", "  public void drop() {}"), ("true", "}"),
+)
+
+
+def web_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project, path, content): of each supplier a route file in PHP, a NestJS and a Spring controller and, for each fifth, a file that holds no routes."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("k"), F.concat(F.lit("nation-"), F.col("s_nationkey").cast("string")).alias("project"))
+    name = lambda folder, tail: F.concat(F.lit(folder), F.col("k").cast("string"), F.lit(tail))
+    php = (("true", "<?php"), ("true", "Route::get('/s{k}', [S{k}Controller::class, 'index'])->middleware('auth:api');"), ("k % 2 = 0", "Route::prefix('x')->group(function () { Route::put('y/{id}', 'S{k}Controller@save'); });"))
+    files = [(name("routes/s", ".php"), php, "true"), (name("src/s", ".controller.ts"), NEST, "true"), (name("java/S", "Controller.java"), SPRING, "true"), (name("docs/s", ".md"), (("true", "Route::get('/no', 'X@y');"),), "k % 5 = 0")]
+    own = F.array(*(F.when(F.expr(c), F.struct(path.alias("path"), _text(lines).alias("content"))) for path, lines, c in files))
+    return s.select("project", F.explode(own).alias("f")).where("f is not null").select("project", "f.path", "f.content")

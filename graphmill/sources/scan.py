@@ -22,6 +22,8 @@ ADAPTERS: dict[str, Callable[[str], Iterator[tuple]]] = {}
 
 # fixed values: actions of a resource's routes, and how often named schedules run
 RESOURCE = (("index", "GET", ""), ("create", "GET", "/create"), ("store", "POST", ""), ("show", "GET", "/{id}"), ("edit", "GET", "/{id}/edit"), ("update", "PUT", "/{id}"), ("update", "PATCH", "/{id}"), ("destroy", "DELETE", "/{id}"))
+CHECKS = ("PreAuthorize", "Secured", "RolesAllowed")
+UNKNOWN_CHECKS = ("PreAuth", "RequiresRoles", "RequiresPermissions", "RequiresUser", "RequiresAuthentication", "RequireLogin", "CheckPermission")
 CRON = {
     "everyMinute": "* * * * *", "everyTwoMinutes": "*/2 * * * *", "everyThreeMinutes": "*/3 * * * *", "everyFourMinutes": "*/4 * * * *", "everyFiveMinutes": "*/5 * * * *", "everyTenMinutes": "*/10 * * * *", "everyFifteenMinutes": "*/15 * * * *",
     "everyThirtyMinutes": "0,30 * * * *", "hourly": "0 * * * *", "daily": "0 0 * * *", "weekly": "0 0 * * 0", "monthly": "0 0 1 * *", "quarterly": "0 0 1 1,4,7,10 *", "yearly": "0 0 1 1 *", "weekdays": "* * * * 1-5", "weekends": "* * * * 0,6",
@@ -153,12 +155,30 @@ def nestjs(text: str) -> Iterator[tuple]:
             yield r[2].upper(), joined(base, *(strings(r[3])[:1])), [gate(g) for g in guards], f"{m[4]}::{r[5]}"
 
 
+def _security(text: str) -> list[tuple[str, str, list[str]]]:
+    """Security annotations with their words: those that ask for a login alone are gates, those of other frameworks aren't known."""
+    out = []
+    for name, args in re.findall(r"@(\w+)(?:\s*\(((?:[^()\"]|\"[^\"]*\"|\([^)]*\))*)\))?", text):
+        said = re.findall(r'"([^"]*)"', args)
+        if name in CHECKS:
+            login = name == "PreAuthorize" and said and re.fullmatch(r"\s*(isAuthenticated\(\)|!isAnonymous\(\))\s*", said[0])
+            out.append(("ir:auth_gate" if login else "ir:authz_check", name, said))
+        elif name in UNKNOWN_CHECKS:
+            out.append(("ir:unknown_middleware", name, said))
+    return out
+
+
+def implied(gates: list[tuple[str, str, list[str]]], framework: str) -> list[tuple[str, str, list[str]]]:
+    """Gates with those that they imply: a check of Spring's asks for a login first."""
+    login = ("ir:auth_gate", "isAuthenticated()", [])
+    return [x for g in gates for x in ([login, g] if framework == "springboot" and g[0] == "ir:authz_check" else [g])]
+
+
 @adapter("springboot")
 def springboot(text: str) -> Iterator[tuple]:
     """Controllers' mapping annotations; security annotations of class and method as checks with their words."""
     text = comments_out(text)
     note = r"@\w+(?:\s*\((?:[^()\"]|\"[^\"]*\"|\([^)]*\))*\))?"
-    security = lambda s: [("ir:authz_check", k, strings(a.replace("'", '"').replace('""', '"')) or strings(a)) for k, a in re.findall(r"@(PreAuthorize|Secured|RolesAllowed)\s*\(((?:[^()]|\([^)]*\))*)\)", s)]
     m = re.search(rf"((?:{note}\s*)*)(?:public\s+)?class\s+(\w+)", text)
     if not m or not re.search(r"@(Rest)?Controller\b", m[1]):
         return
@@ -167,7 +187,7 @@ def springboot(text: str) -> Iterator[tuple]:
     for r in re.finditer(rf"((?:{note}\s*)+)(?:public|protected|private)?\s*[\w<>\[\], ?]+\s+(\w+)\s*\(", text[m.end():]):
         v = re.search(r"@(Get|Post|Put|Patch|Delete)Mapping\s*(?:\(([^)]*)\))?", r[1])
         if v:
-            yield v[1].upper(), joined(prefix, *(strings(v[2] or "")[:1])), [*security(m[1]), *security(r[1])], f"{m[2]}::{r[2]}"
+            yield v[1].upper(), joined(prefix, *(strings(v[2] or "")[:1])), [*_security(m[1]), *_security(r[1])], f"{m[2]}::{r[2]}"
 
 
 @adapter("go")
@@ -190,7 +210,7 @@ def gin(text: str) -> Iterator[tuple]:
 def graph(found: tuple, framework: str, path: str) -> dict:
     """A route as a nested graph: gates in order, the handler, and the chain through them."""
     method, route, gates, handler = found
-    every = [*gates, ("ir:business_handler", handler or "closure", [])]
+    every = [*implied(gates, framework), ("ir:business_handler", handler or "closure", [])]
     nodes = [{"id": f"n{k}", "type": kind, "symbol": symbol, "file": path, "role": None, "detail": None, "line": None, "args": args, "mutates": False} for k, (kind, symbol, args) in enumerate(every)]
     edges = [{"from": f"n{k}", "to": f"n{k + 1}", "relation": "next_middleware", "traceability": None, "mechanism": None, "side_effect": None} for k in range(len(every) - 1)]
     return {"entrypoint": f"{method} {route}", "method": method, "path": route, "framework": framework, "nodes": nodes, "edges": edges, "annotations": []}
