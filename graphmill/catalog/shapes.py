@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import inventory, shapes
 from ..sources import projects
 from ..sources.corpus import once
+from ..sources.decorated import decorated
 from ..sources.syntax import syntax
 from .base import add, table
 
@@ -98,3 +99,29 @@ def gates(spark, d):
 SELECT project, category, n_classes, coalesce(n_used, 0) AS n_used, coalesce(n_uses, 0) AS n_uses FROM n LEFT JOIN m USING (project, category)""")
 def summary(spark, d):
     return inventory.summary(projects.shape_files(spark, d))
+
+
+_DTO = """SELECT project, 'src/r' || k || '.dto.ts' AS path, 'R' || k || 'Dto' AS class, row_number() OVER (PARTITION BY k ORDER BY place) - 1 AS ord, name, type, rules, k FROM (
+  SELECT k, project, 0 AS place, 'name' AS name, 'string' AS type, 'required,minLength:2,maxLength:' || k AS rules FROM s UNION ALL SELECT k, project, 1, 'count', 'number', 'optional,integer,max:' || k FROM s WHERE k % 2 = 0
+  UNION ALL SELECT k, project, 2, 'age', 'array', 'required,isIn:a,b,regex:/^[a-z("]+$/i' FROM s UNION ALL SELECT k, project, 3, 'kind', 'unknown', 'required,minLength:1,maxLength:5,enum:Kind' FROM s WHERE k % 3 = 0 UNION ALL SELECT k, project, 4, 'items', 'array', 'required' FROM s WHERE k % 5 = 0)"""
+
+
+def _dto(spark, d):
+    return shapes.decorated_rules(decorated(projects.dto_files(spark, d)))
+
+
+@add("S22_dto_rules", f"WITH s AS ({_S}) SELECT * EXCLUDE (k) FROM ({_DTO})")
+def dto_rules(spark, d):
+    text = F.transform("rules", lambda r: F.concat_ws(":", r["kind"], r["value"]))
+    return _dto(spark, d).withColumn("rules", F.array_join(text, ","))
+
+
+@add("S22_rules_apart", f"""WITH s AS ({_S}), a AS (SELECT project, 'R' || k AS subject, name, rules FROM ({_RULES})), b AS (SELECT project, 'R' || k AS subject, name, rules FROM ({_DTO})),
+sides AS (SELECT coalesce(a.project, b.project) AS project, coalesce(a.subject, b.subject) AS subject, coalesce(a.name, b.name) AS name, coalesce(a.r, []) AS a, coalesce(b.r, []) AS b FROM
+  (SELECT project, subject, name, list_distinct(flatten(list(list_filter(list_transform(string_split(replace(rules, 'isIn:a,b', 'isIn:a;b'), ','), lambda x: replace(x, ';', ',')), lambda x: x <> '')))) AS r FROM a GROUP BY ALL) a FULL JOIN
+  (SELECT project, subject, name, list_distinct(flatten(list(list_transform(string_split(replace(rules, 'isIn:a,b', 'isIn:a;b'), ','), lambda x: replace(x, ';', ','))))) AS r FROM b GROUP BY ALL) b ON a.project = b.project AND a.subject = b.subject AND a.name = b.name)
+SELECT project, subject, name, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ';') AS only_a, array_to_string(list_sort(list_filter(b, lambda x: NOT list_contains(a, x))), ';') AS only_b FROM sides
+WHERE len(list_filter(a, lambda x: NOT list_contains(b, x))) + len(list_filter(b, lambda x: NOT list_contains(a, x))) > 0""")
+def apart(spark, d):
+    x = shapes.rules_apart(shapes.field_rules(read(spark, d)), _dto(spark, d))
+    return x.withColumns({n: F.array_join(n, ";") for n in ("only_a", "only_b")})

@@ -122,3 +122,56 @@ def schedules(s: DataFrame) -> DataFrame:
     x = head.select(*FILE, "at", "line", F.col("end").alias("_end"), named.alias("symbol")).join(often, [*FILE, "at"], "left").where("cron is null or end > _end")
     one = x.groupBy(*FILE, "at", "line", "symbol").agg(F.coalesce(F.min_by("cron", "end"), F.lit("unknown")).alias("cron"))
     return one.select(*FILE, "line", F.concat(F.lit("schedule:"), "symbol").alias("entrypoint"), F.lit("SCHEDULE").alias("method"), "cron", "symbol")
+
+
+# fixed values: decorators without arguments, those with a number, and the plain types
+DECORATED = {
+    "IsNotEmpty": "required", "IsOptional": "optional", "IsString": "required", "IsInt": "integer", "IsNumber": "required", "IsBoolean": "boolean", "IsEmail": "email", "IsUrl": "url", "IsUUID": "uuid", "IsArray": "array", "IsPositive": "positive", "IsNegative": "negative",
+    "IsDefined": "required", "IsNotEmptyObject": "required", "IsDate": "date", "IsDateString": "date", "IsPhoneNumber": "phone", "IsEthereumAddress": "ethereumAddress", "IsAlphanumeric": "alphanumeric", "IsNumberString": "numberString", "ArrayNotEmpty": "array",
+}
+BOUNDED = {"Min": "min", "Max": "max", "MinLength": "minLength", "MaxLength": "maxLength", "ArrayMinSize": "arrayMinSize", "ArrayMaxSize": "arrayMaxSize"}
+PLAIN_TYPES = ("string", "number", "boolean")
+
+
+def _map(values: dict):
+    return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
+
+
+def _number(text):
+    """The number a text begins with; null for none."""
+    return F.nullif(F.regexp_extract(text, r"^\s*([-+]?(?:\d+(?:\.\d+)?|\.\d+))", 1), F.lit(""))
+
+
+def _decorator(d):
+    """Rules of one decorator."""
+    none = F.array().cast("array<struct<kind:string,value:string>>")
+    plain, bound = F.try_element_at(_map(DECORATED), d["name"]), F.try_element_at(_map(BOUNDED), d["name"])
+    n, a, b = _number(d["args"]), _number(d["args"]), _number(F.get(F.split(d["args"], ","), F.lit(1)))
+    sides = F.filter(F.array(_rule("minLength", a), _rule("maxLength", b)), lambda r: r["value"].isNotNull())
+    return (F.when(plain.isNotNull(), F.array(_rule(plain))).when(bound.isNotNull() & n.isNotNull(), F.array(_rule(bound, n))).when(d["name"] == "Length", sides)
+            .when((d["name"] == "IsEnum") & (F.trim(d["args"]) != ""), F.array(_rule("enum", F.trim(d["args"]))))
+            .when(d["name"] == "IsIn", F.array(_rule("isIn", F.array_join(d["listed"], ","))))
+            .when((d["name"] == "Matches") & d["args"].rlike("^/.+/[gimsuy]*$"), F.array(_rule("regex", d["args"]))).otherwise(none))
+
+
+def decorated_rules(fields: DataFrame) -> DataFrame:
+    """Rows of ``sources.decorated`` as ``field_rules`` gives them: project, path, class, ord, name, type, rules.  A field that says neither is required."""
+    rules = F.flatten(F.transform("decorators", _decorator))
+    said = F.exists("_rules", lambda r: r["kind"].isin("required", "optional"))
+    t = F.regexp_replace(F.lower("written"), r"\s", "")
+    bare = F.regexp_replace(t, r"^null\||\|null$", "")
+    kind = F.when(bare.isin(*PLAIN_TYPES), bare).when(t.endswith("[]") | t.startswith("array<"), "array").when((t == "object") | t.startswith("record<"), "object").otherwise("unknown")
+    x = fields.withColumn("_rules", rules).withColumn("rules", F.when(said, F.col("_rules")).otherwise(F.concat(F.array(_rule("required")), "_rules")))
+    return x.select(*FILE, "class", "ord", "name", kind.alias("type"), "rules")
+
+
+def rules_apart(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Fields whose rules differ between two tables of rules, matched by project, subject (the class without its suffix) and name: project, subject, name, only_a, only_b (texts of rules, sorted); a field on one side alone is told apart by all its rules."""
+    subject = F.regexp_replace("class", "(Request|Dto|DTO)$", "")
+    text = F.array_sort(F.array_distinct(F.transform("rules", lambda r: F.concat_ws(":", r["kind"], r["value"]))))
+    side = lambda t, n: t.groupBy("project", subject.alias("subject"), "name").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(text)))).alias(n))
+    none = F.array().cast("array<string>")
+    x = side(a, "a").join(side(b, "b"), ["project", "subject", "name"], "full")
+    less = lambda p, q: F.array_except(F.coalesce(p, none), F.coalesce(q, none))
+    x = x.select("project", "subject", "name", less(F.col("a"), F.col("b")).alias("only_a"), less(F.col("b"), F.col("a")).alias("only_b"))
+    return x.where("size(only_a) + size(only_b) > 0")

@@ -221,3 +221,17 @@ def web_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = [(name("routes/s", ".php"), php, "true"), (name("src/s", ".controller.ts"), NEST, "true"), (name("java/S", "Controller.java"), SPRING, "true"), (name("docs/s", ".md"), (("true", "Route::get('/no', 'X@y');"),), "k % 5 = 0")]
     own = F.array(*(F.when(F.expr(c), F.struct(path.alias("path"), _text(lines).alias("content"))) for path, lines, c in files))
     return s.select("project", F.explode(own).alias("f")).where("f is not null").select("project", "f.path", "f.content")
+
+
+DTO = (
+    ("true", "import { IsString, Min } from 'class-validator';"), ("true", "// export class No { @IsString() no: string; }"), ("true", "export class R{k}Dto extends Base {"), ("true", "  @IsString()"), ("true", "  @MinLength(2)"), ("true", "  @MaxLength({k}, { message: 'a) b' })"), ("true", "  readonly name: string;"),
+    ("k % 2 = 0", "  @IsOptional() @IsInt()"), ("k % 2 = 0", "  @Max({k})"), ("k % 2 = 0", "  count?: number | null = 1;"), ("true", "  @IsIn(['a', \"b\"])"), ("true", "  @Matches(/^[a-z(\"]+$/i)"), ("true", "  age: string[]"),
+    ("k % 3 = 0", "  @Length(1, 5)"), ("k % 3 = 0", "  @IsEnum(Kind)"), ("k % 3 = 0", "  kind: Kind"), ("true", "  plain: string;"), ("true", "  @Transform(() => { return 1; })"), ("true", "  method(a: string): void { const b: number = 1; }"), ("k % 5 = 0", "  @ValidateNested({ each: true })"), ("k % 5 = 0", "  items: Array<Item>;"), ("true", "}"), ("true", "class Hidden { @IsString() a: string; }"),
+)
+
+
+def dto_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project, path, content): of each supplier the class that its form request has as a counterpart, and a declaration file."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("k"), F.concat(F.lit("nation-"), F.col("s_nationkey").cast("string")).alias("project"))
+    name = lambda tail: F.concat(F.lit("src/r"), F.col("k").cast("string"), F.lit(tail))
+    return s.select("project", F.explode(F.array(F.struct(name(".dto.ts").alias("path"), _text(DTO).alias("content")), F.struct(name(".d.ts").alias("path"), _text(DTO).alias("content")))).alias("f")).select("project", "f.path", "f.content")
