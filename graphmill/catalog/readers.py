@@ -4,8 +4,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import projects, routes_format
-from ..sources.corpus import once, stored
+from ..sources import memo, projects, routes_format
+from ..sources.corpus import once, scratch, stored
+from ..sources.decorated import decorated
 from .base import add
 
 _S = "WITH s AS (SELECT s_suppkey AS k, 'nation-' || s_nationkey AS project FROM supplier), r AS ("
@@ -32,3 +33,14 @@ add("E03_routes", _ALL)(read)
 add("S20_nestjs_routes", _ALL + " WHERE framework = 'nestjs'")(lambda spark, d: read(spark, d).where("framework = 'nestjs'"))
 add("S24_spring_routes", _ALL + " WHERE framework = 'springboot'")(lambda spark, d: read(spark, d).where("framework = 'springboot'"))
 add("E03_pushed", _ALL + " WHERE framework IN ('laravel', 'springboot') AND starts_with(file, 'routes/') AND method = 'PUT' AND path <> '/none'")(lambda spark, d: read(spark, d).where("framework in ('laravel', 'springboot') and startswith(file, 'routes/') and method = 'PUT' and path <> '/none'"))
+
+
+@add("V03_remembered", """WITH s AS (SELECT s_suppkey AS k, 'nation-' || s_nationkey AS project, s_suppkey % 2 = 0 AS early FROM supplier),
+f AS (SELECT k, project, early, unnest(list_concat(['name', 'age'], CASE WHEN k % 2 = 0 THEN ['count'] ELSE [] END, CASE WHEN k % 3 = 0 THEN ['kind'] ELSE [] END, CASE WHEN k % 5 = 0 THEN ['items'] ELSE [] END)) AS name FROM s)
+SELECT project, 'src/r' || k || '.dto.ts' AS path, name, early FROM f UNION ALL SELECT project, 'moved/r' || k || '.dto.ts', name, early FROM f""")
+def remembered(spark, d):
+    """Files of even suppliers are read first; then all of them, and copies of all under other paths, of which only the others' contents are read."""
+    files, folder = projects.dto_files(spark, d), scratch(spark, "memo")
+    memo.remembered(files.where("regexp_extract(path, '[0-9]+', 0) % 2 = 0"), decorated, folder)
+    every = files.unionByName(files.withColumn("path", F.replace("path", F.lit("src/"), F.lit("moved/"))))
+    return memo.remembered(every, decorated, folder).select("project", "path", "name", F.startswith("_run", F.lit("00000000-")).alias("early"))

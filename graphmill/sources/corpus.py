@@ -165,11 +165,17 @@ def stored(keep: Callable[[DataFrame, str], DataFrame], df: DataFrame, name: str
     return f"{keep.path}/{name}"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; deleted with the session."""
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """A frame written into the shared folder and read back, so that plans end there; deleted with the session."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, path)
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
