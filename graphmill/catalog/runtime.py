@@ -32,7 +32,7 @@ def _linked(spark, sf_dir):
     e = e.select(day.alias("session_id"), F.col("user_id").alias("graph_id"), "event_id", "ts", "value")
     w = Window.partitionBy("session_id").orderBy("ts", "event_id")
     e = e.withColumn("span_ord", F.row_number().over(w).cast("bigint")).withColumn("top", F.first("event_id").over(w))
-    e = e.withColumn("node_ord", F.col("event_id") % 5 + 1).join(c.nodes.select("graph_id", "node_ord", "symbol"), ["graph_id", "node_ord"], "left")
+    e = e.withColumn("node_ord", F.col("event_id") % 5 + 1).join(c.nodes.select("graph_id", "node_ord", "symbol").hint("merge"), ["graph_id", "node_ord"], "left")
     m, root = F.col("event_id") % 6, F.col("span_ord") == 1
     klass = F.substring_index("symbol", "::", 1)
     name = F.when(root, F.concat(F.lit("GET /c1/"), F.col("graph_id").cast("string"))).when(m == 0, "db.select").when(m == 1, F.coalesce("symbol", F.lit("none"))).when(m == 2, "handled").when(m == 3, F.coalesce(klass, F.lit("none"))).when(m == 4, "GET /x").otherwise("App\\Services\\Thing")

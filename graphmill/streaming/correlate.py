@@ -68,10 +68,11 @@ def correlate(spans: DataFrame, nodes: DataFrame) -> DataFrame:
 
     The strategies go by precision: symbol equal to the name, namespace and function, middleware name, part of a
     name.  Of a strategy's nodes the first in graph order is taken.  A session is joined with its own graph's nodes only, as one array a
-    graph, and all strategies are tried in one pass over it.
+    graph, and all strategies are tried in one pass over it.  What grows with the corpus or the spans is merged, never broadcast: packed
+    shuffles of it look small, and unpacked it would fill the driver.
     """
     held = nodes.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("node_ord", "symbol", "type"))).alias("own"))
-    s = partition(spans).where("part = 'candidate'").join(held, "graph_id", "left")
+    s = partition(spans).where("part = 'candidate'").join(held.hint("merge"), "graph_id", "left")
     attr = lambda k: F.col("attributes")[k]
     name = F.col("name")
     ns, fn = F.nullif(attr("code.namespace"), F.lit("")), F.nullif(attr("code.function"), F.lit(""))
@@ -96,7 +97,7 @@ def correlate(spans: DataFrame, nodes: DataFrame) -> DataFrame:
 def infra_under(spans: DataFrame, correlated: DataFrame) -> DataFrame:
     """(session_id, span_id, graph_id, node_ord): infra spans whose parent is matched to a node."""
     up = correlated.where("node_ord is not null").select("session_id", F.col("span_id").alias("parent_id"), "graph_id", "node_ord")
-    return partition(spans).where("part = 'infra'").select("session_id", "span_id", "parent_id").join(up, ["session_id", "parent_id"]).select("session_id", "span_id", "graph_id", "node_ord")
+    return partition(spans).where("part = 'infra'").select("session_id", "span_id", "parent_id").join(up.hint("merge"), ["session_id", "parent_id"]).select("session_id", "span_id", "graph_id", "node_ord")
 
 
 def category(name: Column, namespace: Column) -> Column:
@@ -109,11 +110,11 @@ def category(name: Column, namespace: Column) -> Column:
 
 def gaps(spans: DataFrame, correlated: DataFrame) -> DataFrame:
     """(session_id, category, n, percent, examples) of the spans without a node; percent is of the session's candidates."""
-    c = correlated.join(spans.select("session_id", "span_id", "span_ord", "name", F.col("attributes")["code.namespace"].alias("ns")), ["session_id", "span_id"])
+    c = correlated.join(spans.select("session_id", "span_id", "span_ord", "name", F.col("attributes")["code.namespace"].alias("ns")).hint("merge"), ["session_id", "span_id"])
     total = correlated.groupBy("session_id").agg(F.count("*").alias("total"))
     firsts = F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("span_ord", "name"))), lambda x: x["name"])), 1, 3)
     g = c.where("confidence = 'none'").groupBy("session_id", category(F.col("name"), F.col("ns")).alias("category")).agg(F.count("*").alias("n"), firsts.alias("examples"))
-    return g.join(total, "session_id").select("session_id", "category", "n", F.floor(100 * F.col("n") / F.col("total") + 0.5).cast("bigint").alias("percent"), "examples")
+    return g.join(total.hint("merge"), "session_id").select("session_id", "category", "n", F.floor(100 * F.col("n") / F.col("total") + 0.5).cast("bigint").alias("percent"), "examples")
 
 
 def coverage(correlated: DataFrame) -> DataFrame:
