@@ -11,6 +11,7 @@ import mmap
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
@@ -27,7 +28,9 @@ ORDER = 2
 #: words that a task counts before it sends blocks on, characters of text for which there is a bucket, word hashes that a worker remembers
 CHUNK, BUCKET_CHARS, WORDS = 1_500_000, 4_000_000, 200_000
 #: files that a worker keeps mapped
-MAPPED = 4096
+MAPPED = 32_768
+#: bits of a bucket up to which there is one for each ``BUCKET_CHARS``; beyond, buckets grow in number as the root of the text, and in size with it
+FULL_BITS = 9
 #: rows with this remainder of crc32(doc_id) are held out
 FOLDS, HELD = 7, 2
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" start", b" end"))  # no word holds white space
@@ -68,6 +71,12 @@ def key(columns: list[np.ndarray]) -> np.ndarray:
     return h
 
 
+def bucket_bits(chars: int, bucket_chars: int) -> int:
+    """Bits that tell buckets apart.  Each bucket sends a block to each bucket of the level below, so twice the buckets are four times the blocks: they double as the text becomes four times as long."""
+    bits = max(0, -(-chars // bucket_chars) - 1).bit_length()
+    return bits if bits <= FULL_BITS else FULL_BITS + (bits - FULL_BITS) // 2
+
+
 def bucket(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
@@ -320,11 +329,18 @@ def _likelihoods(m: Model, store: Arrays, texts: list[np.ndarray]) -> tuple[np.n
     return add(counts > 0), add(base), add(np.log10(p))
 
 
+@lru_cache(maxsize=1)
+def _store(path: str) -> Arrays:
+    """A worker's arrays: what one task has mapped, or copied, serves the next."""
+    return Arrays(path)
+
+
 def _scored(m: Model):
+    """Scores of texts, looked up for a block of words at a time, however few texts a batch holds."""
     def run(batches):
-        seen, store = Hashes(), Arrays(m.path)
+        seen, store = Hashes(), _store(m.path)
+        texts, ids, held, size = [], [], [], 0
         for b in batches:
-            texts, ids, held, size = [], [], [], 0
             for i, h, text in zip(*(b.column(k).to_pylist() for k in range(3))):
                 texts.append(words(text, seen))
                 ids.append(i)
@@ -333,8 +349,8 @@ def _scored(m: Model):
                 if size >= CHUNK // 3:
                     yield _scores(m, store, ids, held, texts)
                     texts, ids, held, size = [], [], [], 0
-            if texts:
-                yield _scores(m, store, ids, held, texts)
+        if texts:
+            yield _scores(m, store, ids, held, texts)
     return run
 
 
@@ -357,7 +373,7 @@ def fit(texts: DataFrame, order: int = ORDER, bucket_chars: int = BUCKET_CHARS)
     spark = texts.sparkSession
     small_batches(spark)
     chars = texts.agg(F.coalesce(F.sum(F.length("text") + 8), F.lit(0))).first()[0]
-    bits = max(0, -(-chars // bucket_chars) - 1).bit_length()
+    bits = bucket_bits(chars, bucket_chars)
     path = new_path(spark, "kneser-ney")
     stats: dict[int, list[int]] = {}
     rows, before = texts.mapInArrow(_counted(order, bits), ROWS), None
