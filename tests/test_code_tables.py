@@ -42,3 +42,22 @@ def test_columns_are_those_of_rows():
     for f in shape:
         assert syntax._column([r.get(f.name) for r in rows], f.type).to_pylist() == pa.array([r.get(f.name) for r in rows], f.type).to_pylist()
     assert len(syntax._column([], shape.field("args").type)) == 0
+
+
+def test_calls_find_their_method_without_a_join(spark):
+    text = "<?php class B { function a() { $this->c(); x(); $o = new class { function a() { y(); } function d() { $this->e(); } }; } function c() { z(); } function a() { w(); } function e() { v(); } }"
+    rows = syntax.Reader(text).read()
+    first = {}
+    for r in sorted((r for r in rows if r["kind"] == "method"), key=lambda r: r["at"]):
+        first.setdefault(r["name"], (r["at"], r["end"]))
+    inside = lambda r: r["method"] in first and first[r["method"]][0] <= r["at"] and r["end"] <= first[r["method"]][1]
+    assert all(r["placed"] == inside(r) for r in rows)
+    assert {r["name"]: r["shared"] for r in rows if r["kind"] == "call" and r["placed"]} == {"c": False, "x": False, "y": False, "e": False, "z": True, "v": True}
+    s = syntax.syntax(spark.createDataFrame([("p", "b.php", text)], "project string, path string, content string"))
+    f = Facts(s, kept()[1])
+    assert sorted(r.name for r in f.calls.collect()) == ["c", "e", "v", "x", "y", "z"]
+    assert sorted((r.method, r.source, r.name) for r in f.every.where("rank > 0").collect()) == [("a", "c", "z"), ("d", "e", "v")]
+    plan = f.calls._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+    held = f.in_transactions()._jdf.queryExecution().optimizedPlan().toString()
+    assert "args" not in held.split("Union")[0]  # what stands above the union is shuffled
