@@ -103,14 +103,16 @@ def listened(escapes: DataFrame, listeners: DataFrame) -> DataFrame:
 
 
 def hierarchy(permissions: DataFrame) -> DataFrame:
-    """Pairs of permissions (graph_id, symbol): X_ANY over X: graph_id, elevated, base."""
+    """Pairs of permissions (graph_id, symbol): X_ANY over X: graph_id, elevated, base.  Each is joined once, however often it is named."""
+    permissions = permissions.select("graph_id", "symbol").distinct()
     low = permissions.select("graph_id", F.col("symbol").alias("base"))
     high = permissions.where("endswith(symbol, '_ANY')").select("graph_id", F.col("symbol").alias("elevated"), F.regexp_replace("symbol", "_ANY$", "").alias("base"))
-    return high.join(low, ["graph_id", "base"]).select("graph_id", "elevated", "base").distinct()
+    return high.join(low, ["graph_id", "base"]).select("graph_id", "elevated", "base")
 
 
 def reachable_permissions(permissions: DataFrame, sources: DataFrame, asked: DataFrame) -> DataFrame:
-    """Permissions (graph_id, class, value) that a graph reaches: its sources (graph_id, source) name the class, or its checks (graph_id, value) ask for the value."""
+    """Permissions (graph_id, class, value) that a graph reaches: its sources (graph_id, source) name the class, or its checks (graph_id, value) ask for the value.  Each is joined once, however often it is named."""
+    permissions, sources = permissions.distinct(), sources.select("graph_id", "source").distinct()
     named = permissions.join(sources, "graph_id").where("contains(source, class)").select(*(permissions[c] for c in permissions.columns))
     wanted = permissions.join(asked.select("graph_id", "value").distinct(), ["graph_id", "value"], "left_semi").select(*permissions.columns)
     return named.union(wanted).distinct()
