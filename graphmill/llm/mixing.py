@@ -70,9 +70,11 @@ def _planned(d: DataFrame, buckets: int) -> DataFrame:
     by_bucket = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("start", F.coalesce(F.sum("words").over(by_bucket), F.lit(0)))
     starts = starts.alias("a").join(goals.alias("g"), F.expr("a.source <=> g.source")).select("a.source", "bucket", "start", "source_size", "target", "rank")
-    starts = starts.select(F.col("source").alias("source2"), F.col("bucket").alias("bucket2"), "start", "source_size", "target", "rank")
-    d = d.join(starts, F.expr("source <=> source2 and bucket = bucket2"))
-    inside = Window.partitionBy("source2", "bucket").orderBy("h", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, -1)
+    # the join and the window go by the same columns, none of them null, so that rows are shuffled once for both
+    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("key")
+    starts = starts.select(key.alias("key2"), F.col("bucket").alias("bucket2"), "start", "source_size", "target", "rank")
+    inside = Window.partitionBy("key", "bucket").orderBy("h", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("key", key).join(starts, F.expr("key = key2 and bucket = bucket2"))
     d = d.withColumn("at", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     goal = F.round("target").cast("long")
     d = d.withColumn("taken", sum(F.greatest(F.lit(0), F.least("size", goal - k * F.col("source_size") - F.col("at"))) for k in range(MOST)))
